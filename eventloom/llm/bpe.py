@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 # The byte-level pre-tokenizer's pattern; \s is spelt out as Unicode's White_Space.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 CHUNK = 1 << 16  # characters fed at a time
