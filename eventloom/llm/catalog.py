@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, oracle, quality, secrets, urlfilter
+from . import bpe, decontam, jaccard, langid, oracle, quality, secrets, substring, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_rows(_read(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digests(_read(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_rows(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +47,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = (op1_url_filter, op4_language, op5_decontamination, op6_quality, op8_secret_scan, op9_bpe)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_url_filter, op2_substring_dedup, op4_language, op5_decontamination, op6_quality, op8_secret_scan, op9_bpe, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
