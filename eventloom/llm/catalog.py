@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, oracle, quality, secrets, substring, urlfilter
+from . import bpe, decontam, jaccard, langid, oracle, quality, secrets, substring, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digests(_read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_rows(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_rows(_read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_url_filter, op2_substring_dedup, op4_language, op5_decontamination, op6_quality, op8_secret_scan, op9_bpe, op10_jaccard_join)
+QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op8_secret_scan, op9_bpe, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
