@@ -21,19 +21,20 @@ from eventloom.session import materialise
 
 # Frequent function words of the languages the corpora hold.
 COMMON_WORDS = (
-    "the of and to in a is that it for on was be as with by this are at from "
-    "le la les de des du un une et en est que qui dans pour par sur avec "
-    "der die das und ist nicht zu von mit auf für ein eine im den des "
-    "el los las y por con no se su para como más una lo"
+    "the of and to in a "
+    "de la le les et des "
+    "der die und das ist den "
+    "que el en los las y"
 ).split()
 COMMON = tuple(dict.fromkeys(COMMON_WORDS))
-
-SPACE = r"[\x20\x09-\x0D]"
+_CASED = COMMON + tuple(w.capitalize() for w in COMMON) + tuple(w.upper() for w in COMMON if len(w) > 1)
 
 
 def word_array(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ in order."""
-    return F.array_remove(F.split(text, SPACE + "+"), "")
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -41,12 +42,12 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", "lang", *carry, text.alias("_t"))
     own = own.withColumn("_w", word_array(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
-    own = own.withColumn(
-        "_h",
-        F.when(F.col("n_words") < 5, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.xxhash64(*[F.element_at("_w", i + k) for k in range(5)]))
-        ),
-    )
+    own = own.withColumn("_1", F.transform("_w", lambda w: F.xxhash64(w)))
+    both = lambda a, b: F.xxhash64(a, b)
+    tail = lambda c, k: F.slice(c, k + 1, F.greatest(F.lit(0), F.size(c) - k))
+    own = own.withColumn("_2", F.zip_with("_1", tail(F.col("_1"), 1), both))
+    own = own.withColumn("_4", F.zip_with("_2", tail(F.col("_2"), 2), both))
+    own = own.withColumn("_h", F.slice(F.zip_with("_4", tail(F.col("_1"), 4), both), 1, F.greatest(F.lit(0), F.size("_w") - 4)))
     own = own.withColumn("_repeats", F.size(F.array_distinct("_h")) < F.size("_h"))
     own = own.withColumn("_s", F.when(F.col("_repeats"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda a, b: F.coalesce(F.get("_s", a)["h"] == F.get("_s", b)["h"], F.lit(False))
@@ -66,34 +67,37 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.transform("_at", lambda a, k: F.least(F.lit(5), F.coalesce(F.get("_at", k + 1) - a, F.lit(5)))), F.lit(0), lambda acc, x: acc + x
     )
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    own = own.withColumn("_l", lines).withColumn("_c", F.filter(F.transform("_w", F.lower), lambda w: w.isin(*COMMON)))
-    length = F.length("_t").cast("long")
+    own = own.withColumn("_l", lines).withColumn("_c", F.transform(F.filter("_w", lambda w: w.isin(*_CASED)), F.lower))
+    # What is neither a small letter nor white space is short, and is all that is counted by class.
+    own = own.withColumn("_r", F.regexp_replace("_t", r"[a-z\x20\t-\r\p{Ll}\p{Lo}]+", ""))
     own = own.withColumns(
         {
-            "_len": length,
-            "_space": F.regexp_count("_t", F.lit(SPACE)).cast("long"),
-            "n_symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long"),
-            "_digits": F.regexp_count("_t", F.lit(r"[0-9]")).cast("long"),
-            "_upper": F.regexp_count("_t", F.lit(r"[A-Z]")).cast("long"),
-            "_marks": F.regexp_count("_t", F.lit(r"[.,;:!?]")).cast("long"),
-            "_letters": length - F.length(F.regexp_replace("_t", r"\p{L}+", "")),
+            "_len": F.length("_t").cast("long"),
+            "_word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "_rest": F.length("_r").cast("long"),
+            "n_symbols": F.regexp_count("_r", F.lit(r"[#*$%&|<>]")).cast("long"),
+            "_digits": F.regexp_count("_r", F.lit(r"[0-9]")).cast("long"),
+            "_upper": F.regexp_count("_r", F.lit(r"\p{Lu}")).cast("long"),
+            "_marks": F.regexp_count("_r", F.lit(r"[.,;:!?]")).cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": F.when(F.col("_repeats"), covered).otherwise(0).cast("long"),
             "_hits": F.size("_c").cast("long"),
             "_common": F.array(*[(F.size("_c") - F.size(F.array_remove("_c", w))).cast("long") for w in COMMON]),
         }
     )
-    rest = F.col("_len") - F.col("_space") - F.col("n_symbols") - F.col("_digits") - F.col("_marks") - F.col("_letters")
+    space = F.col("_len") - F.col("_word_chars")
+    small = F.col("_word_chars") - F.col("_rest")
+    other = F.col("_rest") - F.col("n_symbols") - F.col("_digits") - F.col("_upper") - F.col("_marks")
     return own.select(
         "doc_id",
         "lang",
         *carry,
         "n_words",
-        (F.col("_len") - F.col("_space")).alias("word_chars"),
+        F.col("_word_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        F.array(F.col("_letters") - F.col("_upper"), "_upper", "_digits", "_marks", "n_symbols", "_space", rest).alias("classes"),
+        F.array(small, "_upper", "_digits", "_marks", "n_symbols", space, other).alias("classes"),
         F.concat("_common", F.array(F.col("n_words") - F.col("_hits"))).alias("common"),
     )
 
