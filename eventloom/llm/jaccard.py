@@ -4,11 +4,11 @@ A document is the set of its distinct 3-word shingles (64-bit tokens whose top b
 and so rare, shingles first). Equal sets are one class. Two classes can reach the threshold only
 if they share a token among the first n - ceil(t n) + 1 of both (their prefixes) and if their
 sizes are within t, so that classes meet in tiles of (prefix token, size band). Tokens that occur
-in very many prefixes are counted over all documents and put last in the order. Tiles that hold
-the same classes are kept once.
+in very many prefixes are counted over all documents and put last in the order. Tiles with the
+same least class are joined, so that a class's text travels to few of them.
 
-In a tile, rows sorted by size carry their sorted tokens. A 1024-bit signature of each bounds the
-overlap from above by bit counts; what passes is intersected exactly. Pairs that are already
+In a tile, classes stand in order of size. A 1024-bit signature of each bounds the overlap from
+above by bit counts; what passes is intersected exactly by the sorted tokens. Pairs that are already
 connected are left out. A tile of more than BLOCK classes is dealt to blocks that share four
 leaders; only classes that did not get connected to the tile's main component are then compared
 with all of the tile, block by block. No pair is emitted but the edges of a spanning forest.
@@ -119,8 +119,8 @@ def tile_edges(keys: list[int], known: list[int], sets: list[np.ndarray], percen
     return out
 
 
-def _verified(laid: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (sub, key, known, n, tokens), which all tasks hold tile by tile."""
+def _verified(laid: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of rows (sub, key, known, text), which every task holds tile by tile."""
 
     def run(batches):
         open_, rows = None, {}
@@ -135,30 +135,26 @@ def _verified(laid: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            got = []
-            for sub, key, known, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if sub != open_:
-                    got += close()
-                    open_, rows = sub, {}
-                rows[key] = known, np.frombuffer(tokens, np.uint64)
-            yield emit(got)
+            for part in blocks(batch, 3):
+                got = []
+                for sub, key, known, tokens in zip(*(part.column(i).to_pylist() for i in range(3)), shingle_sets(part.column(3), width), strict=True):
+                    if sub != open_:
+                        got += close()
+                        open_, rows = sub, {}
+                    if _key(tokens) == key:  # an id may have several texts
+                        rows[key] = known, tokens
+                yield emit(got)
         yield emit(close())
 
     placed = laid.repartition("sub").sortWithinPartitions("sub")
-    return placed.select("sub", "key", "known", "tokens").mapInArrow(run, "a long, b long")
+    return placed.select("sub", "key", "known", "text").mapInArrow(run, "a long, b long")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges among wanted (rep, key, known, subs), each class's text read once."""
     n = wanted.count()
     found = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "rep")
-
-    def make(columns, sets):
-        same = [k == _key(s) for k, s in zip(columns[0].to_pylist(), sets, strict=True)]  # an id may have several texts
-        return [*columns, pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)], pa.binary())]
-
-    got = _each(found.select("key", "known", "subs", "text"), "key long, known long, subs array<long>, tokens binary", width, make)
-    return _verified(got.where("tokens is not null").select(F.explode("subs").alias("sub"), "key", "known", "tokens"), percent)
+    return _verified(found.select(F.explode("subs").alias("sub"), "key", "known", "text"), width, percent)
 
 
 def _prefix_rows(docs: DataFrame, width: int, hot: np.ndarray, percent: int) -> DataFrame:
@@ -200,7 +196,7 @@ def _shared_prefixes(docs: DataFrame, width: int, percent: int, rows: int) -> Da
 
 
 def _tiles(shared: DataFrame, percent: int) -> DataFrame:
-    """(tile, key, n, m, leaders): the distinct sets of classes that meet, m of them in the tile."""
+    """(tile, key, m, leaders): groups of classes that meet, m of them in each."""
     step = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
     spread = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("c > 1")
     rows = shared.join(spread.select("token", (F.col("lo") * 100 >= F.col("hi") * percent).alias("narrow")), "token")
@@ -208,15 +204,17 @@ def _tiles(shared: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("own", own).select("token", "key", "n", "own", F.explode(F.when(F.col("narrow"), F.array(F.lit(-1).cast("long"))).otherwise(F.array("own", F.col("own") + 1))).alias("band"))
     tile = F.xxhash64("token", "band")
     rows = rows.withColumn("tile", tile)
+    # A tile goes to the group of its least class by hash: a class that shares most tokens with the
+    # same few classes travels to a few groups, not to a tile for each token.
     stats = rows.groupBy("tile").agg(
         F.count("*").alias("m"),
         F.count_if((F.col("band") < 0) | (F.col("band") == F.col("own"))).alias("here"),
-        F.bit_xor(F.xxhash64("key")).alias("x"),
-        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
-        F.array(*[F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(2, 6)]).alias("leaders"),
+        F.min_by("key", F.xxhash64("key")).alias("head"),
     )
-    kept = stats.where("m > 1 and here > 0").groupBy("m", "x", "y").agg(F.min("tile").alias("tile"), F.first("leaders").alias("leaders"))
-    return rows.select("tile", "key", "n").join(kept.select("tile", "m", "leaders"), "tile")
+    met = rows.select("tile", "key").join(stats.where("m > 1 and here > 0").select("tile", "head"), "tile").select(F.col("head").alias("tile"), "key").distinct()
+    met = materialise(met, "met")
+    sizes = met.groupBy("tile").agg(F.count("*").alias("m"), F.array(*[F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(2, 6)]).alias("leaders"))
+    return met.join(sizes, "tile")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
