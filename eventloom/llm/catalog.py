@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, oracle, quality, secrets, substring, toxicity, urlfilter
+from . import bpe, decontam, jaccard, langid, license, oracle, quality, secrets, substring, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(_read(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licence_rows(_read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op8_secret_scan, op9_bpe, op10_jaccard_join)
+QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op7_licences, op8_secret_scan, op9_bpe, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
