@@ -283,6 +283,25 @@ def decode_ids(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("id", "ids").mapInArrow(run, f"id {kind}, text string")
 
 
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, round_trip) of every row; round_trip: the ids decode to the text."""
+
+    def run(batches):
+        table, pieces = _shared(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = [t or "" for t in part.column(3).to_pylist()]
+                ids = [encode(table, t, pieces) for t in texts]
+                same = [decode(table, i) == t for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(3)), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)],
+                    ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"],
+                )
+
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: token count and digests of its ids and of the text they decode to.
 
