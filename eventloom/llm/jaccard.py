@@ -7,8 +7,9 @@ sizes are within t, so that classes meet in tiles of (prefix token, size band).
 in very many prefixes are counted over all documents and put last in the order. Tiles with the
 same least class are joined, so that a class's text travels to few of them.
 
-In a tile, classes stand in order of size. A 1024-bit signature of each bounds the overlap from
-above by bit counts; what passes is intersected exactly by the sorted tokens. Pairs that are already
+In a tile, classes stand in order of size. Each has a bitmap signature of about as many bits as
+shingles, made when its set is; bit counts bound the overlap of two from above. Only classes with
+a partner within that bound send their text on, to be intersected exactly by sorted tokens. Pairs that are already
 connected are left out. A tile of more than BLOCK classes is dealt to blocks that share four
 leaders; only classes that did not get connected to the tile's main component are then compared
 with all of the tile, block by block. No pair is emitted but the edges of a spanning forest.
@@ -34,9 +35,9 @@ from .components import components
 from .wordhash import blocks, mix, words
 
 BLOCK = 128  # classes of a large tile that are compared at once
-BROADCAST_ROWS = 1_000_000  # classes to fetch the text of by a broadcast (16 MB and their tiles), else by a shuffle
+BROADCAST_ROWS = 1_000_000  # places of classes whose text is fetched by a broadcast (some 30 MB), else by a shuffle
 HOT_SHARE = 1 << 14  # a prefix token is hot if it has more than this share of all prefix rows
-BITS = 1024
+MOST_BITS = 1 << 16  # of a signature
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -76,6 +77,32 @@ def _each(docs: DataFrame, schema: str, width: int, make) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """A bitmap of the tokens' low bits; a power of two of bits, 64 at least."""
+    size = 1 << max(6, min(MOST_BITS.bit_length() - 1, (len(tokens) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _signatures(packed: list[bytes]) -> np.ndarray:
+    """Signatures side by side, the longer ones folded to the shortest."""
+    size = min(map(len, packed))
+    out = np.empty((len(packed), size // 8), np.uint64)
+    for i, p in enumerate(packed):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(p, np.uint64).reshape(-1, size // 8))
+    return out
+
+
+def _within_bound(i: int, others: np.ndarray, n: np.ndarray, signatures: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the others, those whose overlap with i may suffice by bit counts, and the overlap needed."""
+    need = -(-percent * (n[i] + n[others]) // (100 + percent))
+    alone = np.bitwise_count(signatures[i] & ~signatures[others]).sum(1, dtype=np.int64)
+    extra = np.bitwise_count(signatures[others] & ~signatures[i]).sum(1, dtype=np.int64)
+    may = np.minimum(n[i] - alone, n[others] - extra) >= need
+    return others[may], need[may]
+
+
 class _Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
@@ -86,29 +113,30 @@ class _Forest:
             self.root[self.root == max(x, y)] = min(x, y)
 
 
+def tile_partners(known: list[int], n: np.ndarray, packed: list[bytes], percent: int) -> np.ndarray:
+    """Which classes, in order of size, have a partner within the bound that is not connected yet."""
+    signatures, roots = _signatures(packed), np.array(known)
+    out = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        others = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, side="right")))
+        found, _ = _within_bound(i, others[roots[others] != roots[i]], n, signatures, percent)
+        if len(found):
+            out[i] = out[found] = True
+    return out
+
+
 def tile_edges(keys: list[int], known: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among classes in order of size, besides those known."""
-    k = len(keys)
     n = np.array([len(s) for s in sets])
-    bits = np.zeros((k, BITS), bool)
-    for i, s in enumerate(sets):
-        bits[i, (s & np.uint64(BITS - 1)).astype(np.int64)] = True
-    signature = np.packbits(bits, axis=1).view(np.uint64)
-    forest, seen = _Forest(k), {}
+    signatures = _signatures([signature(s) for s in sets])
+    forest, seen = _Forest(len(keys)), {}
     for i, r in enumerate(known):
         forest.join(seen.setdefault(r, i), i)
     out = []
-    for i in range(k - 1):
-        to = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-        others = np.arange(i + 1, to)
+    for i in range(len(keys) - 1):
+        others = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, side="right")))
         others = others[forest.root[others] != forest.root[i]]
-        if not len(others):
-            continue
-        need = -(-percent * (n[i] + n[others]) // (100 + percent))
-        alone = np.bitwise_count(signature[i] & ~signature[others]).sum(1, dtype=np.int64)
-        extra = np.bitwise_count(signature[others] & ~signature[i]).sum(1, dtype=np.int64)
-        may = np.minimum(n[i] - alone, n[others] - extra) >= need
-        for j, least in zip(others[may].tolist(), need[may].tolist(), strict=True):
+        for j, least in zip(*(x.tolist() for x in _within_bound(i, others, n, signatures, percent)), strict=True):
             if forest.root[i] == forest.root[j]:
                 continue
             at = np.searchsorted(sets[j], sets[i])
@@ -119,6 +147,36 @@ def tile_edges(keys: list[int], known: list[int], sets: list[np.ndarray], percen
     return out
 
 
+def _with_partners(laid: DataFrame, percent: int) -> DataFrame:
+    """The (sub, key, known) of rows (sub, key, known, n, sig) that have a partner in their tile by bit counts."""
+
+    def run(batches):
+        open_, rows = None, {}
+
+        def close():
+            if len(rows) < 2:
+                return []
+            order = sorted(rows, key=lambda k: (rows[k][1], k))
+            has = tile_partners([rows[k][0] for k in order], np.array([rows[k][1] for k in order]), [rows[k][2] for k in order], percent)
+            return [(open_, k, rows[k][0]) for k, x in zip(order, has.tolist(), strict=True) if x]
+
+        def emit(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["sub", "key", "known"])
+
+        for batch in batches:
+            got = []
+            for sub, key, *rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if sub != open_:
+                    got += close()
+                    open_, rows = sub, {}
+                rows[key] = rest
+            yield emit(got)
+        yield emit(close())
+
+    placed = laid.repartition("sub").sortWithinPartitions("sub")
+    return placed.select("sub", "key", "known", "n", "sig").mapInArrow(run, "sub long, key long, known long")
+
+
 def _verified(laid: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of rows (sub, key, known, text), which every task holds tile by tile."""
 
@@ -150,11 +208,15 @@ def _verified(laid: DataFrame, width: int, percent: int) -> DataFrame:
     return placed.select("sub", "key", "known", "text").mapInArrow(run, "a long, b long")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges among wanted (rep, key, known, subs), each class's text read once."""
-    n = wanted.count()
-    found = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "rep")
-    return _verified(found.select(F.explode("subs").alias("sub"), "key", "known", "text"), width, percent)
+def _links(docs: DataFrame, dealt: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges among dealt (sub, key, known): bounded by signatures, then verified, each class's text read once."""
+    laid = dealt.join(classes.select("key", "n", "sig"), "key")
+    near = materialise(_with_partners(laid, percent), "near")
+    wanted = near.groupBy("key", "known").agg(F.collect_set("sub").alias("subs")).join(classes.select("key", "rep"), "key")
+    wanted = materialise(wanted.select("rep", "key", "known", "subs"), "wanted")
+    few = near.count() <= BROADCAST_ROWS
+    found = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if few else wanted, "rep")
+    return materialise(_verified(found.select(F.explode("subs").alias("sub"), "key", "known", "text"), width, percent), "links")
 
 
 def _prefix_rows(docs: DataFrame, width: int, hot: np.ndarray, percent: int) -> DataFrame:
@@ -221,18 +283,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     """(doc_id, n_shingles, component_id): one row per input row."""
 
     def sizes(columns, sets):
-        return [columns[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())]
+        return [
+            columns[0],
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([_key(s) for s in sets], pa.int64()),
+            pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+        ]
 
-    members = materialise(_each(docs.select("doc_id", "text"), "doc_id long, n_shingles long, key long", width, sizes), "members")
+    members = materialise(_each(docs.select("doc_id", "text"), "doc_id long, n_shingles long, key long, sig binary", width, sizes), "members")
     rows = members.agg(F.sum(F.expr(f"n_shingles - (n_shingles * {percent} + 99) div 100 + 1"))).first()[0] or 0
-    reps = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    by_key = members.where("key is not null").groupBy("key")
+    reps = by_key.agg(F.min("doc_id").alias("rep"))
+    classes = by_key.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     shared = _shared_prefixes(docs, width, percent, rows)
     tiles = materialise(_tiles(shared, percent), "tiles")
     blocks_ = F.ceil(F.col("m") / BLOCK)
     parts = F.when(F.col("m") <= BLOCK, F.array(F.lit(0).cast("long"))).when(F.array_contains("leaders", F.col("key")), F.sequence(F.lit(0).cast("long"), blocks_ - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", F.lit(6)), blocks_)))
-    dealt = tiles.select("key", F.explode(parts).alias("part"), "tile").select("key", F.xxhash64("tile", "part").alias("sub"))
-    wanted = materialise(dealt.groupBy("key").agg(F.collect_set("sub").alias("subs")).join(reps, "key").select("rep", "key", F.col("key").alias("known"), "subs"), "wanted")
-    edges = materialise(_fetch(docs, wanted, width, percent), "links")
+    dealt = tiles.select("key", F.explode(parts).alias("part"), "tile").select(F.xxhash64("tile", "part").alias("sub"), "key", F.col("key").alias("known"))
+    edges = _links(docs, dealt, classes, width, percent)
     roots = components(edges)
     large = tiles.where(F.col("m") > BLOCK)
     if large.limit(1).count():
@@ -244,9 +312,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         zero = F.lit(0).cast("long")
         pairs = F.transform(F.sequence(zero, y - 1), lambda j: F.struct(of_x.alias("i"), j.alias("j")))
         pairs = F.when(F.col("root") == F.col("main"), pairs).otherwise(F.array_union(pairs, F.transform(F.sequence(zero, x - 1), lambda i: F.struct(i.alias("i"), of_y.alias("j")))))
-        again = placed.select("key", "root", "tile", F.explode(pairs).alias("p")).select("key", "root", F.xxhash64("tile", "p.i", "p.j", F.lit(9)).alias("sub"))
-        wanted = materialise(again.groupBy("key", "root").agg(F.collect_set("sub").alias("subs")).join(reps, "key").select("rep", "key", F.col("root").alias("known"), "subs"), "wanted")
-        edges = edges.unionByName(materialise(_fetch(docs, wanted, width, percent), "links"))
+        again = placed.select("key", "root", "tile", F.explode(pairs).alias("p")).select(F.xxhash64("tile", "p.i", "p.j", F.lit(9)).alias("sub"), "key", F.col("root").alias("known"))
+        edges = edges.unionByName(_links(docs, again, classes, width, percent))
         roots = components(edges)
     named = roots.join(reps, F.col("node") == F.col("key")).select("key", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
