@@ -199,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 8_000, seed: int =
         return None
     draw = lambda of, most: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SCALE)) < min(SCALE, -(-most * SCALE // max(1, of)))
     some = known.where(F.when(F.col("toxic") == 1, draw(by[1], most_docs // 2)).otherwise(draw(by[0], most_docs // 2)))
-    labelled = [(r.text or "", r.toxic) for r in docs.join(some, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").select("text", "toxic").collect()]
+    # `some` is about most_docs ids at most, so it goes to the texts.
+    labelled = [(r.text or "", r.toxic) for r in docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").select("text", "toxic").collect()]
     total = docs.count()
     rest = docs.where(draw(total, most_docs // 4)).join(known, "doc_id", "left_anti").select("doc_id", "text").orderBy("doc_id", "text")
     unlabelled = [r.text or "" for r in rest.collect()]
