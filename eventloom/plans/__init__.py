@@ -1 +1,4 @@
-"""Eventloom: plans."""
+"""Registered plans."""
+
+from . import analytics, relational  # noqa: F401
+from .registry import QUERIES, SQL, Tables, query  # noqa: F401
