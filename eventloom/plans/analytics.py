@@ -285,11 +285,11 @@ def swap_parity(t):
     return t.events.select("event_id", domain.swapped(F.col("event_id"), F.col("user_id")).alias("swapped"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity * 3 + l_tax * 15 + l_discount * 0.3) * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 3) AS micro_usd FROM lineitem WHERE l_quantity % 2 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity * 3 + l_tax * 15 + l_discount * 0.3) * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 6) AS micro_usd FROM lineitem WHERE l_quantity % 2 = 0")
 def cost_usd(t):
     prices = {"m": (3.0, 15.0)}
     usd = domain.cost_usd(F.lit("m"), F.col("l_quantity"), F.col("l_tax"), prices, cached=F.col("l_discount"), batch=F.col("l_returnflag") == "R")
-    return t.lineitem.where("l_quantity % 2 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.round(usd * 1_000_000, 3).alias("micro_usd"))
+    return t.lineitem.where("l_quantity % 2 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.round(usd * 1_000_000, 6).alias("micro_usd"))
 
 
 @query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 3 WHEN 'click' THEN 1 ELSE 0 END AS prior, count(*) AS n FROM events GROUP BY ALL")
