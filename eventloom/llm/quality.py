@@ -121,7 +121,7 @@ def js_distance(counts: Column, reference: list[float]) -> Column:
     q = F.array(*[F.lit(float(x)) for x in reference])
 
     def part(x, y):
-        p = x / total
+        p = F.try_divide(x, total)  # null, and so the distance, of an empty histogram
         half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
         return (half(p, y) + half(y, p)) / 2
 

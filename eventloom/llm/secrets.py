@@ -188,6 +188,8 @@ class Scanner:
         text = np.searchsorted(ends, at, side="right")
         inside = ends[text] >= at + 3  # else it runs into the next text
         pairs = np.unique(number[at][inside].astype(np.int64) << 32 | text[inside])
+        if not len(pairs):
+            return {}
         which, starts = np.unique(pairs >> 32, return_index=True)
         return dict(zip(which.tolist(), np.split(pairs & 0xFFFFFFFF, starts[1:]), strict=True))
 
