@@ -1,4 +1,4 @@
 """Registered plans."""
 
-from . import analytics, relational  # noqa: F401
+from . import analytics, relational, suite  # noqa: F401
 from .registry import QUERIES, SQL, Tables, query  # noqa: F401
