@@ -140,7 +140,7 @@ def page_published(html: Column) -> Column:
 def recency(published: Column, as_of: Column, scale_days: float = 30.0, neutral: float = 0.5) -> Column:
     """exp(-whole days / scale), not above 1; neutral if there is no date."""
     days = F.floor((F.unix_micros(as_of) - F.unix_micros(published)) / 86_400_000_000)
-    return F.coalesce(F.exp(-F.greatest(F.lit(0), days) / scale_days), F.lit(neutral))
+    return F.when(days.isNull(), neutral).otherwise(F.exp(-F.greatest(F.lit(0), days) / scale_days))
 
 
 def first_line_title(c: Column, most: int = 120) -> Column:
@@ -149,7 +149,8 @@ def first_line_title(c: Column, most: int = 120) -> Column:
 
 def parse_rfc822(c: Column) -> Column:
     """RFC 822 dates as ISO text, anything else unchanged."""
-    at = F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss Z"))
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"\s+(?:GMT|UTC?|Z)$", " +0000")
+    at = F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx"))
     return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX"), c)
 
 

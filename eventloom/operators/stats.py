@@ -13,9 +13,9 @@ KS_COEFFICIENT = 1.358
 
 def psi(rows: DataFrame, category: str, current: Column) -> DataFrame:
     """One row (psi): population stability of the category between current rows and the others."""
-    counts = rows.where(F.col(category).isNotNull()).groupBy(category).agg(F.count_if(~current).alias("r"), F.count_if(current).alias("c"))
-    totals = counts.agg(F.greatest(F.sum("r"), F.lit(1)).alias("rn"), F.greatest(F.sum("c"), F.lit(1)).alias("cn"))
-    p, q = F.greatest(F.col("r") / F.col("rn"), F.lit(FLOOR)), F.greatest(F.col("c") / F.col("cn"), F.lit(FLOOR))
+    counts = rows.where(F.col(category).isNotNull()).groupBy(category).agg(F.count_if(~current).alias("_r"), F.count_if(current).alias("_c"))
+    totals = counts.agg(F.greatest(F.sum("_r"), F.lit(1)).alias("rn"), F.greatest(F.sum("_c"), F.lit(1)).alias("cn"))
+    p, q = F.greatest(F.col("_r") / F.col("rn"), F.lit(FLOOR)), F.greatest(F.col("_c") / F.col("cn"), F.lit(FLOOR))
     return counts.crossJoin(F.broadcast(totals)).agg(F.coalesce(F.sum((q - p) * F.log(q / p)), F.lit(0.0)).alias("psi"))
 
 

@@ -49,7 +49,7 @@ def render_paper(title: Column, authors: Column) -> Column:
 def authors_line(text: Column) -> Column:
     """Names of the first 'authors: ' line; null without one."""
     line = F.regexp_extract(text, r"(?m)^authors: (.*)$", 1)
-    return F.when(text.rlike(r"(?m)^authors: "), F.filter(F.transform(F.split(line, ";"), F.trim), lambda a: a != ""))
+    return F.when(text.rlike(r"(?m)^authors: "), F.filter(F.transform(F.split(line, ";"), lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def front_matter(docs: DataFrame, raw: str) -> DataFrame:
