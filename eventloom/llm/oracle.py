@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality import _CASED, COMMON
 from .urlfilter import BLOCKED_SITES, RULES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,5 +50,62 @@ FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_WORDS = "[x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> '']"
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM win SEMI JOIN again USING (h)),
+lists AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+_LIST = lambda xs: "[" + ", ".join(repr(x) for x in xs) + "]"
+_SIDE = lambda c, q: f"(CASE WHEN {c} > 0 THEN {c} * log2(2 * {c} / ({c} + {q})) ELSE 0.0 END)"
+_JS = f"""(SELECT h.r, min(sqrt(greatest(0, d))) AS dist FROM (
+    SELECT h.r, f.lang, sum(({_SIDE('h.p', 'f.p')} + {_SIDE('f.p', 'h.p')}) / 2) AS d FROM {{0}} h JOIN {{1}} f ON h.i = f.i GROUP BY h.r, f.lang) h GROUP BY h.r)"""
+
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+b AS (SELECT r, doc_id, lang, t, w, regexp_replace(t, '[a-z\\x20\\t-\\r\\p{{Ll}}\\p{{Lo}}]+', '', 'g') AS rest, CAST(length(array_to_string(w, '')) AS BIGINT) AS chars,
+  [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM d),
+five AS (SELECT r, s, md5(array_to_string(w[s:s + 4], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS s FROM b WHERE len(w) >= 5)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + 5)) AS p FROM five SEMI JOIN (SELECT r, h FROM five GROUP BY r, h HAVING count(*) > 1) USING (r, h)) GROUP BY r),
+c AS (SELECT r, doc_id, lang, len(w) AS n, chars, len(regexp_extract_all(rest, '[#*$%&|<>]')) AS sym, len(lines) - len(list_distinct(lines)) AS dup,
+  [chars - length(rest), len(regexp_extract_all(rest, '\\p{{Lu}}')), len(regexp_extract_all(rest, '[0-9]')), len(regexp_extract_all(rest, '[.,;:!?]')), sym, length(t) - chars] AS k, length(rest) AS rest_n,
+  [lower(x) FOR x IN w IF list_contains({_LIST(_CASED)}, x)] AS hits FROM b),
+e AS (SELECT *, list_append(k, rest_n - k[2] - k[3] - k[4] - k[5]) AS classes, list_append([len([x FOR x IN hits IF x = y]) FOR y IN {_LIST(COMMON)}], n - len(hits)) AS common FROM c),
+langs AS (SELECT lang FROM e WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 1000 >= (SELECT count(lang) FROM e)),
+k1 AS (SELECT r, lang, n, unnest(classes)::DOUBLE AS v, unnest(range(1, 8)) AS i FROM e),
+k2 AS (SELECT r, lang, n, unnest(common)::DOUBLE AS v, unnest(range(1, {len(COMMON) + 2})) AS i FROM e),
+f1 AS (SELECT lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS p FROM k1 SEMI JOIN langs USING (lang) GROUP BY lang, i),
+f2 AS (SELECT lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS p FROM k2 SEMI JOIN langs USING (lang) GROUP BY lang, i),
+h1 AS (SELECT r, i, v / sum(v) OVER (PARTITION BY r) AS p FROM k1 WHERE n >= 40),
+h2 AS (SELECT r, i, v / sum(v) OVER (PARTITION BY r) AS p FROM k2 WHERE n >= 40),
+j1 AS {_JS.format('h1', 'f1')}, j2 AS {_JS.format('h2', 'f2')},
+o AS (SELECT e.*, coalesce(rep.n, 0) AS again, e.n < 10 OR 100 * coalesce(rep.n, 0) > 20 * e.n AS failed, j1.dist AS d1, j2.dist AS d2
+  FROM e LEFT JOIN rep ON rep.r = e.r LEFT JOIN j1 ON j1.r = e.r LEFT JOIN j2 ON j2.r = e.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, chars AS word_chars, CAST(sym AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(again AS BIGINT) AS n_repeat_words,
+  failed AS base_failed, NOT failed AND NOT coalesce(d1 > 0.3 OR d2 > 0.45, false) AS kept, round(d1, 6) AS class_distance, round(d2, 6) AS word_distance
+FROM o
+"""
+
+OP10 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+g(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, g.root FROM g JOIN e ON e.a = g.id)
+SELECT d.doc_id, CAST(coalesce(any_value(z.n), 0) AS BIGINT) AS n_shingles, min(g.root) AS component_id
+FROM d LEFT JOIN z USING (doc_id) JOIN g ON g.id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op5_decontamination": OP5}
+    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10}

@@ -142,5 +142,5 @@ def quality_rows(docs: DataFrame) -> DataFrame:
     """One text pass into a small table of features; references and verdicts are read off it."""
     feats = materialise(features(docs), "quality")
     return judged(feats, references(feats)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance")
     )
