@@ -90,12 +90,18 @@ class Model:
         return len(self.index) + LEXICONS + len(PATTERNS) + 2
 
 
+def _group(text: str) -> tuple[int, ...]:
+    """The two least hashes of three words in a row, which near copies mostly share."""
+    w = WORD.findall(text.lower())
+    return tuple(sorted({zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))})[:2])
+
+
 def _groups(labelled: list[tuple[str, int]], y: int):
-    """The stems of each group of near copies: documents whose least word hash is the same."""
-    groups: dict[int, list[str]] = {}
+    """The stems of each group of near copies of one label."""
+    groups: dict[tuple[int, ...], list[str]] = {}
     for text, own in labelled:
         if own == y:
-            groups.setdefault(min((zlib.crc32(w.encode()) for w in set(WORD.findall(text.lower()))), default=-1), []).append(text)
+            groups.setdefault(_group(text), []).append(text)
     for texts in groups.values():
         yield set().union(*map(stems, texts))
 
@@ -170,6 +176,8 @@ def _cut(z: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
     f1[:-1][ranked[:-1] == ranked[1:]] = 0  # ties fall on one side
     best = int(np.argmax(f1))
+    if best == len(z) - 1:  # nothing tells them apart: all are clean
+        return float(ranked[0]) + 1.0
     return float(ranked[best] + ranked[min(best + 1, len(z) - 1)]) / 2
 
 
