@@ -111,6 +111,11 @@ def _rule_keys(lengths: list[int]) -> Column:
     return F.flatten(F.transform(_suffixes(F.col("host")), lambda s: F.transform(paths, lambda p: F.concat(s, p))))
 
 
+def _constants(spark: SparkSession, values: list[str], name: str) -> DataFrame:
+    """A column of fixed values that no Python worker has to make."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], blocked_hosts: DataFrame) -> DataFrame:
     """pages with host, path, rule and verdict; blocked_hosts: (host)."""
     spark: SparkSession = pages.sparkSession
@@ -119,10 +124,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], blocked_hosts: D
     typed = lambda kind, keys: F.transform(keys, lambda k: F.concat(F.lit(kind), k))
     rule_keys = _rule_keys(lengths) if lengths else F.array().cast("array<string>")
     asked = own.select(F.explode(F.concat(typed("rule ", rule_keys), typed("block ", rule_keys), typed("host ", _suffixes(F.col("host"))))).alias("key")).distinct()
-    ruled = [(f"rule {r}",) for _, r in rules] + [(f"block {r}",) for v, r in rules if v == "block"]
+    ruled = [f"rule {r}" for _, r in rules] + [f"block {r}" for v, r in rules if v == "block"]
     listed = blocked_hosts.select(F.concat(F.lit("host "), F.translate("host", _UPPER, _UPPER.lower())).alias("key"))
     if ruled:
-        listed = listed.unionByName(spark.createDataFrame(ruled, "key string"))
+        listed = listed.unionByName(_constants(spark, ruled, "key"))
     cascade = build(asked, listed)
     if cascade is None:
         return _judge_by_join(own, rules, blocked_hosts, lengths)
@@ -149,5 +154,5 @@ def _judge_by_join(own: DataFrame, rules, blocked_hosts: DataFrame, lengths: lis
 
 
 def url_rows(pages: DataFrame) -> DataFrame:
-    blocked = pages.sparkSession.createDataFrame([(h,) for h in BLOCKED_SITES], "host string")
+    blocked = _constants(pages.sparkSession, list(BLOCKED_SITES), "host")
     return judge(pages.select("page_id", "url"), RULES, blocked).select("page_id", "host", "path", "rule", "verdict")
