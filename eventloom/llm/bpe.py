@@ -33,7 +33,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 CHUNK = 1 << 16  # characters fed at a time
 LONG_PIECE = 1 << 12  # characters of one open piece before it is encoded through the window
-CACHE_SIZE = 1 << 18  # pieces remembered by a worker
+CACHE_SIZE = 1 << 20  # pieces remembered by a worker
 
 
 def byte_alphabet() -> dict[str, int]:
