@@ -24,7 +24,7 @@ STANDINS = {
     "event_entities": ("events", "event_id % 2 = 0 AND event_id < 4000", {"id": "event_id", "event_id": "event_id", "entity_kind": "CASE WHEN event_id % 6 = 0 THEN 'person' ELSE 'lab' END", "role": "CASE WHEN event_id % 10 = 0 THEN 'subject' ELSE 'author' END", "basis": "CASE WHEN event_id % 8 = 0 THEN 'source_inferred' ELSE 'model_asserted' END", "evidence_id": "event_id"}),
     "rejections": ("orders", "o_orderkey < 3000 AND o_orderkey % 3 = 0", {"id": "o_orderkey", "document_id": "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END", "stage": "CASE o_orderkey % 4 WHEN 0 THEN 'verification' WHEN 1 THEN 'stage2' ELSE 'stage1' END", "reason": "CASE o_orderkey % 7 WHEN 0 THEN 'quote_unverified' WHEN 1 THEN 'quote_not_found' WHEN 2 THEN 'near_duplicate' WHEN 3 THEN 'low_substance' WHEN 4 THEN 'no_verified_insight' ELSE 'too_short' END"}),
     "fetch_log": ("events", "event_id < 900", {"id": "event_id", "source_id": "event_id % 9", "attempted_at": "CAST(CAST(ts AS DATE) AS VARCHAR(20))", "status": "CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 13 = 0 THEN 'empty' ELSE 'ok' END"}),
-    "llm_calls": ("orders", "o_orderkey < 2000", {"id": "o_orderkey", "task": "CASE WHEN o_orderstatus = 'F' THEN 'extract' ELSE 'judge' END", "model": "o_orderpriority", "input_tokens": "o_custkey", "output_tokens": "o_orderkey % 100", "cost_usd": "round(o_totalprice / 1000, 2)", "reasoning_tokens": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 END"}),
+    "llm_calls": ("orders", "o_orderkey < 2000", {"id": "o_orderkey", "task": "CASE WHEN o_orderstatus = 'F' THEN 'extract' ELSE 'judge' END", "model": "o_orderpriority", "input_tokens": "o_custkey", "output_tokens": "o_orderkey % 100", "cost_usd": "o_totalprice", "reasoning_tokens": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 END"}),
     "pairwise_labels": ("events", "event_id < 3000", {"id": "event_id", "event_a": "event_id", "event_b": "event_id + 1", "winner": "CASE event_id % 5 WHEN 0 THEN 'tie' WHEN 1 THEN 'a' WHEN 2 THEN 'a' ELSE 'b' END", "labeler": "concat(CASE WHEN event_id % 4 = 0 THEN 'human:' ELSE 'llm:' END, event_type, '/investment/r1')", "reason": "CASE WHEN event_id % 6 = 0 THEN 'x CONF=low' WHEN event_id % 7 <> 0 THEN 'clear' END"}),
     "insight_features": ("events", "event_id % 2 = 0 AND event_id < 3900", {"event_id": "event_id", "feature": "event_type", "value": "value"}),
     "event_scores": ("events", "event_id % 2 = 0 AND event_id < 4000", {"id": "event_id", "event_id": "event_id % 1000", "model": "event_type", "score": "value", "policy_version": "CASE WHEN event_id = 2 THEN 1 ELSE 3 END"}),
