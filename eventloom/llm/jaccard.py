@@ -318,6 +318,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     named = roots.join(reps, F.col("node") == F.col("key")).select("key", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = named.join(smallest, "root").select("key", "component_id")
-    alone = reps.join(by_class, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = members.join(alone, "key", "left")
+    # A table of its own, so that many copies of one class can be split in the last join.
+    named = materialise(reps.join(by_class, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    few = named.count() <= BROADCAST_ROWS
+    out = members.select("doc_id", "n_shingles", "key").join(F.broadcast(named) if few else named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
