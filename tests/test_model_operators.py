@@ -127,3 +127,67 @@ def test_missing_keys_and_rubrics():
         config.parse_rubric({"name": "x"})
     with pytest.raises(config.ConfigError):
         config.load_yaml("- a list")
+
+
+# ---- intake and digests
+
+
+def intake(spark, docs, **more):
+    sources = [{"id": 1, "purpose": "content", "url": "https://g/x/releases.atom"}, {"id": 2, "purpose": "content", "lab_id": 1, "url": "b"}, {"id": 3, "purpose": "register"}]
+    return model(spark, sources=sources, raw_documents=docs, **more)
+
+
+def test_stage1(spark):
+    from eventloom.operators import documents as D
+
+    long = "x" * 450
+    rows = [
+        ("blog", 2, "short"), ("blog", 2, long), ("blog", 1, long), ("blog", 1, long + " ACME "), ("github", 1, "acme " + "x" * 60), ("social", 2, "@h\nurl\nAnd so it goes on and on and on and on and on and on and on"),
+        ("social", 2, "@h\nurl\nThis is a new model that we release today to everybody out there"), ("social", 2, "@h\nurl\n@you yes yes yes yes yes yes yes yes yes yes yes yes yes yes"), ("arxiv", 2, "t\nauthors: Nobody Here\n" + long), ("arxiv", 2, "t\nauthors: Lovelace Ada\n" + long),
+        ("arxiv", 2, "t\nauthors: The Team\n" + long), ("arxiv", 2, long), ("blog", 2, long + " Webinar: please register"), ("blog", 2, long + " we're hiring"), ("blog", 3, "short"),
+    ]
+    m = intake(spark, [{"id": i, "source_type": t, "source_id": s, "raw_content": c} for i, (t, s, c) in enumerate(rows)], people=[{"id": 1, "canonical_name": "Ada Lovelace"}], rejections=[{"id": 1, "document_id": 0, "stage": "stage1"}])
+    got = {r.document_id: r.reason for r in D.stage1(m, ["Acme"], ["The Team"]).collect()}
+    assert got == {1: None, 2: "no_tracked_entity", 3: None, 4: None, 5: "social_thread_continuation", 6: None, 7: "social_reply_fragment", 8: "not_lab_authored", 9: None, 10: None, 11: None, 12: "kill_list:event_promo", 13: "kill_list:job_post"}
+
+
+def test_near_duplicate_titles(spark):
+    from eventloom.operators import documents as D
+
+    docs = [{"id": i, "source_type": "blog", "source_id": 2, "url": u, "raw_content": c, "content_hash": c, "published_at": p} for i, (u, c, p) in enumerate([("a", "Same  Title\n1", "2026-01-02"), ("b", "same title\n2", "2026-01-01"), ("c", "same title\n3", None), ("d", "other", None), ("d", "<html>same title", None), ("e", None, None)])]
+    m = intake(spark, docs)
+    found = D.near_duplicates(m)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1), (2, 1)]
+    assert D.near_dup_titles(m).first().extra == 2 and D.url_versions(m).first().urls == 1
+    m._tables["rejections"] = found.select(F.lit(1).cast("long").alias("id"), "document_id", F.lit("stage1").alias("stage"))
+    assert D.near_duplicates(m).count() == 0
+
+
+def test_store_is_idempotent_and_pages_compare_by_text(spark):
+    from eventloom.operators import documents as D
+
+    m = intake(spark, [{"id": 7, "url": "p", "raw_content": "<p>a b</p>", "content_hash": "x"}])
+    fetched = spark.createDataFrame([("blog", 2, f"u{i}", c, None, "2026-01-01") for i, c in enumerate(["one", "two", "one", None])], "source_type string, source_id long, url string, raw_content string, published_at string, retrieved_at string")
+    new = D.store(m.raw_documents, fetched)
+    assert sorted((r.id, r.url) for r in new.collect()) == [(8, "u0"), (9, "u1")]
+    assert D.store(m.raw_documents.unionByName(new), fetched).count() == 0
+    pages = spark.createDataFrame([("p", "<div>a  b</div>"), ("q", "<p>a b</p>")], "url string, raw_content string")
+    assert [r.url for r in D.changed_pages(m, pages).collect()] == ["q"]
+    assert sorted(r.id for r in D.eligible(intake(spark, [{"id": 1, "source_id": 2, "url": "a"}, {"id": 2, "source_id": 3, "url": "b"}])).collect()) == [1]
+
+
+def test_digest_text():
+    from eventloom.operators import digest
+
+    items = [{"id": 1, "claim": "c", "quote": "q", "lab": "L", "published_at": None, "url": "u"}]
+    text = digest.to_markdown([("h1", "T"), *digest.item_blocks(items, {1: "note"}), ("rule", None)])
+    assert text == "# T\n\n### 1. c\n\n*L, undated*\n\n> q\n\nnote\n\n[source](u)\n\n---\n"
+    assert digest.newest(["2026-07-28-30d-a.md", "2026-07-28-100d-a.md", "2026-07-01-300d-a.md", "2026-08-01-7d-b.md"], "-a") == "2026-07-28-100d-a.md"
+    assert digest.newest([]) is None
+
+
+def test_mechanism_first(spark):
+    from eventloom.operators import digest
+
+    rows = spark.createDataFrame([(1, 1, False, None), (2, 2, True, False), (3, 3, None, True)], "id int, pos int, s boolean, m boolean")
+    assert [r.id for r in digest.mechanism_first(rows, F.col("s"), F.col("m"), "pos").collect()] == [2, 3, 1]
