@@ -273,10 +273,11 @@ def _tiles(shared: DataFrame, percent: int) -> DataFrame:
         F.count_if((F.col("band") < 0) | (F.col("band") == F.col("own"))).alias("here"),
         F.min_by("key", F.xxhash64("key")).alias("head"),
     )
-    met = rows.select("tile", "key").join(stats.where("m > 1 and here > 0").select("tile", "head"), "tile").select(F.col("head").alias("tile"), "key").distinct()
-    met = materialise(met, "met")
+    # Counts are tables of their own, so that a tile with very many classes can be split in the joins.
+    heads = materialise(stats.where("m > 1 and here > 0").select("tile", "head"), "heads")
+    met = materialise(rows.select("tile", "key").join(heads, "tile").select(F.col("head").alias("tile"), "key").distinct(), "met")
     sizes = met.groupBy("tile").agg(F.count("*").alias("m"), F.array(*[F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(2, 6)]).alias("leaders"))
-    return met.join(sizes, "tile")
+    return met.join(materialise(sizes, "sizes"), "tile")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
