@@ -17,18 +17,13 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from re import _constants as sre  # the parser's names, Python 3.11 and later
+from re import _parser as sre_parse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-try:
-    from re import _constants as sre
-    from re import _parser as sre_parse
-except ImportError:  # before Python 3.11
-    import sre_constants as sre
-    import sre_parse
-
 BLOCK_BYTES = 4 << 20
 MOST_STRINGS = 64  # exact strings followed side by side while a query is derived
 
