@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     if large.limit(1).count():
         placed = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         main = placed.groupBy("tile", "root").agg(F.count("*").alias("c")).groupBy("tile").agg(F.max_by("root", "c").alias("main"), (F.sum("c") - F.max("c")).alias("rest"))
-        placed = placed.join(main.where("rest > 0"), "tile")
+        placed = placed.join(materialise(main.where("rest > 0"), "main"), "tile")
         x, y = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("rest") / BLOCK)
         of_x, of_y = F.pmod(F.xxhash64("key", F.lit(7)), x), F.pmod(F.xxhash64("key", F.lit(8)), y)
         zero = F.lit(0).cast("long")
