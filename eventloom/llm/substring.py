@@ -174,7 +174,8 @@ def _cold_repeats(kmers: DataFrame, width: int) -> DataFrame:
 def repeated_places(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, v, at): word numbers at which repeated windows start, for documents that have any."""
     found = _places(docs, width)
-    counts = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # Counts are tables of their own, so that frequent minimisers and windows can be split in the joins.
+    counts = materialise(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     flagged = found.join(counts, "h").groupBy("doc_id", "v").agg(
         F.collect_set(F.when(F.col("c") <= MANY, F.col("p"))).alias("cold"), F.collect_set(F.when(F.col("c") > MANY, F.col("p"))).alias("hot")
     )
@@ -182,8 +183,8 @@ def repeated_places(docs: DataFrame, width: int) -> DataFrame:
     kmers = materialise(_super_kmers(_beside(docs, flagged, F.sum(F.size("cold") + F.size("hot")), "inner"), width), "kmers")
     cold = _cold_repeats(kmers.where("n > 0"), width)
     hot = kmers.where("n = 0")
-    again = hot.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1")
-    hot = hot.join(again.select("h", "g"), ["h", "g"]).groupBy("doc_id", "v").agg(F.collect_set("s").alias("at"))
+    again = materialise(hot.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g"), "again")
+    hot = hot.join(again, ["h", "g"]).groupBy("doc_id", "v").agg(F.collect_set("s").alias("at"))
     return materialise(cold.unionByName(hot).groupBy("doc_id", "v").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "repeats")
 
 
