@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a private one is made only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="eventloom-"))
         path = _own_dir[0]
