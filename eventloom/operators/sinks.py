@@ -43,3 +43,63 @@ def update_column(stored: DataFrame, changes: DataFrame, keys: list[str], column
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrite only the partitions that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """An append-only log with new rows; columns that either lacks become null."""
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
+def event_entities(events: DataFrame) -> DataFrame:
+    """Mirrored entity rows of events (id, attributed_person_id, attributed_lab_id, basis, evidence_id)."""
+    none = F.lit(None).cast("long")
+    person = F.struct(F.lit("person").alias("entity_kind"), F.col("attributed_person_id").alias("person_id"), none.alias("lab_id"))
+    lab = F.struct(F.lit("lab").alias("entity_kind"), none.alias("person_id"), F.col("attributed_lab_id").alias("lab_id"))
+    some = F.filter(F.array(person, lab), lambda e: e["person_id"].isNotNull() | e["lab_id"].isNotNull())
+    return events.select(F.col("id").alias("event_id"), "basis", "evidence_id", F.explode(some).alias("e")).select("event_id", "e.*", F.lit("subject").alias("role"), "basis", "evidence_id")
+
+
+def retract(tables: dict[str, DataFrame], bad_evidence: DataFrame) -> dict[str, DataFrame]:
+    """identities, affiliations, event_entities and evidence without bad_evidence (id), and people left with an identity.
+
+    People who lose their last identity by it go, with their affiliations.
+    """
+    gone = bad_evidence.select(F.col("id").alias("evidence_id")).distinct()
+    out = dict(tables)
+    for name in ("identities", "affiliations", "event_entities"):
+        out[name] = tables[name].join(gone, "evidence_id", "left_anti").select(*tables[name].columns)
+    had = tables["identities"].select(F.col("person_id").alias("id")).distinct()
+    have = out["identities"].select(F.col("person_id").alias("id")).distinct()
+    orphans = had.join(have, "id", "left_anti")
+    out["people"] = tables["people"].join(orphans, "id", "left_anti")
+    lost = orphans.select(F.col("id").alias("person_id"))
+    out["affiliations"] = out["affiliations"].join(lost, "person_id", "left_anti").select(*tables["affiliations"].columns)
+    out["evidence"] = tables["evidence"].join(gone.withColumnRenamed("evidence_id", "id"), "id", "left_anti")
+    return out
+
+
+def prune_people(tables: dict[str, DataFrame], bad_people: DataFrame) -> dict[str, DataFrame]:
+    """The tables without bad_people (id): their identities and affiliations, and evidence nothing else uses."""
+    lost = bad_people.select(F.col("id").alias("person_id")).distinct()
+    out = dict(tables)
+    out["people"] = tables["people"].join(bad_people.select("id").distinct(), "id", "left_anti")
+    for name in ("identities", "affiliations"):
+        out[name] = tables[name].join(lost, "person_id", "left_anti").select(*tables[name].columns)
+    before = tables["identities"].select("evidence_id").unionByName(tables["affiliations"].select("evidence_id"))
+    after = out["identities"].select("evidence_id").unionByName(out["affiliations"].select("evidence_id"))
+    for name in ("insights", "event_entities", "person_candidates"):
+        if name in tables:
+            after = after.unionByName(tables[name].select("evidence_id"))
+    stranded = before.distinct().join(after.distinct(), "evidence_id", "left_anti").select(F.col("evidence_id").alias("id"))
+    out["evidence"] = tables["evidence"].join(stranded, "id", "left_anti")
+    return out
+
+
+def notifier(send):
+    """A foreachBatch hook that hands each new alert to send(dict); a batch of alerts is small."""
+
+    def deliver(batch: DataFrame, _: int) -> None:
+        for row in batch.toLocalIterator():
+            send(row.asDict())
+
+    return deliver

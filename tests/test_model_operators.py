@@ -191,3 +191,44 @@ def test_mechanism_first(spark):
 
     rows = spark.createDataFrame([(1, 1, False, None), (2, 2, True, False), (3, 3, None, True)], "id int, pos int, s boolean, m boolean")
     assert [r.id for r in digest.mechanism_first(rows, F.col("s"), F.col("m"), "pos").collect()] == [2, 3, 1]
+
+
+# ---- posts and the writes that remove
+
+
+def test_posts(spark, tmp_path):
+    from eventloom.sources import social
+
+    (tmp_path / "p.json").write_text('{"source": "x", "n": 2, "posts": [{"id": "1", "handle": "a", "url": "https://h/a/status/1", "created_at": "2026", "text": "t"},\n {"id": "2", "handle": "a", "url": "u", "created_at": "2027", "text": "t"}, {"id": "3", "handle": "b", "url": "u", "created_at": "2020", "text": "t"}]}')
+    posts = social.read_posts(spark, str(tmp_path))
+    assert [r.id for r in social.within_limits(posts, 1, 9).collect()] == ["2", "3"]
+    assert [r.id for r in social.within_limits(posts, 5, 2).collect()] == ["2", "3"]
+    assert sorted(tuple(r[0]) for r in posts.select(social.post_key(F.col("url"))).collect() if r[0].id) == [("a", "1")]
+    with pytest.raises(ValueError, match="budget"):
+        social.worst_case_usd(100, 20, 1000, 0.01, 8.0)
+    assert social.worst_case_usd(1, 20, 1000, 0.01, 8.0) == pytest.approx(0.2)
+
+
+def test_retract_and_prune(spark):
+    from eventloom.operators import sinks
+
+    m = model(
+        spark,
+        people=[{"id": 1}, {"id": 2}, {"id": 3}],
+        identities=[{"id": 1, "person_id": 1, "evidence_id": 1}, {"id": 2, "person_id": 2, "evidence_id": 2}, {"id": 3, "person_id": 2, "evidence_id": 3}],
+        affiliations=[{"id": 1, "person_id": 1, "evidence_id": 4}],
+        evidence=[{"id": i} for i in (1, 2, 3, 4)],
+        insights=[{"id": 1, "evidence_id": 2}],
+    )
+    names = ("people", "identities", "affiliations", "event_entities", "evidence", "insights")
+    tables = {n: getattr(m, n) for n in names}
+    ids = lambda d, n: sorted(r.id for r in d[n].collect())
+    out = sinks.retract(tables, spark.createDataFrame([(1,), (3,)], "id long"))
+    assert (ids(out, "people"), ids(out, "identities"), ids(out, "affiliations"), ids(out, "evidence")) == ([2, 3], [2], [], [2, 4])
+    out = sinks.prune_people(tables, spark.createDataFrame([(2,)], "id long"))
+    assert (ids(out, "people"), ids(out, "identities"), ids(out, "evidence")) == ([1, 3], [1], [1, 2, 4])
+    rows = spark.createDataFrame([(1, 5, None, "model_asserted", 9), (2, 5, 6, None, 9), (3, None, None, None, 9)], "id long, attributed_person_id long, attributed_lab_id long, basis string, evidence_id long")
+    assert sorted((r.event_id, r.entity_kind) for r in sinks.event_entities(rows).collect()) == [(1, "person"), (2, "lab"), (2, "person")]
+    got = []
+    sinks.notifier(got.append)(rows.limit(1), 0)
+    assert got[0]["id"] == 1
