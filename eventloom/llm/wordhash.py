@@ -17,7 +17,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
