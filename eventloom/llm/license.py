@@ -5,7 +5,8 @@ are the sparse features of a multinomial logistic regression over licence famili
 The regression is fitted on the driver from variations of the templates below and from unrelated
 sentences, its temperature and its threshold on variations held out. Scoring is column expressions
 over the whole text: the weights are a constant map. A family counts only if one of its templates
-shares enough of its words with the paragraph.
+shares enough of its words with the paragraph; one of fewer than four known words must stand in it
+word for word.
 
 Edge cases: null and empty texts have no paragraph and no licence; a paragraph with fewer than two
 known words is unknown; ties go to the family first by name; repeated rows give repeated results;
@@ -62,6 +63,7 @@ TEMPLATES = {
     ),
     "proprietary": (
         "Copyright Example Corporation. All rights reserved.",
+        "All rights reserved.",
         "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ),
 }
@@ -83,14 +85,20 @@ UNRELATED = (
     "The weather was fine and the people were in the street.",
     "International attribution of the painting is confidential, the corporation said.",
 )
-STOP = frozenset("a all an and any are as at be been by can for from has have in is it its may not of on or our that the this to via was with you your".split())
+STOP = frozenset("a an and any are as at be been by can for from has have in is it its may not of on or our that the this to via was with you your".split())
 UNKNOWN = "unknown"
+SHORT = 4  # templates with fewer known words are confirmed as phrases
 
 
 def _tokens(text: str, vocabulary: frozenset[str] | set[str]) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w in vocabulary]
 
 
+def _spaced(text: str) -> str:
+    """All words, each between single spaces."""
+    return " ".join(["", *(w for w in re.split(r"[^a-z0-9]+", text.lower()) if w), ""])
+
+
 def _grams(tokens: list[str]) -> set[str]:
     return {*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))}
 
@@ -103,6 +111,7 @@ class Model:
     bias: list[float]
     threshold: float
     templates: dict[str, list[list[str]]]
+    phrases: dict[str, list[str]]  # the short templates
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         z = np.array(self.bias) + sum((np.array(self.weights[g]) for g in _grams(tokens) if g in self.weights), np.zeros(len(self.bias)))
@@ -159,13 +168,15 @@ def train(seed: int = 11, per_text: int = 24, l2: float = 2e-3, rounds: int = 20
     cuts = np.linspace(0.2, 0.95, 76)
     threshold = float(max(cuts, key=lambda c: ((known >= c).mean() + (other < c).mean(), -abs(c - 0.5))))
     w = np.round(w * scale, 6)
+    words = {f: [sorted(set(_tokens(t, vocabulary))) for t in texts] for f, texts in TEMPLATES.items()}
     return Model(
         families,
         tuple(sorted(vocabulary)),
         {g: w[i].tolist() for g, i in grams.items()},
         w[-1].tolist(),
         threshold,
-        {f: [sorted(set(_tokens(t, vocabulary))) for t in texts] for f, texts in TEMPLATES.items()},
+        {f: [t for t in known if len(t) >= SHORT] for f, known in words.items()},
+        {f: [_spaced(t) for t, k in zip(TEMPLATES[f], known, strict=True) if len(k) < SHORT] for f, known in words.items()},
     )
 
 
@@ -176,8 +187,10 @@ def classify(model: Model, line: str, confirm: float = 0.6) -> tuple[str, float]
         return None
     p = model.probabilities(tokens)
     k = int(p.argmax())
-    if k and p[k] >= model.threshold and any(len(set(tokens) & set(t)) >= confirm * len(t) for t in model.templates[model.families[k]]):
-        return model.families[k], float(p[k])
+    if k and p[k] >= model.threshold:
+        family = model.families[k]
+        if any(len(set(tokens) & set(t)) >= confirm * len(t) for t in model.templates[family]) or any(s in _spaced(line) for s in model.phrases[family]):
+            return family, float(p[k])
     return UNKNOWN, float(p[0] if not k else p[k])
 
 
@@ -187,8 +200,10 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
     bias = F.array(*[F.lit(float(b)) for b in model.bias])
     families = F.array(*[F.lit(f) for f in model.families])
     templates = F.from_json(F.lit(json.dumps(model.templates)), "map<string,array<array<string>>>")
+    phrases = F.from_json(F.lit(json.dumps(model.phrases)), "map<string,array<string>>")
     own = docs.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n"))
     known = lambda line: F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w.isin(*model.vocabulary))
+    spaced = lambda line: F.concat(F.lit(" "), F.array_join(F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), ""), " "), F.lit(" "))
     own = own.withColumn("_p", F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), known(x).alias("t"))), lambda x: F.size(x["t"]) >= 2))
 
     def grams(t):
@@ -207,7 +222,10 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
         "_j",
         lambda x: (x["family"] != UNKNOWN)
         & (x["probability"] >= model.threshold)
-        & F.exists(F.coalesce(templates[x["family"]], F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect(x["t"], t)) >= confirm * F.size(t)),
+        & (
+            F.exists(F.coalesce(templates[x["family"]], F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect(x["t"], t)) >= confirm * F.size(t))
+            | F.exists(F.coalesce(phrases[x["family"]], F.array().cast("array<string>")), lambda s: F.contains(spaced(F.get("_l", x["paragraph"])), s))
+        ),
     )
     found = F.transform(confirmed, lambda x: F.struct(x["paragraph"], x["family"], x["probability"]))
     n = F.size(F.filter("_l", lambda x: x.rlike(r"\S"))).cast("long")

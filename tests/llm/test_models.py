@@ -150,6 +150,15 @@ def test_licences_in_the_corpus(spark, sf):
     assert got == want
 
 
+def test_bare_statement_of_rights(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id for r in catalog.op7_licences(spark, sf).where("licences like '%proprietary%'").collect()}
+    assert got == {r.doc_id for r in docs.where("text like '%All rights reserved.%'").collect()}
+    lines = ["All rights reserved.", "(c) 2020 X. ALL RIGHTS RESERVED", "All rights of way are reserved.", "He reserved all rights.", "Overall rights reserved"]
+    rows = {r.doc_id: r.licences for r in license.licence_rows(H.documents(spark, lines)).collect()}
+    assert [rows[i] for i in range(len(lines))] == ["proprietary", "proprietary", "", "", ""]
+
+
 # ---- pipeline
 
 
