@@ -6,7 +6,10 @@ The regression is fitted on the driver from variations of the templates below an
 sentences, its temperature and its threshold on variations held out. Scoring is column expressions
 over the whole text: the weights are a constant map. A family counts only if one of its templates
 shares enough of its words with the paragraph; one of fewer than four known words must stand in it
-word for word.
+word for word. A statement that is wrapped over several lines is looked for in windows that begin
+at a known word and have as many words as a template, across line breaks and marks; they are
+classified and confirmed like a paragraph, but only words in the template's order count.
+Windows that touch a line of the same family are left out, of overlapping ones the best counts.
 
 Edge cases: null and empty texts have no paragraph and no licence; a paragraph with fewer than two
 known words is unknown; ties go to the family first by name; repeated rows give repeated results;
@@ -112,6 +115,7 @@ class Model:
     threshold: float
     templates: dict[str, list[list[str]]]
     phrases: dict[str, list[str]]  # the short templates
+    spans: list[dict]  # all templates: number of words, known words in order, and all of them again for phrases
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         z = np.array(self.bias) + sum((np.array(self.weights[g]) for g in _grams(tokens) if g in self.weights), np.zeros(len(self.bias)))
@@ -177,6 +181,11 @@ def train(seed: int = 11, per_text: int = 24, l2: float = 2e-3, rounds: int = 20
         threshold,
         {f: [t for t in known if len(t) >= SHORT] for f, known in words.items()},
         {f: [_spaced(t) for t, k in zip(TEMPLATES[f], known, strict=True) if len(k) < SHORT] for f, known in words.items()},
+        [
+            {"family": f, "n": len(_spaced(t).split()), "words": list(dict.fromkeys(_tokens(t, vocabulary))), "phrase": _tokens(t, vocabulary) if len(k) < SHORT else None}
+            for f, known in words.items()
+            for t, k in zip(TEMPLATES[f], known, strict=True)
+        ],
     )
 
 
@@ -227,9 +236,50 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
             | F.exists(F.coalesce(phrases[x["family"]], F.array().cast("array<string>")), lambda s: F.contains(spaced(F.get("_l", x["paragraph"])), s))
         ),
     )
-    found = F.transform(confirmed, lambda x: F.struct(x["paragraph"], x["family"], x["probability"]))
+    own = own.withColumn("_f", F.transform(confirmed, lambda x: F.struct(x["paragraph"], x["family"], x["probability"])))
+
+    # Wrapped statements. _k: the known words of all lines, each with its line and its place among all words.
+    words = lambda line: F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
+    placed = lambda line: F.filter(F.transform(words(line), lambda w, j: F.struct(j.alias("j"), w.alias("w"))), lambda y: y["w"].isin(*model.vocabulary))
+    own = own.withColumn("_q", F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), placed(x).alias("t"))), lambda x: F.size(x["t"]) > 0))
+    several = F.size("_q") > 1
+    own = own.withColumn("_n", F.when(several, F.transform("_l", lambda x: F.size(words(x)))))
+    before = lambda i: F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda acc, x: acc + x)
+    own = own.withColumn("_q", F.when(several, F.transform("_q", lambda x: F.struct(x["i"], before(x["i"]).alias("b"), x["t"]))))
+    own = own.withColumn("_k", F.flatten(F.transform("_q", lambda x: F.transform(x["t"], lambda y: F.struct(x["i"].alias("i"), (x["b"] + y["j"]).alias("at"), y["w"].alias("w"))))))
+    spans = F.from_json(F.lit(json.dumps(model.spans)), "array<struct<family:string,n:int,words:array<string>,phrase:array<string>>>")
+
+    def in_order(own_words, of):
+        """How many of the words follow one another as in the template."""
+        step = lambda acc, p: F.when(p > acc["last"], F.struct(p.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+        return F.aggregate(F.transform(own_words, lambda w: F.array_position(of, w).cast("int")), F.struct(F.lit(0).alias("last"), F.lit(0).alias("n")), step)["n"]
+
+    def window(s, k, t):
+        inside = F.filter(F.slice("_k", k + 1, t["n"]), lambda y: y["at"] < s["at"] + t["n"])
+        t_own = F.transform(inside, lambda y: y["w"])
+        return F.struct(
+            t["family"].alias("family"), s["i"].alias("first"), F.element_at(inside, -1)["i"].alias("last"), s["at"].alias("start"), t["n"].alias("n"), t_own.alias("t"),
+            (in_order(t_own, t["words"]) / F.size(t["words"])).alias("share"), F.coalesce(t_own == t["phrase"], F.lit(True)).alias("whole"),
+        )
+
+    def windows(t):
+        at = F.filter(F.transform("_k", lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: F.array_contains(t["words"], x["s"]["w"]))
+        alone = lambda x: ~F.exists("_f", lambda y: (y["family"] == x["family"]) & y["paragraph"].between(x["first"], x["last"]))
+        return F.filter(F.transform(at, lambda x: window(x["s"], x["k"], t)), lambda x: (x["first"] < x["last"]) & (x["share"] >= confirm) & x["whole"] & alone(x))
+
+    own = own.withColumn("_v", F.when(several, F.flatten(F.transform(spans, windows))))
+    own = own.withColumn("_v", F.transform("_v", lambda x: x.withField("z", scores(x["t"]))))
+    own = own.withColumn("_v", F.transform("_v", lambda x: x.withField("probability", 1 / total(x["z"]))))
+    own = own.withColumn("_v", F.filter("_v", lambda x: (F.element_at(families, F.array_position(x["z"], F.array_max(x["z"])).cast("int")) == x["family"]) & (x["probability"] >= model.threshold)))
+    meets = lambda x, o: (o["family"] == x["family"]) & (o["start"] < x["start"] + x["n"]) & (x["start"] < o["start"] + o["n"])
+    rank = lambda x: F.struct(x["share"], x["probability"], -x["start"], x["n"])
+    best = F.filter("_v", lambda x: ~F.exists("_v", lambda o: meets(x, o) & (rank(o) > rank(x))))
+    wrapped = F.coalesce(F.array_distinct(F.transform(best, lambda x: F.struct(x["first"].alias("paragraph"), x["family"], x["probability"]))), F.array().cast("array<struct<paragraph:int,family:string,probability:double>>"))
+    own = own.withColumn("found", F.array_sort(F.concat("_f", wrapped)))
+    held = lambda x: F.exists("_f", lambda y: y["paragraph"] == x["paragraph"]) | F.coalesce(F.exists("_v", lambda v: x["paragraph"].between(v["first"], v["last"])), F.lit(False))
+    unknown = F.size(F.filter("_j", lambda x: ~held(x))).cast("long")
     n = F.size(F.filter("_l", lambda x: x.rlike(r"\S"))).cast("long")
-    return own.withColumns({"n_paragraphs": n, "n_unknown": (F.size("_j") - F.size(confirmed)).cast("long"), "found": found}).drop("_l", "_p", "_s", "_j")
+    return own.withColumns({"n_paragraphs": n, "n_unknown": unknown}).drop("_l", "_p", "_s", "_j", "_f", "_q", "_n", "_k", "_v")
 
 
 def licence_rows(docs: DataFrame) -> DataFrame:

@@ -159,6 +159,26 @@ def test_bare_statement_of_rights(spark, sf):
     assert [rows[i] for i in range(len(lines))] == ["proprietary", "proprietary", "", "", ""]
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    lead = "We walked along one quiet river until evening came, then slept. "
+    want, texts = [], []
+    for family, ts in license.TEMPLATES.items():
+        for t in ts:
+            for width in (40, 60, 70, 80):
+                for mark in ("", "# ", " * "):
+                    body = lead[: -len(t) % 31].rsplit(" ", 1)[0] + " " + lead if len(t) < width else ""
+                    texts.append("\n".join(["first"] + [mark + x for x in textwrap.wrap(body + t, width, break_on_hyphens=True)] + ["last"]))
+                    want.append(family)
+    apart = ["All rights\nof way are reserved.", "mit\nmit under\nmit mit", "All rights\nreserved.", "\n".join(license.UNRELATED)]
+    rows = {r.doc_id: r for r in license.licence_rows(H.documents(spark, texts + apart)).collect()}
+    for i, (family, text) in enumerate(zip(want, texts, strict=True)):
+        assert (rows[i].licences, rows[i].first_paragraph is not None) == (family, True), text
+    assert [rows[len(texts) + i].licences for i in range(4)] == ["", "", "proprietary", ""]
+    assert (rows[len(texts) + 2].first_paragraph, rows[len(texts) + 2].n_unknown) == (0, 0)
+
+
 # ---- pipeline
 
 
