@@ -3,7 +3,10 @@
 Base features come from one pass of column expressions over the text. The method's verdict
 compares two histograms of a document, character classes and common words, with each language's
 reference (the sum over all documents of that language) by Jensen-Shannon distance, and rejects a
-document that is far from every reference. Documents shorter than `min_words` are not judged by
+document that is far from every reference. The share of common words varies less in long texts:
+where a document's own language has a reference, its word distance may be `word_guard[0]` plus
+`word_guard[1]` by the root of its words at most, so that from 51 words on a text without any common
+word is far. Documents shorter than `min_words` are not judged by
 it. Only languages with a thousandth of the documents or more make a reference, so there are at
 most a thousand.
 
@@ -128,13 +131,15 @@ def js_distance(counts: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(counts, q, part), F.lit(0.0), lambda acc, x: acc + x)))
 
 
-def judged(feats: DataFrame, refs: dict, min_words: int = 40, max_class_distance: float = 0.3, max_word_distance: float = 0.45) -> DataFrame:
+def judged(feats: DataFrame, refs: dict, min_words: int = 40, max_class_distance: float = 0.3, max_word_distance: float = 0.45, word_guard: tuple[float, float] = (0.1, 1.22)) -> DataFrame:
     """Adds class_distance, word_distance (to the nearest language; null without one), base_failed and kept."""
     nearest = lambda col, k: F.least(*[js_distance(F.col(col), r[k]) for r in refs.values()], F.lit(2.0)) if refs else F.lit(None).cast("double")
     long_enough = F.col("n_words") >= min_words
     out = feats.withColumn("class_distance", F.when(long_enough, nearest("classes", 0))).withColumn("word_distance", F.when(long_enough, nearest("common", 1)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = F.coalesce((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance), F.lit(False))
+    own = F.coalesce(F.col("lang").isin(*refs), F.lit(False))
+    far = far | (own & F.coalesce(F.col("word_distance") > word_guard[0] + word_guard[1] / F.sqrt("n_words"), F.lit(False)))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 

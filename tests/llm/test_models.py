@@ -124,6 +124,27 @@ def test_label_model_finds_accuracies_and_correlations():
     assert np.mean((post > 0.5) == y) > 0.93
 
 
+# ---- quality (6)
+
+
+def test_quality_without_common_words(spark, sf):
+    from eventloom.llm import quality
+
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("etaoinshrd"), rng.integers(4, 9)))
+    text = lambda n, share: " ".join(rng.choice(quality.COMMON_WORDS[:6]) if rng.random() < share else word() for _ in range(n))
+    clean = [text(int(n), 0.15) for n in rng.integers(60, 400, 200)]
+    junk = [text(n, 0) for n in (60, 120, 400)] + [" | ".join(text(n, 0).split()) for n in (60, 120, 400)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean + junk)] + [(900, junk[1] + " x", "rare", "s", 1), (901, junk[1] + " y", None, "s", 1)]
+    feats = quality.features(spark.createDataFrame(rows, H.SCHEMA))
+    kept = {r.doc_id: r.kept for r in quality.judged(feats, {"en": quality.references(feats)["en"]}).collect()}
+    assert all(kept[i] for i in range(len(clean)))
+    assert not any(kept[len(clean) + i] for i in range(len(junk)))
+    assert kept[900] and kept[901]
+    got = quality.quality_rows(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("n_words >= 60")
+    assert got.where("quality = 0 and kept").count() == 0
+
+
 # ---- licences (7)
 
 
