@@ -207,7 +207,7 @@ def html_to_text(t):
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2023-12-31' WHEN 2 THEN '2022-02-09' END AS published FROM pages""")
 def page_published(t):
     lead = F.when(F.col("page_id") % 4 == 0, '<script>{"datePublished": "2024-03-05T01:00"}</script>').when(F.col("page_id") % 4 == 1, '<time class="x" datetime="2023-12-31">').when(F.col("page_id") % 4 == 2, "<h1>T</h1> by A on February 9, 2022 ")
-    html = F.concat(F.coalesce(lead, F.lit("")), F.substring("html", 1, 0))
+    html = F.concat(F.coalesce(lead, F.lit("")), F.coalesce("html", F.lit("")))
     return t.pages.select("page_id", T.page_published(html).alias("published"))
 
 

@@ -228,7 +228,8 @@ _BODY = "array_to_string(list_slice(string_split(text, chr(10)), 2, 10000), chr(
 @query(f"""SELECT conv_id, turn, CASE WHEN trim({_BODY}) = '' THEN 'empty' WHEN starts_with({_BODY}, '@') THEN 'reply'
   WHEN regexp_matches({_BODY}, '^(La|Le|De|The|It|And)\\b') THEN 'continuation' END AS reason FROM conversations""")
 def filter_social_fragment(t):
-    body = F.array_join(F.slice(F.split("text", "\n"), 2, 10_000), "\n")
+    lines = F.split("text", "\n")
+    body = F.array_join(F.slice(lines, 2, F.size(lines)), "\n")
     reason = F.when(F.trim(body) == "", "empty").when(body.startswith("@"), "reply").when(body.rlike(r"^(La|Le|De|The|It|And)\b"), "continuation")
     return t.conversations.select("conv_id", "turn", reason.alias("reason"))
 

@@ -47,6 +47,17 @@ def test_plan_without_sql_runs(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_whole_pages_and_posts(spark, tmp_path):
+    own = '<p>x</p><script>{"datePublished": "2020-01-02T03:00"}</script>'
+    spark.createDataFrame([(3, own), (7, "<p>" + "y" * 50_000 + "</p>" + own), (11, "<p>x</p>"), (15, None), (4, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.published for r in plans.QUERIES["page_published"](spark, str(tmp_path)).collect()}
+    assert got == {3: "2020-01-02", 7: "2020-01-02", 11: None, 15: None, 4: "2024-03-05"}
+    posts = [(1, "head" + "\n" * 10_002 + "body"), (2, "head\n@x"), (3, "head"), (4, "")]
+    spark.createDataFrame([(i, 1, t) for i, t in posts], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.reason for r in plans.QUERIES["filter_social_fragment"](spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: "reply", 3: "empty", 4: "empty"}
+
+
 def model(spark, **rows):
     made = {}
     for name, values in rows.items():
