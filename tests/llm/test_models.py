@@ -112,16 +112,90 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity_rows(H.empty(spark), labels).count() == 0
 
 
-def test_label_model_finds_accuracies_and_correlations():
-    rng = np.random.default_rng(4)
-    y = (rng.random(6000) < 0.3).astype(int)
-    fire = lambda a, b: (rng.random(6000) < np.where(y == 1, a, b)).astype(float)
+def weak_votes(n=6000, seed=4):
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.3).astype(int)
+    fire = lambda a, b: (rng.random(n) < np.where(y == 1, a, b)).astype(float)
     votes = np.column_stack([fire(0.8, 0.05), fire(0.6, 0.1), fire(0.7, 0.02)])
-    votes = np.column_stack([votes, votes[:, 0]])
+    return rng, y, np.column_stack([votes, votes[:, 0]])
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    rng, y, votes = weak_votes()
     given = np.where(rng.random(6000) < 0.1, y, -1)
-    post, rates, corr = toxicity.label_model(votes, given)
+    asked = np.ones(votes.shape, bool)
+    first = toxicity.first_rates(votes, given, asked)
+    post, rates, corr, prior, share = toxicity.label_model(votes, np.ones(6000), asked, first, 0.5)
     assert rates[1] == pytest.approx([0.1, 0.6], abs=0.08) and corr[0, 3] > 0.9 and abs(corr[0, 1]) < 0.2
-    assert np.mean((post > 0.5) == y) > 0.93
+    assert np.mean((post > 0.5) == y) > 0.93 and prior == pytest.approx(0.3, abs=0.05) and share[0] < 0.6 < share[1]
+    # Counted patterns give what single rows give.
+    patterns, back, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    by_pattern = toxicity.label_model(patterns, n.astype(float), np.ones(patterns.shape, bool), first, 0.5)
+    assert by_pattern[0][back.ravel()] == pytest.approx(post, abs=1e-6) and by_pattern[1] == pytest.approx(rates, abs=1e-6)
+
+
+def test_label_model_against_plain_loops():
+    _, _, votes = weak_votes(60, 5)
+    n = np.arange(60) % 3 + 1.0
+    asked = np.random.default_rng(6).random(votes.shape) < 0.8
+    rates = np.array([[0.2, 0.7]] * 4)
+    got = toxicity.label_model(votes, n, asked, rates, 0.4, rounds=3)
+
+    def expect(r, prior, share):
+        out = []
+        for i in range(60):
+            z = np.log(prior / (1 - prior))
+            for k in range(4):
+                if asked[i, k]:
+                    on, off = r[k][1] / r[k][0], (1 - r[k][1]) / (1 - r[k][0])
+                    z += share[k] * np.log(on if votes[i, k] else off)
+            out.append(1 / (1 + np.exp(-z)))
+        return out
+
+    r, share = rates.tolist(), [1.0] * 4
+    post = expect(r, 0.4, share)
+    for _ in range(3):
+        r = [[(sum(n[i] * w(post[i]) * votes[i, k] for i in range(60) if asked[i, k]) + 0.1) / (sum(n[i] * w(post[i]) for i in range(60) if asked[i, k]) + 0.2) for w in (lambda p: 1 - p, lambda p: p)] for k in range(4)]
+        prior = sum(a * b for a, b in zip(n, post, strict=True)) / n.sum()
+        left = [[votes[i, k] - r[k][0] * (1 - post[i]) - r[k][1] * post[i] for k in range(4)] for i in range(60)]
+        cov = lambda a, b: sum(n[i] * left[i][a] * left[i][b] for i in range(60) if asked[i, a] and asked[i, b]) / sum(n[i] for i in range(60) if asked[i, a] and asked[i, b])  # noqa: E731, B023
+        share = [1 / max(1, sum(min(1, max(0, cov(a, b) / np.sqrt(cov(a, a) * cov(b, b)))) for b in range(4))) for a in range(4)]
+        post = expect(r, prior, share)
+    assert got[0] == pytest.approx(post, abs=1e-6) and got[1] == pytest.approx(np.array(r), abs=1e-6)
+
+
+def test_toxicity_against_a_plain_scorer(spark):
+    docs, labels = toxic_docs(spark)
+    model, _ = toxicity.fit(docs, labels)
+    names, w, v = list(model.voters.index), model.weights, model.voters
+
+    def plain(text):
+        words, z, hits = [x.lower() for x in toxicity.WORD.findall(text or "")], model.weights[-1], 0
+        for i, s in enumerate(names):
+            n = sum(x + "." == s or (len(x) > len(s) and x.startswith(s)) for x in words)
+            if n:
+                z, hits = z + w[i] * (1 + np.log(n)), hits + n
+        for k, p in enumerate(toxicity.PATTERNS):
+            z += w[len(names) + k] * bool(p.search(text or ""))
+        return 1 / (1 + np.exp(-(z + w[len(names) + len(toxicity.PATTERNS)] * 10 * hits / max(1, len(words)))))
+
+    rows = toxicity.toxicity_rows(docs, labels).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.score == pytest.approx(plain(texts[r.doc_id]), abs=1e-9) for r in rows)
+    # A voter is made from its own part only, and not asked about it.
+    asked = v.asked(np.arange(v.folds))
+    for k in range(v.folds):
+        assert not asked[k, k * toxicity.KINDS : (k + 1) * toxicity.KINDS].any() and asked[k].sum() == v.size - toxicity.KINDS
+
+
+def test_draw_is_bounded_in_rows_and_characters(spark):
+    docs, labels = toxic_docs(spark)
+    many = docs.unionByName(docs.where("doc_id = 7").withColumn("text", F.explode(F.array(*[F.lit(str(i)) for i in range(500)]))))
+    rows, share = toxicity.draw(many, labels, 100, 1_000_000)
+    assert 60 < len(rows) <= 100 and 0 < share < 1
+    rows, _ = toxicity.draw(many, labels, 1000, 30_000)
+    assert 0 < sum(len(t) for _, t, _, _ in rows) <= 30_000 and max(len(t) for _, t, _, _ in rows) <= 300
+    assert toxicity.draw(docs, labels.where("toxic = 1"), 100, 1000) == ([], 0.0)
 
 
 # ---- quality (6)
