@@ -50,7 +50,8 @@ def _positions(key: Column, size: int, hashes: int, salt: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(salt), F.lit(j)), F.lit(size)) for j in range(hashes)]
 
 
-def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
+def bloom_level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
+    """A Bloom filter of n distinct keys (column key) that lets others through at this rate."""
     hashes = max(1, round(math.log2(1 / rate)))
     size = max(63, math.ceil(n * hashes / math.log(2)))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), size, hashes, salt))).alias("at"))
@@ -81,14 +82,14 @@ def build(universe: DataFrame, listed: DataFrame, first_rate: float = 0.01, rate
         return None
     if not n:
         return Cascade(())
-    levels = [_level(listed, n, first_rate, 1)]
+    levels = [bloom_level(listed, n, first_rate, 1)]
     through = universe.select("key").where(levels[0].holds(F.col("key")))
     tagged = through.withColumn("own", F.lit(0)).unionByName(listed.withColumn("own", F.lit(1))).groupBy("key").agg(F.max("own").alias("own"))
     inside, outside = listed, materialise(tagged.where("own = 0").select("key"), "cascade")
     while m := outside.count():
         if m * 2 > MAX_BITS:
             return None
-        levels.append(_level(outside, m, rate, len(levels) + 1))
+        levels.append(bloom_level(outside, m, rate, len(levels) + 1))
         inside, outside = outside, materialise(inside.where(levels[-1].holds(F.col("key"))), "cascade")
     return Cascade(tuple(levels))
 

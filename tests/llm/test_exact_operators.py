@@ -91,9 +91,10 @@ def items_of(spark, sf):
     return rows + [(900, None), (901, ""), (902, "lone"), (903, rows[0][1]), (904, "..."), (None, "w7919 w15838")]
 
 
-@pytest.mark.parametrize("literal", [50_000, -1])
-def test_decontamination(spark, sf, literal, monkeypatch):
-    monkeypatch.setattr(decontam, "LITERAL_WINDOWS", literal)
+@pytest.mark.parametrize(("literal", "bloom", "broadcast", "a_row"), [(20_000, 0, 300_000, 64), (-1, 1_000_000, 300_000, 2), (-1, -1, -1, 1)])
+def test_decontamination(spark, sf, literal, bloom, broadcast, a_row, monkeypatch):
+    for name, value in (("LITERAL_WORDS", literal), ("BLOOM_WORDS", bloom), ("BROADCAST_ROWS", broadcast), ("WINDOWS_A_ROW", a_row)):
+        monkeypatch.setattr(decontam, name, value)
     items = [i for i in items_of(spark, sf) if i[0] is not None]
     texts = H.edge_texts() + real_texts(spark, sf, 60) + ["Lone LONE; lone", "x " + items[3][1].upper() + " y"]
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.contamination_digests(H.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
@@ -110,6 +111,19 @@ def test_decontamination_edges(spark):
     assert sum(r.contaminated for r in decontam.contamination_digests(docs, one).collect()) == 3
 
 
+def test_decontamination_of_a_long_text_and_a_hot_word(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "LITERAL_WORDS", -1)
+    monkeypatch.setattr(decontam, "BLOOM_WORDS", -1)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
+    # Every window's rarest word is "hot", which stands at every tenth place of the long text and in 100 windows.
+    long = " ".join("hot" if i % 10 == 0 else f"w{i % 97}" for i in range(20_000))
+    often = " ".join(f"w{i % 97}" for i in range(100_000))
+    items = [(i, " ".join(["hot" if j == i % 10 else f"w{(i * 13 + j * 7) % 97}" for j in range(10)])) for i in range(100)] + [(5000, " ".join(long.split()[777:790]))]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.contamination_digests(H.documents(spark, [long, often]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[0] == H.contamination(long, dict(items)) and got[0][1] > 0
+    assert got[1][:3] == (100_000, 0, 0)
+
+
 # ---- quality rules (6)
 
 
