@@ -1,7 +1,8 @@
 """Exact near-duplicate join on word shingles: size-banded tiles with hashed bitmap signatures.
 
-A document is the set of its distinct 3-word shingles (64-bit tokens whose top byte orders long,
-and so rare, shingles first). Equal sets are one class. Two classes can reach the threshold only
+A document is the set of its distinct 3-word shingles (tokens of 56 hash bits under a byte that
+orders long, and so rare, shingles first). Equal sets, by 128-bit digests, are one class; it goes by
+64 bits of the digest, and where two classes agree in these, all but one get other names. Two classes can reach the threshold only
 if they share a token among the first n - ceil(t n) + 1 of both (their prefixes) and if their
 sizes are within t, so that classes meet in tiles of (prefix token, size band). Tokens that occur
 in very many prefixes are counted over all documents and put last in the order. Tiles with the
@@ -14,9 +15,12 @@ connected are left out. A tile of more than BLOCK classes is dealt to blocks tha
 leaders; only classes that did not get connected to the tile's main component are then compared
 with all of the tile, block by block. No pair is emitted but the edges of a spanning forest.
 
+Texts are hashed once, or twice where very frequent tokens must be put last, besides those that are
+verified.
+
 Edge cases: null and empty texts have no shingles and stay alone (n_shingles 0, their own id); one
 or two words are one shingle of the whole sequence; equal rows link with each other; a null id is
-ignored where the smallest id is sought; other columns are ignored.
+ignored where the smallest id is sought, but its text links others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,8 +64,23 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(token[a:b]) for a, b in zip(ends - spans, ends, strict=True)]
 
 
-def _key(tokens: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
+Moved = dict[tuple[int, int], int]  # names of classes whose first half of the digest another class has
+
+
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _halves(tokens: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    if not len(tokens):
+        return None, None
+    d = _digest(tokens)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _key(tokens: np.ndarray, moved: Moved) -> int | None:
+    halves = _halves(tokens)
+    return moved.get(halves, halves[0]) if moved else halves[0]
 
 
 def _each(docs: DataFrame, schema: str, width: int, make) -> DataFrame:
@@ -177,7 +196,7 @@ def _with_partners(laid: DataFrame, percent: int) -> DataFrame:
     return placed.select("sub", "key", "known", "n", "sig").mapInArrow(run, "sub long, key long, known long")
 
 
-def _verified(laid: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(laid: DataFrame, width: int, percent: int, moved: Moved) -> DataFrame:
     """(a, b) of rows (sub, key, known, text), which every task holds tile by tile."""
 
     def run(batches):
@@ -199,7 +218,7 @@ def _verified(laid: DataFrame, width: int, percent: int) -> DataFrame:
                     if sub != open_:
                         got += close()
                         open_, rows = sub, {}
-                    if _key(tokens) == key:  # an id may have several texts
+                    if _key(tokens, moved) == key:  # an id may have several texts
                         rows[key] = known, tokens
                 yield emit(got)
         yield emit(close())
@@ -208,53 +227,99 @@ def _verified(laid: DataFrame, width: int, percent: int) -> DataFrame:
     return placed.select("sub", "key", "known", "text").mapInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, dealt: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges among dealt (sub, key, known): bounded by signatures, then verified, each class's text read once."""
-    laid = dealt.join(classes.select("key", "n", "sig"), "key")
+def _named(docs: DataFrame) -> DataFrame:
+    """(rep, text): a row's id, or its text's hash where that is null."""
+    return docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rep"), "text")
+
+
+def _links(docs: DataFrame, laid: DataFrame, classes: DataFrame, width: int, percent: int, moved: Moved) -> DataFrame:
+    """Edges among laid (sub, key, known, n, sig): bounded by signatures, then verified, each class's text read once."""
     near = materialise(_with_partners(laid, percent), "near")
     wanted = near.groupBy("key", "known").agg(F.collect_set("sub").alias("subs")).join(classes.select("key", "rep"), "key")
     wanted = materialise(wanted.select("rep", "key", "known", "subs"), "wanted")
     few = near.count() <= BROADCAST_ROWS
-    found = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if few else wanted, "rep")
-    return materialise(_verified(found.select(F.explode("subs").alias("sub"), "key", "known", "text"), width, percent), "links")
+    found = _named(docs).join(F.broadcast(wanted) if few else wanted, "rep")
+    return materialise(_verified(found.select(F.explode("subs").alias("sub"), "key", "known", "text"), width, percent, moved), "links")
+
+
+def _prefix(tokens: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of which two linked sets share one; hot ones are last in the order."""
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+        tokens = np.concatenate([tokens[~is_hot], tokens[is_hot]])
+    return tokens[: len(tokens) - (percent * len(tokens) + 99) // 100 + 1] if len(tokens) else tokens
 
 
-def _prefix_rows(docs: DataFrame, width: int, hot: np.ndarray, percent: int) -> DataFrame:
-    """(token, key, n) of every class's prefix; equal sets of one block once."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
-    def hot_last(s):
-        if not len(hot):
-            return s
-        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        return np.concatenate([s[~is_hot], s[is_hot]])
+
+def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, v, rep, n_shingles, key, other, sig, prefix) of every row; v is the text's hash, key and other the digest's halves."""
 
     def make(columns, sets):
-        own = {k: s for s in sets if (k := _key(s)) is not None}
-        sizes = {k: len(s) - (percent * len(s) + 99) // 100 + 1 for k, s in own.items()}
-        token = np.concatenate([hot_last(s)[: sizes[k]] for k, s in own.items()]) if own else np.empty(0, np.uint64)
-        reps = np.array([sizes[k] for k in own], np.int64)
+        halves = [_halves(s) for s in sets]
         return [
-            pa.array(token.view(np.int64)),
-            pa.array(np.repeat(np.array(list(own), np.int64), reps)),
-            pa.array(np.repeat(np.array([len(s) for s in own.values()], np.int32), reps)),
+            *columns,
+            pa.array([len(s) for s in sets], pa.int64()),
+            *(pa.array([h[i] for h in halves], pa.int64()) for i in (0, 1)),
+            pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+            _lists([_prefix(s, np.empty(0, np.uint64), percent) for s in sets]),
         ]
 
-    return _each(docs.select("text"), "token long, key long, n int", width, make)
+    v = F.xxhash64("text")
+    own = docs.select("doc_id", v.alias("v"), F.coalesce("doc_id", v).alias("rep"), "text")
+    return materialise(_each(own, "doc_id long, v long, rep long, n_shingles long, key long, other long, sig binary, prefix array<long>", width, make), "members")
+
+
+def _apart(members: DataFrame) -> tuple[DataFrame, Moved]:
+    """members with a key of its own for each class, and the keys that differ from the digest's first half."""
+    moved: Moved = {}
+    while True:
+        named = members
+        if moved:  # some tens among 10^10 classes
+            rows = [(*halves, k) for halves, k in moved.items()]
+            table = members.sparkSession.createDataFrame(rows, "key long, other long, _k long")
+            named = members.join(F.broadcast(table), ["key", "other"], "left").withColumn("_d", F.col("key")).withColumn("key", F.coalesce("_k", "key"))
+        else:
+            named = members.withColumn("_d", F.col("key"))
+        of = named.where("key is not null").groupBy("key").agg(F.min(F.struct("_d", "other")).alias("lo"), F.max(F.struct("_d", "other")).alias("hi"))
+        both = materialise(of.where("lo <> hi").select("key", "lo"), "both")
+        # Of the classes under one key the first stays.
+        rest = named.join(F.broadcast(both), "key").where((F.col("_d") != F.col("lo._d")) | (F.col("other") != F.col("lo.other"))).select("_d", "other").distinct().collect() if both.limit(1).count() else []
+        if not rest:
+            return named.select(*members.columns), moved
+        for r in rest:
+            seed = f"{r._d}:{r.other}:{moved.get((r._d, r.other))}".encode()
+            moved[r._d, r.other] = int.from_bytes(hashlib.blake2b(seed, digest_size=8).digest(), "little", signed=True)
+
+
+def _with_hot_last(docs: DataFrame, classes: DataFrame, hot: np.ndarray, width: int, percent: int, moved: Moved) -> DataFrame:
+    """classes' (key, n, prefix) with prefixes in which hot tokens come last."""
 
+    def make(columns, sets):
+        own = {k: s for s in sets if (k := _key(s, moved)) is not None}
+        return [pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), _lists([_prefix(s, hot, percent) for s in own.values()])]
+
+    rows = _each(docs.select("text"), "key long, n long, prefix array<long>", width, make)
+    return rows.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
-def _shared_prefixes(docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """Distinct (token, key, n) of the tokens that two rows or more have in their prefixes."""
+
+def _shared_prefixes(docs: DataFrame, classes: DataFrame, width: int, percent: int, moved: Moved) -> DataFrame:
+    """(token, key, n) of the tokens that two classes or more have in their prefixes."""
+    tokens = lambda c: c.select("key", "n", F.explode("prefix").alias("token"))
+    count = lambda c: materialise(tokens(c).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "tokens")
+    rows = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     most = max(2000, rows // HOT_SHARE)
-    hot = np.empty(0, np.uint64)
-    tokens = _prefix_rows(docs, width, hot, percent)
-    shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "tokens")
+    shared = count(classes)
     found = [r.token for r in shared.where(F.col("c") > most).select("token").collect()]  # fewer than HOT_SHARE
     if found:
         hot = np.sort(np.array(found, np.int64).view(np.uint64))
-        tokens = _prefix_rows(docs, width, hot, percent)
-        shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "tokens")
-    rows_ = tokens.join(shared.select("token"), "token").groupBy("token", "key").agg(F.first("n").alias("n"))
-    return materialise(rows_, "prefixes")
+        classes = materialise(_with_hot_last(docs, classes, hot, width, percent, moved), "classes")
+        shared = count(classes)
+    return materialise(tokens(classes).join(shared.select("token"), "token").select("token", "key", "n"), "prefixes")
 
 
 def _tiles(shared: DataFrame, percent: int) -> DataFrame:
@@ -280,28 +345,24 @@ def _tiles(shared: DataFrame, percent: int) -> DataFrame:
     return met.join(materialise(sizes, "sizes"), "tile")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per input row."""
-
-    def sizes(columns, sets):
-        return [
-            columns[0],
-            pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([_key(s) for s in sets], pa.int64()),
-            pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-        ]
+def grouped(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, v, n_shingles, group, component_id): one row per input row; v is the text's hash.
 
-    members = materialise(_each(docs.select("doc_id", "text"), "doc_id long, n_shingles long, key long, sig binary", width, sizes), "members")
-    rows = members.agg(F.sum(F.expr(f"n_shingles - (n_shingles * {percent} + 99) div 100 + 1"))).first()[0] or 0
+    group names the row's component, null where the text has no words; component_id is the smallest id in it.
+    """
+    members, moved = _apart(_members(docs, width, percent))
     by_key = members.where("key is not null").groupBy("key")
-    reps = by_key.agg(F.min("doc_id").alias("rep"))
-    classes = by_key.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    shared = _shared_prefixes(docs, width, percent, rows)
+    reps = by_key.agg(F.min("doc_id").alias("low"))
+    classes = by_key.agg(F.min("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    classes = materialise(classes, "classes")
+    shared = _shared_prefixes(docs, classes, width, percent, moved)
     tiles = materialise(_tiles(shared, percent), "tiles")
+    # Signatures are joined before a class is dealt to blocks, so that a leader of very many is one row.
+    signed = lambda rows: rows.join(classes.select("key", "n", "sig"), "key")
     blocks_ = F.ceil(F.col("m") / BLOCK)
     parts = F.when(F.col("m") <= BLOCK, F.array(F.lit(0).cast("long"))).when(F.array_contains("leaders", F.col("key")), F.sequence(F.lit(0).cast("long"), blocks_ - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", F.lit(6)), blocks_)))
-    dealt = tiles.select("key", F.explode(parts).alias("part"), "tile").select(F.xxhash64("tile", "part").alias("sub"), "key", F.col("key").alias("known"))
-    edges = _links(docs, dealt, classes, width, percent)
+    dealt = signed(tiles.select("key", "tile", parts.alias("parts"))).select("key", "tile", F.explode("parts").alias("part"), "n", "sig")
+    edges = _links(docs, dealt.select(F.xxhash64("tile", "part").alias("sub"), "key", F.col("key").alias("known"), "n", "sig"), classes, width, percent, moved)
     roots = components(edges)
     large = tiles.where(F.col("m") > BLOCK)
     if large.limit(1).count():
@@ -313,14 +374,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         zero = F.lit(0).cast("long")
         pairs = F.transform(F.sequence(zero, y - 1), lambda j: F.struct(of_x.alias("i"), j.alias("j")))
         pairs = F.when(F.col("root") == F.col("main"), pairs).otherwise(F.array_union(pairs, F.transform(F.sequence(zero, x - 1), lambda i: F.struct(i.alias("i"), of_y.alias("j")))))
-        again = placed.select("key", "root", "tile", F.explode(pairs).alias("p")).select(F.xxhash64("tile", "p.i", "p.j", F.lit(9)).alias("sub"), "key", F.col("root").alias("known"))
-        edges = edges.unionByName(_links(docs, again, classes, width, percent))
+        again = signed(placed.select("key", "root", "tile", pairs.alias("pairs"))).select("key", "root", "tile", F.explode("pairs").alias("p"), "n", "sig")
+        again = again.select(F.xxhash64("tile", "p.i", "p.j", F.lit(9)).alias("sub"), "key", F.col("root").alias("known"), "n", "sig")
+        edges = edges.unionByName(_links(docs, again, classes, width, percent, moved))
         roots = components(edges)
-    named = roots.join(reps, F.col("node") == F.col("key")).select("key", "root", "rep")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "root").select("key", "component_id")
+    named = roots.join(reps, F.col("node") == F.col("key")).select("key", "root", "low")
+    smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_class = named.join(smallest, "root").select("key", "root", "component_id")
     # A table of its own, so that many copies of one class can be split in the last join.
-    named = materialise(reps.join(by_class, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    few = named.count() <= BROADCAST_ROWS
-    out = members.select("doc_id", "n_shingles", "key").join(F.broadcast(named) if few else named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = reps.join(by_class, "key", "left").select("key", F.coalesce("root", "key").alias("group"), F.coalesce("component_id", "low").alias("component_id"))
+    names = materialise(names, "named")
+    few = names.count() <= BROADCAST_ROWS
+    out = members.select("doc_id", "v", "n_shingles", "key").join(F.broadcast(names) if few else names, "key", "left")
+    return out.select("doc_id", "v", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per input row."""
+    return grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")

@@ -1,14 +1,14 @@
 """Quality rules: exact repetition rules, and divergence from language references.
 
 Base features come from one pass of column expressions over the text. The method's verdict
-compares two histograms of a document, character classes and common words, with each language's
-reference (the sum over all documents of that language) by Jensen-Shannon distance, and rejects a
-document that is far from every reference. The share of common words varies less in long texts:
-where a document's own language has a reference, its word distance may be `word_guard[0]` plus
+compares two histograms of a document, character classes and common words, with language references
+(the sum over all documents of a language) by Jensen-Shannon distance: with that of its own
+language, whatever its size, and with those of the `MAIN_LANGUAGES` languages of most documents. It
+rejects a document that is far from all of them. A document is left out of its own language's
+reference, which needs `min_words` words of others. The share of common words varies less in long
+texts: where a document's own language has a reference, its word distance may be `word_guard[0]` plus
 `word_guard[1]` by the root of its words at most, so that from 51 words on a text without any common
-word is far. Documents shorter than `min_words` are not judged by
-it. Only languages with a thousandth of the documents or more make a reference, so there are at
-most a thousand.
+word is far. Documents shorter than `min_words` are not judged by the method.
 
 Edge cases: a null text counts as empty and fails the base rule; null languages make no reference;
 without references the method keeps everything; repeated rows give repeated results; other columns
@@ -17,6 +17,8 @@ are ignored. Windows are told apart by a 64-bit hash within one document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ COMMON = tuple(dict.fromkeys(COMMON_WORDS))
 _CASED = COMMON + tuple(w.capitalize() for w in COMMON) + tuple(w.upper() for w in COMMON if len(w) > 1)
 
 
+CLASSES = 7  # small letters, capitals, digits, marks, symbols, white space, others
+MAIN_LANGUAGES = 16  # whose references every document is compared with, besides its own language's
+BROADCAST_LANGUAGES = 10_000  # references joined by a broadcast (some 3 MB), else by a shuffle
+
+
 def word_array(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ in order."""
     for c in "\t\n\x0b\x0c\r":
@@ -105,42 +112,61 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def references(feats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Histograms by language over all documents, as shares; at most a thousand languages."""
-    n_classes, n_common = 7, len(COMMON) + 1
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"a{i}") for i in range(n_classes)] + [F.sum(F.get("common", F.lit(i))).alias(f"b{i}") for i in range(n_common)]
-    total = feats.where("lang is not null").count()
-    out = {}
-    for r in feats.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") * 1000 >= total).collect():
-        a, b = [[float(r[f"{p}{i}"] or 0) for i in range(k)] for p, k in (("a", n_classes), ("b", n_common))]
-        if sum(a) and sum(b):
-            out[r.lang] = [x / sum(a) for x in a], [x / sum(b) for x in b]
-    return out
+def references(feats: DataFrame) -> DataFrame:
+    """(lang, docs, ref_classes, ref_common): histograms by language over all documents."""
+    sums = [F.array(*[F.sum(F.get(c, F.lit(i))).cast("double") for i in range(n)]).alias(f"ref_{c}") for c, n in (("classes", CLASSES), ("common", len(COMMON) + 1))]
+    return materialise(feats.where("lang is not null").groupBy("lang").agg(F.count("*").alias("docs"), *sums), "references")
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _plogp(a: Column) -> Column:
+    """The sum of x log2 x over shares."""
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.when(x > 0, x * F.log2(x)).otherwise(0.0))
 
 
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, of a histogram of counts from fixed shares; 0 to 1."""
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
-    q = F.array(*[F.lit(float(x)) for x in reference])
+def shares(counts: Column) -> Column:
+    """Counts by their sum; null if that is 0."""
+    total = _sum(counts)
+    return F.when(total > 0, F.transform(counts, lambda x: x / total))
 
-    def part(x, y):
-        p = F.try_divide(x, total)  # null, and so the distance, of an empty histogram
-        half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-        return (half(p, y) + half(y, p)) / 2
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(counts, q, part), F.lit(0.0), lambda acc, x: acc + x)))
+def js_distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of two arrays of shares; 0 to 1, null if one is null."""
+    half = F.zip_with(p, q, lambda x, y: (x + y) / 2)
+    return F.sqrt(F.when(p.isNotNull() & q.isNotNull(), F.greatest(F.lit(0.0), (_plogp(p) + _plogp(q)) / 2 - _plogp(half))))
 
 
-def judged(feats: DataFrame, refs: dict, min_words: int = 40, max_class_distance: float = 0.3, max_word_distance: float = 0.45, word_guard: tuple[float, float] = (0.1, 1.22)) -> DataFrame:
+def judged(feats: DataFrame, refs: DataFrame, min_words: int = 40, max_class_distance: float = 0.3, max_word_distance: float = 0.45, word_guard: tuple[float, float] = (0.1, 1.22)) -> DataFrame:
     """Adds class_distance, word_distance (to the nearest language; null without one), base_failed and kept."""
-    nearest = lambda col, k: F.least(*[js_distance(F.col(col), r[k]) for r in refs.values()], F.lit(2.0)) if refs else F.lit(None).cast("double")
+    main = refs.orderBy(F.desc("docs"), "lang").limit(MAIN_LANGUAGES).collect()
+    few = refs.count() <= BROADCAST_LANGUAGES
+    others = refs.select(F.col("lang").alias("_lang"), "ref_classes", "ref_common")
+    out = feats.join(F.broadcast(others) if few else others, F.col("lang") == F.col("_lang"), "left")
     long_enough = F.col("n_words") >= min_words
-    out = feats.withColumn("class_distance", F.when(long_enough, nearest("classes", 0))).withColumn("word_distance", F.when(long_enough, nearest("common", 1)))
+    rest = {c: F.zip_with(f"ref_{c}", c, lambda x, y: x - y) for c in ("classes", "common")}
+    out = out.withColumn("_own", F.coalesce(_sum(rest["common"]) >= min_words, F.lit(False)))
+    for c in ("classes", "common"):
+        out = out.withColumns({f"_p_{c}": F.when(long_enough, shares(F.col(c))), f"_q_{c}": F.when(F.col("_own") & long_enough, shares(rest[c]))})
+
+    def nearest(c):
+        p, own = F.col(f"_p_{c}"), js_distance(F.col(f"_p_{c}"), F.col(f"_q_{c}"))
+        far = [(r.lang, [x / total for x in r[f"ref_{c}"]]) for r in main if (total := sum(r[f"ref_{c}"]))]
+        if not far:
+            return own
+        table = F.array(*[F.struct(F.lit(k).alias("lang"), F.array(*map(F.lit, q)).alias("q"), F.lit(sum(x * math.log2(x) for x in q if x)).alias("e")) for k, q in far])
+        mine = F.col(f"_e_{c}")
+        of = lambda r: F.sqrt(F.greatest(F.lit(0.0), (mine + r["e"]) / 2 - _plogp(F.zip_with(p, r["q"], lambda x, y: (x + y) / 2))))
+        return F.when(p.isNotNull(), F.least(own, F.array_min(F.transform(table, lambda r: F.when(~r["lang"].eqNullSafe(F.col("lang")), of(r))))))
+
+    out = out.withColumns({f"_e_{c}": _plogp(F.col(f"_p_{c}")) for c in ("classes", "common")})
+    out = out.withColumns({"class_distance": nearest("classes"), "word_distance": nearest("common")})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = F.coalesce((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance), F.lit(False))
-    own = F.coalesce(F.col("lang").isin(*refs), F.lit(False))
-    far = far | (own & F.coalesce(F.col("word_distance") > word_guard[0] + word_guard[1] / F.sqrt("n_words"), F.lit(False)))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    far = F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
+    far = far | (F.col("_own") & F.coalesce(F.col("word_distance") > word_guard[0] + word_guard[1] / F.sqrt("n_words"), F.lit(False)))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).select(*feats.columns, "class_distance", "word_distance", "base_failed", "kept")
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:

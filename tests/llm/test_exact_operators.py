@@ -1,9 +1,11 @@
 """Operators with exact definitions against plain Python, edge cases included."""
 
 import random
+import math
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +85,35 @@ def test_jaccard_empty_and_null_ids(spark):
     assert got == sorted(map(str, [(None, 2, 7), (7, 2, 7), (7, 2, 7), (7, 2, 7), (3, 0, 3)]))
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_jaccard_classes_with_equal_first_halves(spark, sf, bits, monkeypatch):
+    """Digests that agree in all or most of their first 64 bits: classes are told apart by the rest."""
+    digest = jaccard._digest
+
+    def weak(tokens):
+        d = digest(tokens)
+        return bytes([d[0] & bits]) + bytes(7) + d[8:]
+
+    monkeypatch.setattr(jaccard, "_digest", weak)
+    texts = [t or "" for t in H.edge_texts() + real_texts(spark, sf, 30)]
+    classes = [jaccard._halves(s) for s in jaccard.shingle_sets(pa.array(texts), 3)]
+    rows = [(i, *c) for i, c in enumerate(classes)]
+    named, moved = jaccard._apart(spark.createDataFrame(rows, "rep long, key long, other long"))
+    assert len(moved) >= len({c for c in classes if c[0] is not None}) - 3
+    keys = {r.rep: r.key for r in named.collect()}
+    for i, a in enumerate(classes):
+        for j, b in enumerate(classes):
+            assert (a == b) == (keys[i] == keys[j])
+    assert all(moved.get(c, c[0]) == keys[i] for i, c in enumerate(classes))
+
+
+def test_jaccard_links_by_texts_without_an_id(spark):
+    a = H.prose(60, 1)
+    rows = [(None, a), (None, a.upper()), (5, a + " tail"), (None, H.prose(60, 2)), (None, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.component_id) for r in got if r.n_shingles in (58, 59)) == ["5", "5", "5", "None"]
+
+
 # ---- decontamination (5)
 
 
@@ -143,8 +174,47 @@ def test_quality_distance(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([([1, 1],), ([2, 0],), ([0, 5],), ([0, 0],)], "c array<long>")
-    got = [r[0] for r in df.select(quality.js_distance(F.col("c"), [0.5, 0.5])).collect()]
-    assert got[0] == pytest.approx(0) and got[1] == pytest.approx(got[2]) and 0.5 < got[1] < 0.6
+    even = F.array(F.lit(0.5), F.lit(0.5))
+    got = [r[0] for r in df.select(quality.js_distance(quality.shares(F.col("c")), even)).collect()]
+    assert got[0] == pytest.approx(0) and got[1] == pytest.approx(got[2]) and 0.5 < got[1] < 0.6 and got[3] is None
+
+
+@pytest.mark.parametrize(("main", "broadcast"), [(16, 10_000), (1, -1)])
+def test_quality_verdict_against_plain_python(spark, sf, main, broadcast, monkeypatch):
+    monkeypatch.setattr(quality, "MAIN_LANGUAGES", main)
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", broadcast)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(10_000, H.prose(60, 5), "ja"), (10_001, "el gato y la casa " * 3 + H.prose(60, 6), "ja"), (10_002, H.prose(70, 7), "zz"), (10_003, H.prose(70, 8), None)]
+    docs = docs.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    feats = {r.doc_id: r for r in quality.features(docs).collect()}
+    got = {r.doc_id: r for r in quality.quality_rows(docs).collect()}
+    sums, n = {}, {}
+    for r in feats.values():
+        if r.lang is not None:
+            n[r.lang] = n.get(r.lang, 0) + 1
+            for c in ("classes", "common"):
+                sums[r.lang, c] = [x + y for x, y in zip(sums.get((r.lang, c), [0] * len(r[c])), r[c], strict=True)]
+    widest = sorted(n, key=lambda k: (-n[k], k))[:main]
+
+    def distance(a, b):
+        p, q = ([x / sum(v) for x in v] for v in (a, b))
+        half = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0.0
+        return math.sqrt(max(0.0, sum(half(x, y) + half(y, x) for x, y in zip(p, q, strict=True)) / 2))
+
+    for i, r in feats.items():
+        if r.n_words < 40:
+            assert got[i].class_distance is None and got[i].kept == (not got[i].base_failed)
+            continue
+        own = r.lang is not None and sum(sums[r.lang, "common"]) - sum(r.common) >= 40
+        nearest = {}
+        for c in ("classes", "common"):
+            refs = [sums[k, c] for k in widest if k != r.lang] + ([[x - y for x, y in zip(sums[r.lang, c], r[c], strict=True)]] if own else [])
+            nearest[c] = min((distance(r[c], q) for q in refs if sum(q)), default=None)
+        assert (got[i].class_distance, got[i].word_distance) == (pytest.approx(nearest["classes"], abs=2e-6), pytest.approx(nearest["common"], abs=2e-6))
+        near = nearest["classes"] <= 0.3 and nearest["common"] <= 0.45 and not (own and nearest["common"] > 0.1 + 1.22 / math.sqrt(r.n_words))
+        assert got[i].kept == (near and not got[i].base_failed)
+    # Two documents of a rare language are judged by each other, the only one of another language by the wide ones.
+    assert got[10_000].class_distance > 0 and got[10_002].class_distance > 0
 
 
 # ---- URL filter (1)

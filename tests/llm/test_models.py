@@ -211,7 +211,7 @@ def test_quality_without_common_words(spark, sf):
     junk = [text(n, 0) for n in (60, 120, 400)] + [" | ".join(text(n, 0).split()) for n in (60, 120, 400)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean + junk)] + [(900, junk[1] + " x", "rare", "s", 1), (901, junk[1] + " y", None, "s", 1)]
     feats = quality.features(spark.createDataFrame(rows, H.SCHEMA))
-    kept = {r.doc_id: r.kept for r in quality.judged(feats, {"en": quality.references(feats)["en"]}).collect()}
+    kept = {r.doc_id: r.kept for r in quality.judged(feats, quality.references(feats).where("lang = 'en'")).collect()}
     assert all(kept[i] for i in range(len(clean)))
     assert not any(kept[len(clean) + i] for i in range(len(junk)))
     assert kept[900] and kept[901]
@@ -306,6 +306,17 @@ def test_pipeline_against_plain_python(spark, sf):
     assert len(P.STAGES) == 5
 
 
+def test_near_duplicate_stage_by_id_and_text(spark, sf):
+    import corpus_pipeline as P
+
+    a, b, c = H.prose(60, 1), H.prose(60, 2), H.prose(60, 3)
+    rows = [(7, a, "en", "s", 1), (7, b, "en", "s", 1), (9, b + " tail", "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "r", 1), (3, c, "fr", "x", 2), (3, c, "en", "x", 2)]
+    rows += [(None, H.prose(60, 4), "en", "s", 1)] * 2 + [(8, None, None, None, None), (8, "", None, None, None)]
+    out = P.near_duplicate_stage(spark, spark.createDataFrame(rows, H.SCHEMA), sf).collect()
+    got = sorted((str(r.doc_id), str(r.text), str(r.lang)) for r in out)
+    assert got == sorted([("7", a, "en"), ("7", b, "en"), ("3", c, "en"), ("None", H.prose(60, 4), "en"), ("8", "None", "None"), ("8", "", "None")])
+
+
 def test_pipeline_stages_on_edge_rows(spark, sf):
     import corpus_pipeline as P
 
