@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and is written
 and read again before the next. Rows with a null id or text fail the quality rules' word count or
-pass through like any other; of rows with one id and one text, one stays.
+pass through like any other; of rows with one id and one text, one stays, and rows of one id and
+unlike texts are unlike documents.
 """
 
 from __future__ import annotations
@@ -34,17 +35,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one whose id names the group."""
+    """One row of each group of linked ones: that of the smallest id, ids before null, then by text; all rows without words.
+
+    Rows of one id and one text are one row, the least by its other columns; rows of one id and unlike texts all stay.
+    """
     docs = docs.select(*COLUMNS)
-    groups = materialise(jaccard.near_duplicates(docs), "groups")
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    many = materialise(again, "again")
-    if many.limit(1).count():  # an id that occurs several times keeps one row
-        plain = docs.join(many, "doc_id", "left_anti")
-        docs = plain.unionByName(docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_d"), "left_anti").select(*COLUMNS)
+    groups = materialise(jaccard.grouped(docs).where("group is not null").select("doc_id", "v", "group"), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("v").alias("v"))
+    first = materialise(groups.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
+    few = first.count() <= BROADCAST_ROWS
+    of = materialise(groups.join(F.broadcast(first) if few else first, "group").withColumn("gone", rank != F.col("first")), "of")
+    docs = _without(docs, of.where("gone").select("doc_id", "v").distinct())
+    again = materialise(of.where("not gone").groupBy("doc_id", "v").count().where("count > 1").select("doc_id", "v"), "again")
+    if again.limit(1).count():
+        few = again.count() <= BROADCAST_ROWS
+        many = again.select(F.col("doc_id").alias("_d"), F.col("v").alias("_v"))
+        same = (F.xxhash64("text") == F.col("_v")) & docs["doc_id"].eqNullSafe(F.col("_d"))
+        row = docs.join(F.broadcast(many) if few else many, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+        docs = _without(docs, again).unionByName(row.select("doc_id", "text", "r.*").select(*COLUMNS))
+    return docs.select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
