@@ -1,6 +1,8 @@
 """URL filter over a Bloom filter cascade.
 
-Every key that a corpus can ask for is known: the typed keys of its urls (`candidate_keys`). The
+Every key that a corpus can ask for is known: its hosts' last labels, as many as some rule or listed
+host has, alone and with path prefixes, each typed by what is asked. A host of any length thus has a
+few keys. The
 cascade's first filter encodes the listed keys, the second those of the corpus's other keys that
 the first lets through, the third the listed keys that the second lets through, and so on until
 none is left over. Asking level by level is then exact for every key of the corpus, and needs no
@@ -100,16 +102,22 @@ def with_parts(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": host, "path": F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)})
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, labels: list[int]) -> Column:
+    """The host's last labels, as many as a rule or a listed host may have; the whole host if it has fewer."""
+    counts = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<int>")
+    return F.array_distinct(F.transform(counts, lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
 
 
-def _rule_keys(lengths: list[int]) -> Column:
+def _rule_keys(labels: list[int], lengths: list[int]) -> Column:
     """Host suffix and path prefix, for every length of a rule's path that the url's path has."""
     paths = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    return F.flatten(F.transform(_suffixes(F.col("host")), lambda s: F.transform(paths, lambda p: F.concat(s, p))))
+    return F.flatten(F.transform(_suffixes(F.col("host"), labels), lambda s: F.transform(paths, lambda p: F.concat(s, p))))
+
+
+def _label_counts(rules: tuple[tuple[str, str], ...], blocked_hosts: DataFrame) -> tuple[list[int], list[int]]:
+    """How many labels the rules' hosts have, and how many the listed hosts; a name has 127 at most, so these are few."""
+    listed = blocked_hosts.where("host is not null").select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect()
+    return sorted({r[: r.index("/")].count(".") + 1 for _, r in rules}), sorted(r.n for r in listed)
 
 
 def _constants(spark: SparkSession, values: list[str], name: str) -> DataFrame:
@@ -123,31 +131,32 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...], blocked_hosts: D
     own = with_parts(pages)
     lengths = sorted({len(r[r.index("/") :]) for _, r in rules})
     typed = lambda kind, keys: F.transform(keys, lambda k: F.concat(F.lit(kind), k))
-    rule_keys = _rule_keys(lengths) if lengths else F.array().cast("array<string>")
-    asked = own.select(F.explode(F.concat(typed("rule ", rule_keys), typed("block ", rule_keys), typed("host ", _suffixes(F.col("host"))))).alias("key")).distinct()
+    in_rules, in_list = _label_counts(rules, blocked_hosts)
+    rule_keys = _rule_keys(in_rules, lengths) if lengths else F.array().cast("array<string>")
+    asked = own.select(F.explode(F.concat(typed("rule ", rule_keys), typed("block ", rule_keys), typed("host ", _suffixes(F.col("host"), in_list)))).alias("key")).distinct()
     ruled = [f"rule {r}" for _, r in rules] + [f"block {r}" for v, r in rules if v == "block"]
     listed = blocked_hosts.select(F.concat(F.lit("host "), F.translate("host", _UPPER, _UPPER.lower())).alias("key"))
     if ruled:
         listed = listed.unionByName(_constants(spark, ruled, "key"))
     cascade = build(asked, listed)
     if cascade is None:
-        return _judge_by_join(own, rules, blocked_hosts, lengths)
+        return _judge_by_join(own, rules, blocked_hosts, rule_keys, in_list)
     fitting = F.filter(rule_keys, lambda k: cascade.contains(F.concat(F.lit("rule "), k)))
     longest = F.sort_array(F.transform(fitting, lambda k: F.struct((-F.length(k)).alias("n"), (-F.instr(k, "/")).alias("h"), k.alias("k"))))
     out = own.withColumn("rule", F.get(longest, F.lit(0))["k"])
-    listed_host = F.exists(_suffixes(F.col("host")), lambda s: cascade.contains(F.concat(F.lit("host "), s)))
+    listed_host = F.exists(_suffixes(F.col("host"), in_list), lambda s: cascade.contains(F.concat(F.lit("host "), s)))
     block = F.when(F.col("rule").isNotNull(), cascade.contains(F.concat(F.lit("block "), F.col("rule")))).otherwise(listed_host)
     return out.withColumn("verdict", F.when(block, "block").otherwise("allow"))
 
 
-def _judge_by_join(own: DataFrame, rules, blocked_hosts: DataFrame, lengths: list[int]) -> DataFrame:
+def _judge_by_join(own: DataFrame, rules, blocked_hosts: DataFrame, rule_keys: Column, in_list: list[int]) -> DataFrame:
     """The way beyond MAX_BITS: distinct hosts that have a listed suffix are found by an equi-join."""
     hosts = own.select("host").distinct()
-    suffixed = hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("s"))
+    suffixed = hosts.select("host", F.explode(_suffixes(F.col("host"), in_list)).alias("s"))
     bad = suffixed.join(blocked_hosts.select(F.translate("host", _UPPER, _UPPER.lower()).alias("s")).distinct(), "s").select("host").distinct().withColumn("_bad", F.lit(True))
     verdicts = {r: v for v, r in rules}
     known = F.array(*[F.lit(r) for r in verdicts]) if verdicts else F.array().cast("array<string>")
-    fitting = F.filter(_rule_keys(lengths), lambda k: F.array_contains(known, k)) if lengths else known
+    fitting = F.filter(rule_keys, lambda k: F.array_contains(known, k))
     longest = F.sort_array(F.transform(fitting, lambda k: F.struct((-F.length(k)).alias("n"), (-F.instr(k, "/")).alias("h"), k.alias("k"))))
     out = own.withColumn("rule", F.get(longest, F.lit(0))["k"]).join(bad, "host", "left")
     block = F.when(F.col("rule").isNotNull(), F.col("rule").isin([r for r, v in verdicts.items() if v == "block"])).otherwise(F.coalesce("_bad", F.lit(False)))

@@ -234,6 +234,13 @@ def test_url_filter(spark, sf):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), url
 
 
+def test_url_filter_of_very_long_hosts(spark):
+    long = ".".join(f"l{i}" for i in range(8000))
+    urls = [f"http://{long}.casino-win.example.org/", f"http://{long}.net/fr/x", f"http://casino-win.example.org.{long}/", "http://" + "." * 5000 + "/"]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.url_rows(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: (None, "block"), 1: ("net/fr/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+
+
 def test_cascade_is_exact_and_has_levels(spark):
     from pyspark.sql import functions as F
 
