@@ -64,11 +64,67 @@ def test_em_recovers_proportions():
     p = np.zeros((4000, 2), np.float32)
     first = rng.random(4000) < 0.25
     p[:, 0], p[:, 1] = np.where(first, 0.02, 0.002), np.where(first, 0.002, 0.02)
-    share, _ = langid._em(p, np.array([4000]), rounds=200, tolerance=1e-6)
+    share, _ = langid._em(p, np.ones(4000, np.int64), np.array([4000]), rounds=200, tolerance=1e-6)
     # A trigram of one language is as likely as 1 : 10 in the other: (0.25 - 1/11) / (9/11).
     assert share[0, 0] == pytest.approx((0.25 - 1 / 11) / (9 / 11), abs=0.03)
 
 
+def test_language_against_plain_python(monkeypatch):
+    """Trigrams, mixture and set of each text by loops over single characters; long texts piece by piece."""
+    rng = random.Random(3)
+    texts = [sentence(rng, EN, 30), "", sentence(rng, FR, 25), "x", sentence(rng, EN, 20) + "! " + sentence(rng, FR, 60), "É a", sentence(rng, FR, 90)]
+    languages = ("en", "fr", "xx")
+    counts = np.full((langid.BUCKETS, 3), 0.5)
+    for k, words in enumerate((EN, FR, ["zyx", "wvu"])):
+        grams, n, _ = langid.trigrams([sentence(rng, words, 300)])
+        counts[grams, k] += n
+    model = langid.Model(languages, (counts / counts.sum(0)).astype(np.float32))
+
+    def bucket(a, b, c):
+        h = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) & 0xFFFFFFFF
+        h ^= h >> 13
+        return (h * 0x27D4EB2F & 0xFFFFFFFF) >> 17
+
+    def mixture(p):
+        share = [1 / len(p[0])] * len(p[0])
+        for _ in range(24):
+            new = [0.0] * len(share)
+            for row in p:
+                z = sum(a * b for a, b in zip(row, share, strict=True))
+                new = [x + a * b / z / len(p) for x, a, b in zip(new, row, share, strict=True)]
+            moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+            share = new
+            if moved < 2e-3:
+                break
+        return share, sum(np.log(sum(a * b for a, b in zip(row, share, strict=True))) for row in p)
+
+    def plain(text):
+        low = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        p = [model.likelihood[bucket(*low[i - 1 : i + 2])].astype(float).tolist() for i in range(1, len(low) - 1) if low[i] != " "]
+        if not p:
+            return "und", 0.0
+        share, _ = mixture(p)
+        rank = sorted(range(3), key=lambda j: -share[j])
+        cost = 2 * np.log(len(p) + 1)
+        best = (sum(np.log(row[rank[0]]) for row in p) - cost, languages[rank[0]], share[rank[0]])
+        for k in (2, 3):
+            part, ll = mixture([[row[j] for j in rank[:k]] for row in p])
+            if ll - k * cost > best[0]:
+                best = (ll - k * cost, languages[rank[int(np.argmax(part))]], max(part))
+        return best[1:]
+
+    for block in (400_000, 50):
+        monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+        for text, got in zip(texts, langid.infer(model, texts), strict=True):
+            want = plain(text)
+            assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=2e-3), text
+
+
+def test_language_learns_a_bounded_number_of_labels(spark):
+    docs = language_docs(spark).unionByName(spark.range(300).select((F.col("id") + 5000).alias("doc_id"), F.lit("junk zq").alias("text"), F.concat(F.lit("l"), "id").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    assert langid.fit(docs, most_languages=2).languages == ("en", "fr")
+
+
 # ---- toxicity (3)
 
 
