@@ -101,7 +101,7 @@ def digest_parity(digests: DataFrame, m) -> DataFrame:
 
 def funnel_figure(m, most: int = 6) -> DataFrame:
     """(kind, label, n): documents by purpose and the commonest rejection reasons."""
-    by = m.raw_documents.join(F.broadcast(m.sources.select(F.col("id").alias("source_id"), "purpose")), "source_id", "left")
+    by = m.raw_documents.join(m.sources.select(F.col("id").alias("source_id"), "purpose"), "source_id", "left")
     purpose = by.groupBy(F.coalesce("purpose", F.lit("(none)")).alias("label")).agg(F.count("*").alias("n")).select(F.lit("purpose").alias("kind"), "label", "n")
     reasons = m.rejections.groupBy(F.col("reason").alias("label")).agg(F.countDistinct("document_id").alias("n")).orderBy(F.desc("n"), "label").limit(most)
     return purpose.unionByName(reasons.select(F.lit("reason").alias("kind"), "label", "n"))
@@ -167,7 +167,7 @@ def people_with_identities(m) -> DataFrame:
     ids = m.identities.groupBy("person_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "platform", "handle"))), ", ").alias("identities"))
     latest = m.affiliations.where("lab_id is not null").groupBy("person_id").agg(F.max_by("lab_id", F.struct(F.coalesce("observed_at", F.lit("")), "id")).alias("lab_id"))
     out = m.people.select(F.col("id").alias("person_id"), "canonical_name").join(ids, "person_id", "left").join(latest, "person_id", "left")
-    return out.join(F.broadcast(m.labs.select(F.col("id").alias("lab_id"), F.col("name").alias("lab"))), "lab_id", "left").select("person_id", "canonical_name", F.coalesce("identities", F.lit("")).alias("identities"), "lab")
+    return out.join(m.labs.select(F.col("id").alias("lab_id"), F.col("name").alias("lab")), "lab_id", "left").select("person_id", "canonical_name", F.coalesce("identities", F.lit("")).alias("identities"), "lab")
 
 
 def event_detail(m) -> DataFrame:

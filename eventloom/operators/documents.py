@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
 from eventloom.sources.feeds import authors_line
 
 from . import metrics
+from .order import numbered
 
 # Least characters by source type, and the texts that the first stage rejects.
 MIN_CHARS = {"blog": 100, "newsroom": 100, "github": 400, "arxiv": 150, "social": 60}
@@ -30,12 +30,8 @@ def store(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     least = F.min(F.struct("retrieved_at", "url", "source_type", "source_id", "raw_content", "published_at")).alias("r")
     new = keyed.groupBy("content_hash").agg(least).join(stored.select("content_hash"), "content_hash", "left_anti").select("content_hash", "r.*")
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    ranged = new.repartitionByRange("retrieved_at", "url", "content_hash").withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    at = F.row_number().over(W.partitionBy("_p").orderBy("retrieved_at", "url", "content_hash"))
-    numbered = ranged.withColumn("_r", at).join(F.broadcast(before), "_p").crossJoin(F.broadcast(top))
-    return numbered.withColumn("id", F.col("_top") + F.col("_b") + F.col("_r")).select(*stored.columns)
+    placed = numbered(new, "_place", "retrieved_at", "url", "content_hash")
+    return placed.crossJoin(top).withColumn("id", F.col("_top") + F.col("_place")).select(*stored.columns)
 
 
 def changed_pages(m, fetched: DataFrame) -> DataFrame:
@@ -60,7 +56,7 @@ def stage1(m, names: list[str], collectives: list[str]) -> DataFrame:
     docs = metrics._content(m, m.raw_documents)
     done = m.rejections.where("stage = 'stage1' and document_id is not null").select(F.col("document_id").alias("id"))
     src = m.sources.select(F.col("id").alias("source_id"), F.col("lab_id").alias("_lab"), F.col("url").alias("_src"))
-    docs = docs.join(done, "id", "left_anti").join(F.broadcast(src), "source_id", "left")
+    docs = docs.join(done, "id", "left_anti").join(src, "source_id", "left")
     least = F.coalesce(F.create_map(*[F.lit(x) for k, v in MIN_CHARS.items() for x in (k, v)])[F.col("source_type")], F.lit(OTHER_MIN_CHARS))
     least = F.when((F.col("source_type") == "github") & F.coalesce(F.col("_src").endswith("releases.atom"), F.lit(False)), RELEASE_FEED_MIN_CHARS).otherwise(least)
     low = F.lower("raw_content")

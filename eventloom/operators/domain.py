@@ -18,7 +18,7 @@ def nth_by_group(rows: DataFrame, sizes: DataFrame, key: str, value: str, nth: C
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_k"))
     run = F.sum("_k").over(W.partitionBy(key).orderBy(value))
-    at = counts.withColumn("_r", run).join(F.broadcast(sizes.select(key, nth.alias("_at"))), key)
+    at = counts.withColumn("_r", run).join(sizes.select(key, nth.alias("_at")), key)
     return at.where((F.col("_r") >= F.col("_at")) & (F.col("_r") - F.col("_k") < F.col("_at"))).select(key, value)
 
 
@@ -27,7 +27,7 @@ def verbatim_pairs(docs: DataFrame, quotes: DataFrame, rare_word_floor: int = 0)
 
     A document that contains a quote contains the quote's longest inner word as a word of its own
     or as a quote's edge, so pairs meet on that word; quotes of fewer than three words are compared
-    with every document, which the few needles allow.
+    with every document while they are few, else they meet on their first three characters.
     """
     d = docs.select("doc_id", T.norm_ascii(F.col("text")).alias("h"))
     q = quotes.select("item_id", T.norm_ascii(F.col("text")).alias("n")).withColumn("w", F.split("n", " "))
@@ -38,10 +38,20 @@ def verbatim_pairs(docs: DataFrame, quotes: DataFrame, rare_word_floor: int = 0)
     keys = long.select("k").distinct()
     met = words.join(F.broadcast(keys) if keys.count() <= BROADCAST_NEEDLES else keys, "k").join(long.select("k", "item_id", "n"), "k")
     exact = met.join(d, "doc_id").where(F.contains("h", F.col("n"))).select("doc_id", "item_id")
-    few = short.select("item_id", "n")
-    if not few.limit(1).count():
+    short = short.select("item_id", "n")
+    n = short.count()
+    if not n:
         return exact
-    return exact.unionByName(d.join(F.broadcast(few) if few.count() <= BROADCAST_NEEDLES else few, F.contains("h", F.col("n"))).select("doc_id", "item_id"))
+    if n > BROADCAST_NEEDLES:  # many: they meet documents on their first three characters
+        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("h") - 2)), lambda i: F.substring(F.col("h"), i, F.lit(3))))
+        heads = short.where(F.length("n") >= 3).withColumn("k", F.substring("n", 1, 3))
+        met = d.select("doc_id", F.explode(starts).alias("k")).join(heads, "k").join(d, "doc_id")
+        exact = exact.unionByName(met.where(F.contains("h", F.col("n"))).select("doc_id", "item_id"))
+        # What is left are distinct texts of two characters at most, whatever the number of quotes.
+        tiny = short.where(F.length("n") < 3)
+        held = d.crossJoin(F.broadcast(tiny.select("n").distinct())).where(F.contains("h", F.col("n"))).select("doc_id", "n")
+        return exact.unionByName(held.join(tiny, "n").select("doc_id", "item_id"))
+    return exact.unionByName(d.join(F.broadcast(short), F.contains("h", F.col("n"))).select("doc_id", "item_id"))
 
 
 def in_window(rows: DataFrame, at: str, days: int) -> DataFrame:

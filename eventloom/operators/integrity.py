@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import materialise
+
 from eventloom.functions import text as T
 
 # The confidence tiers that each way of resolving an identity may give.
@@ -40,7 +42,7 @@ def _fails(m, rows: DataFrame, check: str, ok: DataFrame) -> DataFrame:
 def checks(m, policy_version: int, event_types: list[str], as_of: Column) -> dict[str, DataFrame]:
     """Violations by check; C13 is a balance table, see metrics.m4b_register_balance."""
     key = lambda df, c, name="id": df.select(F.col(c).alias(name)).where(F.col(name).isNotNull())
-    ok = reverified(m).persist()
+    ok = materialise(reverified(m), "reverified")
     out: dict[str, DataFrame] = {}
     out["C1"] = _bad(m.raw_documents.where(F.sha2("raw_content", 256) != F.col("content_hash")), "C1", F.col("id"), F.lit("hash mismatch"))
     out["C2"] = _bad(ok.where(~F.col("ok")), "C2", F.col("id"), F.lit("no longer matches its document"))
@@ -57,7 +59,7 @@ def checks(m, policy_version: int, event_types: list[str], as_of: Column) -> dic
     out["C8"] = _fails(m, m.person_candidates, "C8", ok)
     tokens = F.split("canonical_name", r"\s+")
     clean = (F.size(tokens) >= 2) & (F.trim("canonical_name") == F.col("canonical_name")) & F.forall(tokens, lambda w: w.rlike(r"\p{L}"))
-    named = m.people.join(F.broadcast(m.labs.select(F.lower("name").alias("_n"))), F.lower("canonical_name") == F.col("_n"), "left")
+    named = m.people.join(m.labs.select(F.lower("name").alias("_n")), F.lower("canonical_name") == F.col("_n"), "left")
     out["C9"] = _bad(named.where(~F.coalesce(clean, F.lit(False)) | F.col("_n").isNotNull()), "C9", F.col("id"), F.col("canonical_name"))
     users = reduce(DataFrame.unionByName, [key(x, "evidence_id") for x in (m.insights, m.identities, m.affiliations, m.person_candidates, m.event_entities, m.event_positions)])
     out["C10"] = _bad(m.evidence.join(users, "id", "left_anti"), "C10", F.col("id"), F.lit("referenced by nothing"))

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import materialise
+
 LEAST, MOST, START = 0.01, 0.99, 0.7
 
 
@@ -20,7 +22,7 @@ def dawid_skene(votes: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
     The posterior starts from the majority, clipped to 0.05 and 0.95. Convergence is judged on the
     accuracies, which determine the posterior.
     """
-    votes = votes.where("vote in ('a', 'b')").select("item", "labeler", (F.col("vote") == "a").alias("a")).persist()
+    votes = materialise(votes.where("vote in ('a', 'b')").select("item", "labeler", (F.col("vote") == "a").alias("a")), "votes")
     margin = votes.groupBy("item").agg(F.sum(F.when(F.col("a"), 1).otherwise(-1)).alias("m"))
     post = margin.select("item", F.when(F.col("m") > 0, 0.95).otherwise(0.05).alias("p"))
     acc: dict[str, float] = {}

@@ -28,7 +28,7 @@ def _n(df: DataFrame, name: str, of: Column | None = None) -> DataFrame:
 
 
 def _lab(m, rows: DataFrame, missing: str) -> DataFrame:
-    labs = F.broadcast(m.labs.select(F.col("id").alias("attributed_lab_id"), F.col("name").alias("_lab")))
+    labs = m.labs.select(F.col("id").alias("attributed_lab_id"), F.col("name").alias("_lab"))
     return rows.join(labs, "attributed_lab_id", "left").withColumn("lab", F.coalesce("_lab", F.lit(missing)))
 
 
@@ -52,7 +52,7 @@ def latest_documents(m) -> DataFrame:
 
 def _content(m, docs: DataFrame) -> DataFrame:
     good = m.sources.where("purpose = 'content'").select(F.col("id").alias("source_id"))
-    return docs.join(F.broadcast(good), "source_id", "left_semi")
+    return docs.join(good, "source_id", "left_semi")
 
 
 def g1_basis_by_lab(m):
@@ -219,7 +219,7 @@ def m6a_fetch_status(m):
 
 def m6b_failed_fetches(m):
     named = m.sources.select(F.col("id").alias("source_id"), "name", "source_type")
-    return m.fetch_log.where("status <> 'ok'").join(F.broadcast(named), "source_id").groupBy("name", "source_type", "status").agg(F.count("*").alias("n"), F.max("attempted_at").alias("last_try"))
+    return m.fetch_log.where("status <> 'ok'").join(named, "source_id").groupBy("name", "source_type", "status").agg(F.count("*").alias("n"), F.max("attempted_at").alias("last_try"))
 
 
 def m7_labs_by_type(m):
@@ -252,7 +252,7 @@ def f1_freshness(m):
     both = F.when(F.col("lag") <= 14, F.array(F.lit("all"), F.lit("steady"))).otherwise(F.array(F.lit("all")))
     counts = lag.select(F.explode(both).alias("cohort"), "lag").groupBy("cohort", "lag").agg(F.count("*").alias("k"))
     n = counts.groupBy("cohort").agg(F.sum("k").alias("docs"), F.round(F.sum(F.col("lag") * F.col("k")) / F.sum("k"), 1).alias("mean_lag"))
-    run = counts.withColumn("r", F.sum("k").over(W.partitionBy("cohort").orderBy("lag"))).join(F.broadcast(n), "cohort")
+    run = counts.withColumn("r", F.sum("k").over(W.partitionBy("cohort").orderBy("lag"))).join(n, "cohort")
     at = F.floor(F.col("docs") / 2)
     return run.where((F.col("r") > at) & (F.col("r") - F.col("k") <= at)).select("cohort", "docs", "mean_lag", F.round("lag", 1).alias("median_lag"))
 

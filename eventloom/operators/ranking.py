@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import materialise
+
 from . import stats
 
 FEATURES = ["f0", "f1", "f2"]
@@ -94,11 +96,11 @@ def bakeoff(pairs: DataFrame, features: DataFrame, baselines: dict[str, Column])
     """(model, n, accuracy, precision10, ndcg20, winner) on held-out pairs; ties of the best go to the name."""
     names = [c for c in features.columns if c != "event"]
     train, test = split_pairs(pairs)
-    design = pair_design(train, features).persist()
+    design = materialise(pair_design(train, features), "design")
     scores = {k: features.select("event", c.alias("score")) for k, c in baselines.items()}
     scores["logistic"] = linear_scores(features, names, fit_logistic(design, names))
     scores["gbm"] = gbm_scores(fit_gbm(design, names), features, names)
-    gold = stats.net_wins(test).persist()
+    gold = materialise(stats.net_wins(test), "gold")
     rows = []
     for k, s in sorted(scores.items()):
         acc = stats.pairwise_accuracy(test, s).crossJoin(stats.precision_at_k(s, gold, 10)).crossJoin(stats.ndcg_at_k(s, gold, 20))
@@ -173,7 +175,8 @@ def planted_recovery(spark: SparkSession, n_events: int = 300, n_pairs: int = 40
         clean = pairs.join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(truth)], "event_a long, ta double"), "event_a").join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(truth)], "event_b long, tb double"), "event_b")
         s = linear_scores(features, FEATURES, learned)
         judged = clean.join(s.select(F.col("event").alias("event_a"), F.col("score").alias("sa")), "event_a").join(s.select(F.col("event").alias("event_b"), F.col("score").alias("sb")), "event_b")
-        judged = judged.select((F.col("ta") > F.col("tb")).cast("double").alias("label"), (F.col("sa") - F.col("sb")).alias("z")).persist()
+        judged = judged.select((F.col("ta") > F.col("tb")).cast("double").alias("label"), (F.col("sa") - F.col("sb")).alias("z"))
+        judged = materialise(judged, "judged")
         auc = BinaryClassificationEvaluator(rawPredictionCol="z").evaluate(judged)
         c = judged.agg(F.count_if((F.col("z") > 0) & (F.col("label") == 1)).alias("tp"), F.count_if((F.col("z") > 0) & (F.col("label") == 0)).alias("fp"), F.count_if((F.col("z") <= 0) & (F.col("label") == 1)).alias("fn"), F.count("*").alias("n")).first()
         rows.append((policy, round(auc, 3), round(2 * c.tp / max(1, 2 * c.tp + c.fp + c.fn), 3), round((c.n - c.fp - c.fn) / max(1, c.n), 3)))

@@ -1,7 +1,6 @@
 """The reader's slate: ordered acceptance with a ledger of what was dropped and why.
 
-The rules about one row alone are columns, so that Catalyst can push them down and what is left is
-small. The rules about what was already accepted (cluster, story, cap) depend on the order, so the
+The rules about one row alone are columns, and rows that break one stay in Spark. The rules about what was already accepted (cluster, story, cap) depend on the order, so the
 survivors are taken best first in chunks and stop at the k-th acceptance.
 """
 
@@ -14,6 +13,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 UNATTRIBUTED = "(unattributed)"
 
 
@@ -92,14 +93,21 @@ class Acceptance:
 def topk_slate(candidates: DataFrame, policy: SlatePolicy) -> tuple[list[dict], dict[str, int]]:
     """candidates: id, score, lab, cluster_id, published, rare, reason. The chosen rows and the ledger.
 
-    Rows come to the driver best first, one partition of the sorted result at a time, and only
-    until the k-th is accepted.
+    Rows without a reason of their own come to the driver best first, one partition of the sorted
+    result at a time, and only until the k-th is accepted. Rows with one are counted where they lie,
+    down to the place of the last accepted row.
     """
     state = Acceptance(policy)
-    ordered = candidates.select("id", "score", "lab", "cluster_id", "published", "rare", "reason").orderBy(F.desc("score"), "id")
-    for row in ordered.toLocalIterator():
+    rows = candidates.select("id", "score", "lab", "cluster_id", "published", "rare", "reason")
+    for row in rows.where("reason is null").orderBy(F.desc("score"), "id").toLocalIterator():
         if state.take(row.asDict()) and len(state.chosen) >= policy.k:
             break
+    barred = rows.where("reason is not null")
+    if policy.k and len(state.chosen) >= policy.k:
+        score, id_ = (F.lit(state.chosen[-1][c]) for c in ("score", "id"))
+        same = F.col("score").eqNullSafe(score) & (F.col("id") < id_)
+        barred = barred.where(same | (F.col("score") > score) | (score.isNull() & F.col("score").isNotNull()))
+    state.dropped.update({r.reason: r["count"] for r in barred.groupBy("reason").count().collect()})  # a row a reason
     return state.chosen, dict(state.dropped)
 
 
@@ -111,10 +119,5 @@ def reader_rank(rows: DataFrame, cutoff: Column) -> DataFrame:
     key = F.coalesce(F.col("cluster_id").cast("string"), F.concat(F.lit("id:"), F.col("id").cast("string")))
     first = F.row_number().over(W.partitionBy("_in", "_key").orderBy(F.desc("score"), "id"))
     banded = rows.withColumn("_in", inside).withColumn("_key", key).withColumn("_band", F.when(~F.col("_in"), 2).when(first == 1, 0).otherwise(1))
-    order = [F.col("_band"), F.desc("score"), F.asc("id")]
-    # A rank over all rows: sorted by ranges, numbered in each, shifted by what comes before.
-    ranged = banded.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    at = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_n", at).join(F.broadcast(before), "_p").withColumn("reader_rank", F.col("_n") + F.col("_b")).select(*rows.columns, "reader_rank")
+    out = numbered(banded.drop("_key"), "reader_rank", F.col("_band"), F.desc("score"), F.asc("id"))
+    return out.select(*rows.columns, "reader_rank")

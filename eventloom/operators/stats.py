@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import ranged
+
 FLOOR = 1e-4  # share of a category that one side lacks
 PSI_MODERATE, PSI_MAJOR = 0.10, 0.25
 KS_COEFFICIENT = 1.358
@@ -30,13 +32,13 @@ def ks(rows: DataFrame, value: str, current: Column) -> DataFrame:
     ranges, so no task holds all values. An empty side gives (0, infinity).
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(~current).alias("r"), F.count_if(current).alias("c"))
-    ranged = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
-    parts = ranged.groupBy("_p").agg(F.sum("r").alias("pr"), F.sum("c").alias("pc"))
+    laid = ranged(counts, "v")
+    parts = laid.groupBy("_p").agg(F.sum("r").alias("pr"), F.sum("c").alias("pc"))
     w = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
     before = parts.select("_p", F.coalesce(F.sum("pr").over(w), F.lit(0)).alias("br"), F.coalesce(F.sum("pc").over(w), F.lit(0)).alias("bc"))
     totals = parts.agg(F.sum("pr").alias("n"), F.sum("pc").alias("m"))
     own = W.partitionBy("_p").orderBy("v")
-    run = ranged.join(F.broadcast(before), "_p").select((F.sum("r").over(own) + F.col("br")).alias("fr"), (F.sum("c").over(own) + F.col("bc")).alias("fc"))
+    run = laid.join(before, "_p").select((F.sum("r").over(own) + F.col("br")).alias("fr"), (F.sum("c").over(own) + F.col("bc")).alias("fc"))
     gap = F.max(F.abs(F.col("fr") / F.nullif(F.col("n"), F.lit(0)) - F.col("fc") / F.nullif(F.col("m"), F.lit(0))))
     out = run.crossJoin(F.broadcast(totals)).groupBy("n", "m").agg(gap.alias("g"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")

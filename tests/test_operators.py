@@ -259,3 +259,54 @@ def test_stage2(spark):
     replies = spark.createDataFrame([(1, reply), (2, "no json"), (3, '{"events": []}'), (4, '{"events": [{"claim": "a", "quote": ""}]}')], "document_id long, reply_json string")
     got = [(r.document_id, r.claim, r.status) for r in domain.stage2(docs, replies).orderBy("document_id", "ord").collect()]
     assert got == [(1, "c1", "ok"), (1, "c2", "duplicate_quote"), (1, "c3", "quote_not_found"), (1, "c4", "ok"), (1, "c5", "over_cap"), (2, None, "parse_failed"), (3, None, "empty"), (4, "a", "quote_not_found")]
+
+
+def test_places_are_exact_on_large_tables(spark):
+    from eventloom.operators import documents, order
+
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 1_000_000
+        rows = spark.range(n).select(
+            "id", (F.xxhash64("id") % 1000 / 7.0).alias("score"), F.when(F.col("id") % 3 == 0, F.col("id") % 50_000).alias("cluster_id"), F.expr("timestamp'2024-01-01' + make_dt_interval(cast(id % 300 as int))").alias("published"), F.repeat(F.lit("x"), 100).alias("wide")
+        )
+        ranked = slate.reader_rank(rows, F.expr("timestamp'2024-03-01'"))
+        got = ranked.agg(F.count("*").alias("n"), F.countDistinct("reader_rank").alias("d"), F.min("reader_rank").alias("lo"), F.max("reader_rank").alias("hi"), F.countDistinct("id").alias("ids")).first()
+        assert tuple(got) == (n, n, 1, n, n)
+        schema = "id long, source_id long, source_type string, url string, raw_content string, content_hash string, published_at string, retrieved_at string"
+        stored = spark.createDataFrame([(7, 1, "blog", "u", "old", "h", None, "2024")], schema)
+        fetched = spark.range(400_000).select(F.lit(1).cast("long").alias("source_id"), F.lit("blog").alias("source_type"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.repeat(F.lit("x"), 100), F.col("id").cast("string")).alias("raw_content"), F.lit(None).cast("string").alias("published_at"), F.concat(F.lit("2024-"), F.col("id") % 99).alias("retrieved_at"))
+        new = documents.store(stored, fetched).agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+        assert tuple(new) == (400_000, 400_000, 8, 400_007)
+        few = spark.createDataFrame([(v,) for v in ("b", "a", "d", "c")], "v string")
+        assert sorted(tuple(r) for r in order.numbered(few, "at", "v").collect()) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+        assert order.numbered(few.limit(0), "at", "v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_many_short_quotes_meet_by_their_start(spark, monkeypatch):
+    from eventloom.operators import domain
+
+    docs = spark.createDataFrame([(1, "A party of cats"), (2, "xy"), (3, ""), (4, "the art-house")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "art"), (2, "y o"), (3, "xy"), (4, "t"), (5, "of CATS"), (6, "party of cats"), (7, "")], "item_id long, text string")
+    want = sorted(tuple(r) for r in domain.verbatim_pairs(docs, quotes).collect())
+    monkeypatch.setattr(domain, "BROADCAST_NEEDLES", 0)
+    assert sorted(tuple(r) for r in domain.verbatim_pairs(docs, quotes).collect()) == want
+    assert {(1, 1), (4, 1), (1, 2), (2, 3), (1, 5), (1, 6)} <= set(want)
+
+
+def test_hidden_elements_and_references(spark):
+    page = "<!DOCTYPE html><p title='a > b'>One<b>two</b> &amp;&nbsp;3 &lt; 4</p><template>x<template>y</template>z</template><noscript>n</noscript><!-- c --><script>if (a < b) {}</script><STYLE>p{}</STYLE> end<script>never closed"
+    assert one(spark, page, T.html_to_text) == "One two & 3 < 4 end"
+    assert one(spark, None, T.html_to_text) is None
+
+
+def test_slate_ledger_counts_barred_rows_down_to_the_last_accepted(spark):
+    rows = [(i, float(10 - i), "l", None, None, [], "undated" if i in (1, 4, 8) else None) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, score double, lab string, cluster_id long, published timestamp, rare array<string>, reason string")
+    chosen, dropped = slate.topk_slate(df, slate.SlatePolicy(k=4, max_per_lab=0))
+    assert [r["id"] for r in chosen] == [0, 2, 3, 5] and dropped == {"undated": 2}
+    chosen, dropped = slate.topk_slate(df, slate.SlatePolicy(k=40, max_per_lab=0))
+    assert len(chosen) == 7 and dropped == {"undated": 3}
