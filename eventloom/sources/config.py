@@ -39,8 +39,8 @@ class Position:
     ticker: str
     name: str
     thesis: str
-    terms: tuple[str, ...]
-    as_of: date
+    exposure_terms: tuple[str, ...]
+    weight_pct: float | None = None
 
 
 @dataclass(frozen=True)
@@ -52,17 +52,20 @@ class Policy:
     slate_k: int
     hand_weights: Mapping[str, float]
     positions: tuple[Position, ...] = ()
+    positions_as_of: date | None = None
+    positions_source: str | None = None
     window_days: int = 90
     show_undated: bool = False
-    max_per_lab: int = 2
-    story_rare_df: float = 0.03
+    max_per_lab: int = 0
+    story_rare_df: float = 0.0
     story_days: int = 7
     mobility_window_days: int = 90
     extra: Mapping[str, object] = field(default_factory=dict)
 
     @property
     def is_owned(self) -> bool:
-        return bool(self.owner)
+        """False without an owner and for a placeholder."""
+        return bool(self.owner) and UNASSIGNED not in self.owner.lower()
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(channel, ord, term) in the order given."""
@@ -71,9 +74,12 @@ class Policy:
 
     def exposure_terms(self, spark: SparkSession) -> DataFrame:
         """(ticker, term) of the positions' vocabularies."""
-        return spark.createDataFrame([(p.ticker, t) for p in self.positions for t in p.terms], "ticker string, term string")
+        return spark.createDataFrame([(p.ticker, t) for p in self.positions for t in p.exposure_terms], "ticker string, term string")
 
 
+# The names in policy files.
+UNASSIGNED = "unassigned"
+_HOLDING = {"ticker", "name", "thesis", "exposure_terms"}
 _NEEDED = {"version", "owner", "channels", "event_type_prior", "slate_k", "hand_weights"}
 _KNOWN = _NEEDED | {"effective_from", "source", "positions", "window_days", "show_undated", "max_per_lab", "story_rare_df", "story_days", "mobility_window_days", "primary_rubric", "require_mechanism", "require_holding_link"}
 
@@ -98,20 +104,28 @@ def parse_policy(raw: Mapping) -> Policy:
     for name, terms in dict(raw["channels"] or {}).items():
         if not terms or not all(isinstance(t, str) and t.strip() for t in terms):
             raise ConfigError(f"channel {name!r} has no usable terms")
-        channels[name] = tuple(terms)
+        channels[name] = tuple(t.lower() for t in terms)
     if not channels:
         raise ConfigError("no channel is defined")
     prior = dict(raw["event_type_prior"] or {})
     if odd := set(prior) - set(EVENT_TYPES):
         raise ConfigError(f"event_type_prior: unknown types {sorted(odd)}")
-    share = raw.get("story_rare_df", 0.03)
+    share = raw.get("story_rare_df", 0.0)
     if isinstance(share, bool) or not isinstance(share, (int, float)) or not 0 <= share <= 1:
         raise ConfigError(f"story_rare_df must lie between 0 and 1, not {share!r}")
+    held = raw.get("positions") or {}
+    if not isinstance(held, Mapping):
+        raise ConfigError("positions must be a mapping of as_of, source and holdings")
+    _keys(held, set(), {"as_of", "source", "holdings"}, "positions")
     positions = []
-    for p in raw.get("positions") or ():
-        _keys(p, {"ticker", "name", "thesis", "terms", "as_of"}, {"ticker", "name", "thesis", "terms", "as_of"}, "position")
-        when = p["as_of"] if isinstance(p["as_of"], date) else _day(p["as_of"])
-        positions.append(Position(p["ticker"], p["name"], p["thesis"], tuple(p["terms"]), when))
+    for p in held.get("holdings") or ():
+        _keys(p, _HOLDING, _HOLDING | {"weight_pct"}, "holding")
+        if not all(p[k] for k in _HOLDING):
+            raise ConfigError(f"holding {p['ticker']!r}: {sorted(_HOLDING)} must not be empty")
+        weight = None if p.get("weight_pct") is None else float(p["weight_pct"])
+        positions.append(Position(str(p["ticker"]).upper(), str(p["name"]), str(p["thesis"]), tuple(str(t).lower() for t in p["exposure_terms"]), weight))
+    if positions and not held.get("as_of"):
+        raise ConfigError("positions must say of which day they are")
     return Policy(
         version=_whole(raw, "version", 0),
         owner=raw["owner"],
@@ -120,9 +134,11 @@ def parse_policy(raw: Mapping) -> Policy:
         slate_k=_whole(raw, "slate_k", 15),
         hand_weights={k: float(v) for k, v in dict(raw["hand_weights"] or {}).items()},
         positions=tuple(positions),
+        positions_as_of=_day(held["as_of"]) if held.get("as_of") else None,
+        positions_source=held.get("source"),
         window_days=_whole(raw, "window_days", 90),
         show_undated=bool(raw.get("show_undated", False)),
-        max_per_lab=_whole(raw, "max_per_lab", 2),
+        max_per_lab=_whole(raw, "max_per_lab", 0),
         story_rare_df=float(share),
         story_days=_whole(raw, "story_days", 7),
         mobility_window_days=_whole(raw, "mobility_window_days", 90),
@@ -132,9 +148,9 @@ def parse_policy(raw: Mapping) -> Policy:
 
 def _day(value: object) -> date:
     try:
-        return date.fromisoformat(str(value))
+        return value if isinstance(value, date) else date.fromisoformat(str(value))
     except ValueError as e:
-        raise ConfigError(f"a position must be dated, not {value!r}") from e
+        raise ConfigError(f"positions must be dated, not {value!r}") from e
 
 
 @dataclass(frozen=True)

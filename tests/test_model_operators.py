@@ -107,12 +107,15 @@ POLICY = {"version": 3, "owner": None, "channels": {"c": ["gpu"]}, "event_type_p
 
 
 def test_policy(spark):
-    p = config.parse_policy({**POLICY, "positions": [{"ticker": "T", "name": "n", "thesis": "x", "terms": ["gpu"], "as_of": "2026-01-02"}]})
-    assert p.positions[0].as_of == date(2026, 1, 2) and not p.is_owned
-    assert p.terms(spark).count() == 1 and p.exposure_terms(spark).first().ticker == "T"
+    p = config.parse_policy({**POLICY, "positions": {"as_of": "2026-01-02", "holdings": [{"ticker": "t", "name": "n", "thesis": "x", "exposure_terms": ["GPU"], "weight_pct": 3}]}})
+    assert p.positions_as_of == date(2026, 1, 2) and p.positions[0].weight_pct == 3.0 and not p.is_owned
+    assert (p.max_per_lab, p.story_rare_df) == (0, 0.0)
+    owned = [config.parse_policy({**POLICY, "owner": o}).is_owned for o in ("Ada", "UNASSIGNED (placeholder)", "")]
+    assert owned == [True, False, False]
+    assert p.terms(spark).count() == 1 and p.exposure_terms(spark).first() == ("T", "gpu")
 
 
-@pytest.mark.parametrize("change", [{"odd": 1}, {"channels": {}}, {"channels": {"c": []}}, {"story_rare_df": 2}, {"slate_k": -1}, {"event_type_prior": {"nope": 1}}, {"positions": [{"ticker": "T", "name": "n", "thesis": "x", "terms": [], "as_of": None}]}])
+@pytest.mark.parametrize("change", [{"odd": 1}, {"channels": {}}, {"channels": {"c": []}}, {"story_rare_df": 2}, {"slate_k": -1}, {"event_type_prior": {"nope": 1}}, {"positions": {"as_of": "2026-01-02", "holdings": [{"ticker": "T", "name": "n", "thesis": "x", "exposure_terms": []}]}}, {"positions": {"holdings": [{"ticker": "T", "name": "n", "thesis": "x", "exposure_terms": ["a"]}]}}, {"positions": [1]}])
 def test_bad_policies_raise(change):
     with pytest.raises(config.ConfigError):
         config.parse_policy({**POLICY, **change})
