@@ -167,9 +167,9 @@ def window_lead_pairs(t):
     return t.events.select("user_id", "event_type", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("nxt"), "event_id")
 
 
-@query("SELECT DISTINCT event_type, value, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS cdf FROM events WHERE event_id < 3000")
+@query("SELECT DISTINCT event_type, value, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS cdf FROM events")
 def window_cumulative(t):
-    counts = t.events.where("event_id < 3000").groupBy("event_type", "value").agg(F.count("*").alias("k"))
+    counts = t.events.groupBy("event_type", "value").agg(F.count("*").alias("k"))
     run = F.sum("k").over(W.partitionBy("event_type").orderBy("value")) / F.sum("k").over(W.partitionBy("event_type"))
     return counts.select("event_type", "value", F.round(run, 6).alias("cdf"))
 
@@ -285,11 +285,11 @@ def swap_parity(t):
     return t.events.select("event_id", domain.swapped(F.col("event_id"), F.col("user_id")).alias("swapped"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity * 3 + l_tax * 15 + l_discount * 0.3) * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 6) AS micro_usd FROM lineitem WHERE l_quantity % 2 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity * 3 + l_tax * 15 + l_discount * 0.3) * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 6) AS micro_usd FROM lineitem")
 def cost_usd(t):
     prices = {"m": (3.0, 15.0)}
     usd = domain.cost_usd(F.lit("m"), F.col("l_quantity"), F.col("l_tax"), prices, cached=F.col("l_discount"), batch=F.col("l_returnflag") == "R")
-    return t.lineitem.where("l_quantity % 2 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.round(usd * 1_000_000, 6).alias("micro_usd"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(usd * 1_000_000, 6).alias("micro_usd"))
 
 
 @query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 3 WHEN 'click' THEN 1 ELSE 0 END AS prior, count(*) AS n FROM events GROUP BY ALL")
@@ -350,12 +350,12 @@ def kappa(t):
     return stats.kappa(pairs, "x", "y").select("n", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
 
 
-_J = "(SELECT event_id AS event_a, event_id + 1 AS event_b, CASE WHEN user_id % 5 = 0 THEN 'tie' WHEN value > 50 THEN 'a' ELSE 'b' END AS winner FROM events WHERE event_id % 3 = 0 AND event_id < 6000)"
+_J = "(SELECT event_id AS event_a, event_id + 1 AS event_b, CASE WHEN user_id % 5 = 0 THEN 'tie' WHEN value > 50 THEN 'a' ELSE 'b' END AS winner FROM events)"
 
 
 def _judged(t):
     winner = F.when(F.col("user_id") % 5 == 0, "tie").when(F.col("value") > 50, "a").otherwise("b")
-    return t.events.where("event_id % 3 = 0 and event_id < 6000").select(F.col("event_id").alias("event_a"), (F.col("event_id") + 1).alias("event_b"), winner.alias("winner"))
+    return t.events.select(F.col("event_id").alias("event_a"), (F.col("event_id") + 1).alias("event_b"), winner.alias("winner"))
 
 
 def _scores(t):
@@ -396,17 +396,21 @@ def _claims(t):
     return t.benchmark.select(F.col("item_id").alias("id"), F.lit("x").alias("k"), T.claim_tokens(T.norm_ascii(F.col("text"))).alias("tokens"))
 
 
-@query("SELECT cell, count(*) AS n FROM (SELECT round_even(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 1) AS cell FROM (SELECT item_id, string_split(p, ' ') AS t FROM (SELECT p_partkey AS item_id, p_name AS p FROM part WHERE p_partkey < 60)) a JOIN (SELECT item_id, string_split(p, ' ') AS t FROM (SELECT p_partkey AS item_id, p_name AS p FROM part WHERE p_partkey < 60)) b ON a.item_id < b.item_id) GROUP BY cell")
+_NAMED = "(SELECT p_partkey AS id, p_type, p_size, string_split(p_name, ' ') AS t FROM part)"
+
+
+@query(f"SELECT cell, count(*) AS n FROM (SELECT round_even(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 1) AS cell FROM {_NAMED} a JOIN {_NAMED} b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.id < b.id) GROUP BY cell")
 def agg_histogram_jaccard(t):
-    own = t.part.where("p_partkey < 60").select("p_partkey", F.split("p_name", " ").alias("t"))
+    """Over the pairs of parts of one type and size, a few in each."""
+    own = t.part.select("p_type", "p_size", "p_partkey", F.split("p_name", " ").alias("t"))
     a, b = own.withColumnsRenamed({"p_partkey": "a", "t": "ta"}), own.withColumnsRenamed({"p_partkey": "b", "t": "tb"})
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).groupBy(F.bround(T.jaccard(F.col("ta"), F.col("tb")), 1).alias("cell")).agg(F.count("*").alias("n"))
+    return a.join(b, ["p_type", "p_size"]).where("a < b").groupBy(F.bround(T.jaccard(F.col("ta"), F.col("tb")), 1).alias("cell")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 7 * 7 AS b FROM orders WHERE o_custkey < 400), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 7 * 7 AS b FROM orders), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
   u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, x) AS (SELECT id, id FROM n UNION SELECT u.b, r.x FROM r JOIN u ON u.a = r.id) SELECT id, min(x) AS root FROM r GROUP BY id""")
 def components(t):
-    edges = t.orders.where("o_custkey < 400").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 7) * 7).alias("b")).distinct()
+    edges = t.orders.select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 7) * 7).alias("b")).distinct()
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     return clusters.min_label(edges, nodes)
 
@@ -429,11 +433,11 @@ def dawid_skene(t):
 # ---------------------------------------------------------------- domain operators
 
 
-@query("""WITH s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events WHERE event_id < 1500 GROUP BY 1, 2),
+@query("""WITH s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2),
   o AS (SELECT *, lead(event_type) OVER w AS nxt, lead(a) OVER w AS na FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, event_type))
   SELECT user_id, event_type AS src, nxt AS dst FROM o WHERE na > b AND epoch_us(na) - epoch_us(b) <= 90 * 86400000000""")
 def mobility(t):
-    seen = t.events.where("event_id < 1500").select(F.col("user_id").alias("person"), F.col("event_type").alias("lab"), F.col("ts").cast("timestamp").alias("observed"))
+    seen = t.events.select(F.col("user_id").alias("person"), F.col("event_type").alias("lab"), F.col("ts").cast("timestamp").alias("observed"))
     return domain.moves(seen, 90).select(F.col("person").alias("user_id"), "src", "dst")
 
 
@@ -483,13 +487,13 @@ def search(t):
     return domain.search(t.events, "6", ["props"], "value", "event_id", 25, extra=F.col("event_type").ilike("%SIGN%"), pattern="%: 6%").select("event_id", "value")
 
 
-@query("""SELECT event_id, feature, value FROM (SELECT event_id, value * 1.0 AS magnitude, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS is_purchase, CAST(length(props) AS DOUBLE) AS props_len FROM events WHERE event_id < 500) UNPIVOT (value FOR feature IN (magnitude, is_purchase, props_len))""")
+@query("""SELECT event_id, feature, value FROM (SELECT event_id, value * 1.0 AS magnitude, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS is_purchase, CAST(length(props) AS DOUBLE) AS props_len FROM events) UNPIVOT (value FOR feature IN (magnitude, is_purchase, props_len))""")
 def features_long(t):
-    wide = t.events.where("event_id < 500").select("event_id", (F.col("value") * 1.0).alias("magnitude"), (F.col("event_type") == "purchase").cast("double").alias("is_purchase"), F.length("props").cast("double").alias("props_len"))
+    wide = t.events.select("event_id", (F.col("value") * 1.0).alias("magnitude"), (F.col("event_type") == "purchase").cast("double").alias("is_purchase"), F.length("props").cast("double").alias("props_len"))
     return ranking.to_long(wide, "event_id")
 
 
-@query("SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS DOUBLE) AS is_purchase, value AS magnitude, CAST(length(props) AS DOUBLE) AS props_len FROM events WHERE event_id < 500")
+@query("SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS DOUBLE) AS is_purchase, value AS magnitude, CAST(length(props) AS DOUBLE) AS props_len FROM events")
 def feature_pivot(t):
     return ranking.feature_matrix(features_long(t), "event_id", ["is_purchase", "magnitude", "props_len"])
 
@@ -531,7 +535,7 @@ def slate_greedy(t):
 
 @query()
 def sample_pairs(t):
-    return ranking.sample_pairs(t.events.where("event_id < 2000").select(F.col("event_id").alias("id"), F.col("user_id").alias("lab"), F.col("event_type").alias("kind")), 60, 42)
+    return ranking.sample_pairs(t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("lab"), F.col("event_type").alias("kind")), 60, 42)
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) ORDER BY r, conv_id LIMIT 40")

@@ -59,9 +59,9 @@ def overlap_topk(t):
     return delivery.overlap_at(top(F.desc("value"), F.asc("event_id")), top(F.desc(F.length("props")), F.asc("value"), F.asc("event_id")))
 
 
-@query(_W + "SELECT x.event_a, x.event_b, x.labeler AS x, y.labeler AS y FROM (SELECT id % 500 AS event_a, id % 7 AS event_b, labeler, winner FROM pairwise_labels WHERE winner <> 'tie' AND id < 1200) x JOIN (SELECT id % 500 AS event_a, id % 7 AS event_b, labeler, winner FROM pairwise_labels WHERE winner <> 'tie' AND id < 1200) y ON x.event_a = y.event_a AND x.event_b = y.event_b AND y.labeler > x.labeler AND x.winner <> y.winner")
+@query(_W + "SELECT x.event_a, x.event_b, x.labeler AS x, y.labeler AS y FROM (SELECT id - id % 4 AS event_a, id - id % 4 + 1 AS event_b, labeler, winner FROM pairwise_labels WHERE winner <> 'tie') x JOIN (SELECT id - id % 4 AS event_a, id - id % 4 + 1 AS event_b, labeler, winner FROM pairwise_labels WHERE winner <> 'tie') y ON x.event_a = y.event_a AND x.event_b = y.event_b AND y.labeler > x.labeler AND x.winner <> y.winner")
 def label_disagreements(t):
-    labels = model(t).pairwise_labels.where("id < 1200").withColumn("event_a", F.col("id") % 500).withColumn("event_b", F.col("id") % 7)
+    labels = model(t).pairwise_labels.withColumn("event_a", F.col("id") - F.col("id") % 4).withColumn("event_b", F.col("event_a") + 1)
     return delivery.disagreements(labels)
 
 

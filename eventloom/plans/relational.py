@@ -48,9 +48,9 @@ def source_sitemap(t):
     return pages.orderBy(F.col("lastmod").cast("long").desc_nulls_last(), "loc").limit(20).select("loc", "lastmod")
 
 
-@query("SELECT c_custkey, 'title: ' || c_name || chr(10) || 'authors: ' || c_mktsegment || '; ' || n_name AS document FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 500")
+@query("SELECT c_custkey, 'title: ' || c_name || chr(10) || 'authors: ' || c_mktsegment || '; ' || n_name AS document FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def source_arxiv(t):
-    joined = t.customer.where("c_custkey < 500").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select("c_custkey", feeds.render_paper(F.col("c_name"), F.array("c_mktsegment", "n_name")).alias("document"))
 
 
@@ -118,9 +118,9 @@ def sink_update_column(t):
     return sinks.update_column(t.orders.select("o_orderkey", "o_orderstatus"), changes, ["o_orderkey"], "o_orderstatus", "new")
 
 
-@query("SELECT o_orderkey, 'customer' AS entity_kind, o_custkey AS entity FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, 'status', ascii(o_orderstatus) FROM orders WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey, 'customer' AS entity_kind, o_custkey AS entity FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, 'status', ascii(o_orderstatus) FROM orders")
 def sink_backfill_entities(t):
-    own = t.orders.where("o_orderkey < 2000")
+    own = t.orders
     have = own.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("customer").alias("entity_kind"))
     wanted = own.select(
         "o_orderkey",
@@ -365,11 +365,13 @@ def join_name_key(t):
     return keyed.where("p_partkey >= 40").join(unique, "k").select("p_partkey", "match")
 
 
-@query("SELECT DISTINCT a.p_partkey, b.p_brand FROM part a JOIN part b ON list_has_all(string_split(a.p_name, ' '), string_split(b.p_name, ' ')) WHERE b.p_partkey < 5 AND a.p_partkey < 300")
+@query("SELECT DISTINCT a.p_partkey, b.p_brand FROM part a JOIN part b ON list_has_all(string_split(a.p_name, ' '), string_split(b.p_name, ' '))")
 def join_token_subset(t):
-    small = t.part.where("p_partkey < 5").select(F.split("p_name", " ").alias("w"), "p_brand")
-    own = t.part.where("p_partkey < 300").select("p_partkey", F.split("p_name", " ").alias("v"))
-    return own.join(F.broadcast(small), F.size(F.array_except("w", "v")) == 0).select("p_partkey", "p_brand").distinct()
+    """Pairs meet on the first token of the smaller set; its others are compared after that."""
+    own = t.part.select("p_partkey", F.split("p_name", " ").alias("v"))
+    sets = t.part.select(F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("w"), "p_brand").distinct()
+    met = own.select("p_partkey", "v", F.explode(F.array_distinct("v")).alias("k")).join(sets.withColumn("k", F.get("w", F.lit(0))), "k")
+    return met.where(F.size(F.array_except("w", "v")) == 0).select("p_partkey", "p_brand").distinct()
 
 
 @query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50")

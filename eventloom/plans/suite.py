@@ -9,40 +9,40 @@ from eventloom.schemas import EVENT_TYPES, TABLES, Model
 
 from .registry import QUERIES, SQL, Tables, query
 
-# Stand-ins, each as (source table, {column: expression}); the expressions mean the same in Spark SQL and DuckDB.
+# Stand-ins, each of a whole table as (source table, {column: expression}); the expressions mean the same in Spark SQL and DuckDB.
 _KIND = "CASE " + " ".join(f"WHEN event_id % 8 = {i} THEN '{e}'" for i, e in enumerate(EVENT_TYPES)) + " END"
 _SOURCE_TYPE = "CASE s_suppkey % 4 WHEN 0 THEN 'blog' WHEN 1 THEN 'newsroom' WHEN 2 THEN 'arxiv' ELSE 'github' END"
 STANDINS = {
-    "sources": ("supplier", "s_suppkey < 10", {"id": "s_suppkey", "source_type": _SOURCE_TYPE, "lab_id": "s_nationkey % 8", "name": "s_name", "url": "s_name", "channel": "CASE WHEN s_suppkey % 3 = 0 THEN 'official' ELSE 'third_party' END", "purpose": "CASE WHEN s_suppkey % 5 = 0 THEN 'register' ELSE 'content' END"}),
-    "raw_documents": ("orders", "o_orderkey < 3000", {"id": "o_orderkey", "source_id": "o_orderkey % 10", "source_type": _SOURCE_TYPE.replace("s_suppkey", "(o_orderkey % 10)"), "url": "concat('u', CAST(o_orderkey % 1900 AS VARCHAR(20)))", "raw_content": "concat(o_orderpriority, ' ', repeat('word ', CAST(o_orderkey % 70 AS INTEGER)), 'k')", "published_at": "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END", "retrieved_at": "concat(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)), 1, 8), '28')"}),
-    "evidence": ("events", "event_id < 4000", {"id": "event_id", "document_id": "(event_id * 7) % 3000", "verbatim_content": "concat(repeat('word ', CAST(event_id % 70 AS INTEGER)), 'k')", "verification": "CASE event_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'structural' END"}),
-    "labs": ("nation", "n_nationkey < 8", {"id": "n_nationkey", "name": "n_name"}),
-    "people": ("customer", "c_custkey < 150", {"id": "c_custkey", "canonical_name": "replace(c_name, '#', ' ')", "discovered_via": "CASE c_custkey % 3 WHEN 0 THEN 'seed' WHEN 1 THEN 'coauthor_expansion' ELSE 'auto_approved' END"}),
-    "identities": ("customer", "c_custkey < 140", {"id": "c_custkey", "person_id": "c_custkey", "platform": "CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'github' END", "handle": "c_name", "confidence_tier": "CASE WHEN c_custkey % 5 = 0 THEN 'corroborated' ELSE 'verbatim' END", "resolution_method": "CASE WHEN c_custkey % 4 = 0 THEN 'manual' ELSE 'exact' END", "evidence_id": "CASE WHEN c_custkey % 17 <> 0 THEN c_custkey END"}),
-    "affiliations": ("customer", "c_custkey < 400", {"id": "c_custkey", "person_id": "c_custkey % 150", "lab_id": "c_nationkey % 8", "observed_at": "CASE WHEN c_custkey % 13 <> 0 THEN '2024-01-05' END", "evidence_id": "c_custkey + 1000"}),
-    "insights": ("events", "event_id % 2 = 0 AND event_id < 4100", {"id": "event_id", "evidence_id": "event_id", "attributed_person_id": "CASE WHEN event_id % 4 = 0 THEN user_id END", "attributed_lab_id": "CASE WHEN event_id % 3 <> 0 THEN user_id % 8 END", "event_type": _KIND, "claim": "concat('claim ', event_type, ' of ', repeat('x ', CAST(user_id % 9 AS INTEGER)), 'end')", "cluster_id": "CASE WHEN event_id % 7 <> 0 THEN event_id % 500 END", "score": "CASE WHEN event_id % 9 <> 0 THEN value + event_id / 1000000.0 END"}),
-    "event_entities": ("events", "event_id % 2 = 0 AND event_id < 4000", {"id": "event_id", "event_id": "event_id", "entity_kind": "CASE WHEN event_id % 6 = 0 THEN 'person' ELSE 'lab' END", "role": "CASE WHEN event_id % 10 = 0 THEN 'subject' ELSE 'author' END", "basis": "CASE WHEN event_id % 8 = 0 THEN 'source_inferred' ELSE 'model_asserted' END", "evidence_id": "event_id"}),
-    "rejections": ("orders", "o_orderkey < 3000 AND o_orderkey % 3 = 0", {"id": "o_orderkey", "document_id": "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END", "stage": "CASE o_orderkey % 4 WHEN 0 THEN 'verification' WHEN 1 THEN 'stage2' ELSE 'stage1' END", "reason": "CASE o_orderkey % 7 WHEN 0 THEN 'quote_unverified' WHEN 1 THEN 'quote_not_found' WHEN 2 THEN 'near_duplicate' WHEN 3 THEN 'low_substance' WHEN 4 THEN 'no_verified_insight' ELSE 'too_short' END"}),
-    "fetch_log": ("events", "event_id < 900", {"id": "event_id", "source_id": "event_id % 9", "attempted_at": "CAST(CAST(ts AS DATE) AS VARCHAR(20))", "status": "CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 13 = 0 THEN 'empty' ELSE 'ok' END"}),
-    "llm_calls": ("orders", "o_orderkey < 2000", {"id": "o_orderkey", "task": "CASE WHEN o_orderstatus = 'F' THEN 'extract' ELSE 'judge' END", "model": "o_orderpriority", "input_tokens": "o_custkey", "output_tokens": "o_orderkey % 100", "cost_usd": "o_totalprice", "reasoning_tokens": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 END"}),
-    "pairwise_labels": ("events", "event_id < 3000", {"id": "event_id", "event_a": "event_id", "event_b": "event_id + 1", "winner": "CASE event_id % 5 WHEN 0 THEN 'tie' WHEN 1 THEN 'a' WHEN 2 THEN 'a' ELSE 'b' END", "labeler": "concat(CASE WHEN event_id % 4 = 0 THEN 'human:' ELSE 'llm:' END, event_type, '/investment/r1')", "reason": "CASE WHEN event_id % 6 = 0 THEN 'x CONF=low' WHEN event_id % 7 <> 0 THEN 'clear' END"}),
-    "insight_features": ("events", "event_id % 2 = 0 AND event_id < 3900", {"event_id": "event_id", "feature": "event_type", "value": "value"}),
-    "event_scores": ("events", "event_id % 2 = 0 AND event_id < 4000", {"id": "event_id", "event_id": "event_id % 1000", "model": "event_type", "score": "value", "policy_version": "CASE WHEN event_id = 2 THEN 1 ELSE 3 END"}),
+    "sources": ("supplier", {"id": "s_suppkey", "source_type": _SOURCE_TYPE, "lab_id": "s_nationkey % 8", "name": "s_name", "url": "s_name", "channel": "CASE WHEN s_suppkey % 3 = 0 THEN 'official' ELSE 'third_party' END", "purpose": "CASE WHEN s_suppkey % 5 = 0 THEN 'register' ELSE 'content' END"}),
+    "raw_documents": ("orders", {"id": "o_orderkey", "source_id": "o_orderkey % 10", "source_type": _SOURCE_TYPE.replace("s_suppkey", "(o_orderkey % 10)"), "url": "concat('u', CAST(o_orderkey % 1900 AS VARCHAR(20)))", "raw_content": "concat(o_orderpriority, ' ', repeat('word ', CAST(o_orderkey % 70 AS INTEGER)), 'k')", "published_at": "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END", "retrieved_at": "concat(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)), 1, 8), '28')"}),
+    "evidence": ("events", {"id": "event_id", "document_id": "event_id - event_id % 3", "verbatim_content": "concat(repeat('word ', CAST(event_id % 70 AS INTEGER)), 'k')", "verification": "CASE event_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'structural' END"}),
+    "labs": ("nation", {"id": "n_nationkey", "name": "n_name"}),
+    "people": ("customer", {"id": "c_custkey", "canonical_name": "replace(c_name, '#', ' ')", "discovered_via": "CASE c_custkey % 3 WHEN 0 THEN 'seed' WHEN 1 THEN 'coauthor_expansion' ELSE 'auto_approved' END"}),
+    "identities": ("customer", {"id": "c_custkey", "person_id": "c_custkey", "platform": "CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'github' END", "handle": "c_name", "confidence_tier": "CASE WHEN c_custkey % 5 = 0 THEN 'corroborated' ELSE 'verbatim' END", "resolution_method": "CASE WHEN c_custkey % 4 = 0 THEN 'manual' ELSE 'exact' END", "evidence_id": "CASE WHEN c_custkey % 17 <> 0 THEN c_custkey END"}),
+    "affiliations": ("customer", {"id": "c_custkey", "person_id": "c_custkey - c_custkey % 3", "lab_id": "c_nationkey % 8", "observed_at": "CASE WHEN c_custkey % 13 <> 0 THEN '2024-01-05' END", "evidence_id": "c_custkey + 1000"}),
+    "insights": ("events", {"id": "event_id", "evidence_id": "event_id - event_id % 2", "attributed_person_id": "CASE WHEN event_id % 4 = 0 THEN user_id END", "attributed_lab_id": "CASE WHEN event_id % 3 <> 0 THEN user_id % 8 END", "event_type": _KIND, "claim": "concat('claim ', event_type, ' of ', repeat('x ', CAST(user_id % 9 AS INTEGER)), 'end')", "cluster_id": "CASE WHEN event_id % 7 <> 0 THEN event_id - event_id % 5 END", "score": "CASE WHEN event_id % 9 <> 0 THEN value + event_id / 1000000.0 END"}),
+    "event_entities": ("events", {"id": "event_id", "event_id": "event_id", "entity_kind": "CASE WHEN event_id % 6 = 0 THEN 'person' ELSE 'lab' END", "role": "CASE WHEN event_id % 10 = 0 THEN 'subject' ELSE 'author' END", "basis": "CASE WHEN event_id % 8 = 0 THEN 'source_inferred' ELSE 'model_asserted' END", "evidence_id": "event_id"}),
+    "rejections": ("orders", {"id": "o_orderkey", "document_id": "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey - o_orderkey % 3 END", "stage": "CASE o_orderkey % 4 WHEN 0 THEN 'verification' WHEN 1 THEN 'stage2' ELSE 'stage1' END", "reason": "CASE o_orderkey % 7 WHEN 0 THEN 'quote_unverified' WHEN 1 THEN 'quote_not_found' WHEN 2 THEN 'near_duplicate' WHEN 3 THEN 'low_substance' WHEN 4 THEN 'no_verified_insight' ELSE 'too_short' END"}),
+    "fetch_log": ("events", {"id": "event_id", "source_id": "event_id % 9", "attempted_at": "CAST(CAST(ts AS DATE) AS VARCHAR(20))", "status": "CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 13 = 0 THEN 'empty' ELSE 'ok' END"}),
+    "llm_calls": ("orders", {"id": "o_orderkey", "task": "CASE WHEN o_orderstatus = 'F' THEN 'extract' ELSE 'judge' END", "model": "o_orderpriority", "input_tokens": "o_custkey", "output_tokens": "o_orderkey % 100", "cost_usd": "o_totalprice", "reasoning_tokens": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 END"}),
+    "pairwise_labels": ("events", {"id": "event_id", "event_a": "event_id", "event_b": "event_id + 1", "winner": "CASE event_id % 5 WHEN 0 THEN 'tie' WHEN 1 THEN 'a' WHEN 2 THEN 'a' ELSE 'b' END", "labeler": "concat(CASE WHEN event_id % 4 = 0 THEN 'human:' ELSE 'llm:' END, event_type, '/investment/r1')", "reason": "CASE WHEN event_id % 6 = 0 THEN 'x CONF=low' WHEN event_id % 7 <> 0 THEN 'clear' END"}),
+    "insight_features": ("events", {"event_id": "event_id", "feature": "event_type", "value": "value"}),
+    "event_scores": ("events", {"id": "event_id", "event_id": "event_id - event_id % 4", "model": "event_type", "score": "value", "policy_version": "CASE WHEN event_id = 2 THEN 1 ELSE 3 END"}),
 }
 
 
 def model(t: Tables) -> Model:
     """The evidence model of a directory of stand-in tables."""
     made = {}
-    for name, (source, where, columns) in STANDINS.items():
+    for name, (source, columns) in STANDINS.items():
         types = dict(c.split(" ", 1) for c in TABLES[name].split(", "))
         typed = {c: f"CAST({e} AS {types[c]})" for c, e in columns.items()}
-        rows = getattr(t, source).where(where).selectExpr(*[f"{typed[c]} AS {c}" if c in typed else f"CAST(NULL AS {k}) AS {c}" for c, k in types.items()])
+        rows = getattr(t, source).selectExpr(*[f"{typed[c]} AS {c}" if c in typed else f"CAST(NULL AS {k}) AS {c}" for c, k in types.items()])
         made[name] = rows.withColumn("content_hash", F.when(F.col("id") % 100 != 7, F.sha2("raw_content", 256)).otherwise("stale")) if name == "raw_documents" else rows
     return Model(t.spark, made)
 
 
-_CTES = ", ".join(f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source} WHERE {where})" for name, (source, where, columns) in STANDINS.items())
+_CTES = ", ".join(f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source})" for name, (source, columns) in STANDINS.items())
 _PCT = "CAST(round(100.0 * ({0}) / nullif({1}, 0), 1) AS DOUBLE)"
 _DOCS = "(SELECT i.id AS iid, e.document_id AS did, i.event_type AS et FROM insights i JOIN evidence e ON e.id = i.evidence_id)"
 _CONTENT = "source_id IN (SELECT id FROM sources WHERE purpose = 'content')"
