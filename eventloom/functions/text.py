@@ -141,3 +141,20 @@ def parse_rfc822(c: Column) -> Column:
 def parse_iso_any(c: Column) -> Column:
     """Full ISO, Z or bare date; UTC where no offset is given."""
     return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]")), F.try_to_timestamp(c))
+
+
+def paragraph_index(c: Column, quote: Column, head: int = 40) -> Column:
+    """Place, from 0, of the first block between empty lines that holds the quote's first characters; null if none does."""
+    holds = F.transform(F.split(c, "\n\n"), lambda p: F.contains(p, F.substring(quote, 1, head)))
+    return F.nullif(F.array_position(holds, True), F.lit(0)) - 1
+
+
+def repo_slug(url: Column) -> Column:
+    """owner/repository of a repository's url, or of a bare path; null without both."""
+    return F.nullif(F.regexp_extract(url, r"(?s)^(?:.*?github\.com/)?+([^/]*/[^/]*)", 1), F.lit(""))
+
+
+def append_absent(array: Column, value: Column) -> Column:
+    """The array with the value at its end if it lacks it; a null array is empty, a null value adds nothing."""
+    has = F.coalesce(F.array_contains(array, value), F.lit(False))
+    return F.when(value.isNull() | has, array).when(array.isNull(), F.array(value)).otherwise(F.array_append(array, value))

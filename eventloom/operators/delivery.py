@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,6 +151,44 @@ def slate_precision(m) -> DataFrame:
     return last.groupBy("persona").agg(kept.alias("kept"), F.count("*").alias("reviewed"), F.round(kept / F.count("*"), 4).alias("precision"))
 
 
+def measurements(m) -> DataFrame:
+    """(kind, label, n, pct): verified and failed quotes, event types, and reasons of late rejections; pct within the kind."""
+    failed = m.rejections.where("reason = 'quote_unverified'").select(F.lit("quotes").alias("kind"), F.lit("dropped").alias("label"))
+    kept = m.insights.select(F.lit("quotes").alias("kind"), F.lit("exact").alias("label"))
+    types = m.insights.select(F.lit("event type").alias("kind"), F.col("event_type").alias("label"))
+    late = m.rejections.where("stage in ('stage2', 'verification')").select(F.lit("rejected").alias("kind"), F.col("reason").alias("label"))
+    by = kept.unionByName(failed).unionByName(types).unionByName(late).groupBy("kind", "label").agg(F.count("*").alias("n"))
+    return by.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("kind")), 1))
+
+
+def event_lines(m, most: int = 160) -> DataFrame:
+    """(id, line): an event with its lab, the head of its quote and its source, as text of three lines."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    rows = metrics._lab(m, m.insights, "unattributed").join(m.evidence.select(F.col("id").alias("evidence_id"), "document_id", "verbatim_content", "verification"), "evidence_id")
+    rows = rows.join(m.raw_documents.select(F.col("id").alias("document_id"), "url", "published_at"), "document_id")
+    first = F.concat(F.lit("["), said("event_type"), F.lit("] "), "lab", F.lit(": "), said("claim"))
+    second = F.concat(F.lit("  evidence ("), said("verification"), F.lit('): "'), F.substring(said("verbatim_content"), 1, most), F.lit('..."'))
+    third = F.concat(F.lit("  source: "), said("url"), F.lit(" ("), said("published_at"), F.lit(")"))
+    return rows.select("id", F.concat_ws("\n", first, second, third).alias("line"))
+
+
+def mobility_figure(m, as_of: Column, days: int = 30) -> DataFrame:
+    """(kind, label, n): personnel events by origin, and people by how they can be seen again."""
+    moves = m.insights.where("event_type = 'personnel'").select("evidence_id").join(m.evidence.select(F.col("id").alias("evidence_id"), "locator"), "evidence_id", "left")
+    made = moves.select(F.lit("event").alias("kind"), F.when(F.contains("locator", F.lit("mobility_synthesis")), "synthesized").otherwise("extracted").alias("label"))
+    events = made.groupBy("kind", "label").agg(F.count("*").alias("n"))
+    since = F.date_format(F.date_sub(F.to_date(as_of), days), "yyyy-MM-dd")
+    on_page = m.identities.where("platform = 'lab_page'").select("person_id")
+    people = [
+        ("tracked", m.people.select(F.col("id").alias("person_id"))),
+        ("page", m.affiliations.where("basis = 'page_verbatim'").select("person_id").join(on_page, "person_id", "left_semi")),
+        ("bio", m.identities.where("platform = 'x'").select("person_id")),
+        ("fresh", m.affiliations.where(F.col("observed_at") >= since).select("person_id")),
+    ]
+    count = lambda label, df: df.agg(F.countDistinct("person_id").alias("n")).select(F.lit("people").alias("kind"), F.lit(label).alias("label"), "n")
+    return reduce(DataFrame.unionByName, [events, *[count(*p) for p in people]])
+
+
 # ---- the web's and tools' queries
 
 

@@ -173,6 +173,12 @@ def parsed_reply(reply: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
 
 
+def verify_quote(raw: Column, quote: Column) -> Column:
+    """'exact' if the quote, normalised, stands in a document as stored or as shown; else null, also for null or blank quotes."""
+    q = T.norm(quote)
+    return F.when((q != "") & (F.contains(T.norm(raw), q) | F.contains(T.norm(T.html_to_text(raw)), q)), "exact")
+
+
 def stage2(docs: DataFrame, replies: DataFrame) -> DataFrame:
     """(document_id, ord, claim, quote, event_type, status) of model replies over documents.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventloom.session import materialise
 
-from . import stats
+from . import domain, stats
 
 FEATURES = ["f0", "f1", "f2"]
 TEST_SHARE, SEED = 0.3, 42
@@ -56,6 +56,14 @@ def pair_design(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return joined.select(F.explode(F.array(one, other)).alias("d")).select("d.*")
 
 
+def median_vector(long: DataFrame) -> DataFrame:
+    """(feature, median) of (feature, value): the mean of the two middle values of an even number."""
+    sizes = long.where("value is not null").groupBy("feature").agg(F.count("*").alias("n"))
+    low = domain.nth_by_group(long, sizes, "feature", "value", F.floor((F.col("n") + 1) / 2))
+    high = domain.nth_by_group(long, sizes, "feature", "value", F.floor(F.col("n") / 2) + 1).withColumnRenamed("value", "_high")
+    return low.join(high, "feature").select("feature", ((F.col("value") + F.col("_high")) / 2).alias("median"))
+
+
 def _assembled(design: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(design)
 

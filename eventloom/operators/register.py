@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from eventloom.functions import text as T
 from eventloom.sources.feeds import authors_line
 
+from . import domain
+
 
 def attributed(rows: DataFrame) -> DataFrame:
     """rows (asserted_lab, publisher_lab, channel) with lab and basis: what the model asserts, else an official publisher."""
@@ -46,9 +50,45 @@ def names_on_pages(names: DataFrame, pages: DataFrame) -> DataFrame:
     return met.groupBy("name").agg(F.min("page_id").alias("page_id"))
 
 
-def candidate_labs(candidates: DataFrame) -> DataFrame:
-    """(id, lab_id, rule) of seed labs; lab_hint stays a name for the caller to resolve."""
-    return candidates.select("id", F.explode(F.array_distinct(F.coalesce("seed_lab_ids", F.array().cast("array<bigint>")))).alias("lab_id"))
+def candidate_labs(candidates: DataFrame, labs: DataFrame | None = None) -> DataFrame:
+    """(id, lab_id) of seed labs and, with labs (id, name), of the lab that lab_hint names; each once."""
+    seeds = candidates.select("id", F.explode(F.array_distinct(F.coalesce("seed_lab_ids", F.array().cast("array<bigint>")))).alias("lab_id"))
+    if labs is None:
+        return seeds
+    hinted = candidates.join(labs.select(F.col("id").alias("lab_id"), F.col("name").alias("lab_hint")), "lab_hint").select("id", "lab_id")
+    return seeds.unionByName(hinted).distinct()
+
+
+def named_lab(text: Column, terms: dict[str, list[str]]) -> Column:
+    """The first lab, in the order given, one of whose spellings stands in the text as words; null if none."""
+    spelt = lambda words: reduce(lambda a, b: a | b, (text.rlike(T.term_pattern(w)) for w in words), F.lit(False))
+    return F.coalesce(*[F.when(spelt(words), F.lit(lab)) for lab, words in terms.items()], F.lit(None).cast("string"))
+
+
+def admitted(bio: Column, lab: str, terms: dict[str, list[str]], person_id: Column, member: Column | None = None) -> Column:
+    """struct<decision, tier, method> of a profile: what it says of itself counts more than a known name."""
+    own = F.coalesce(named_lab(bio, {lab: terms.get(lab, [])}) == lab, F.lit(False))
+    own = own | F.coalesce(member, F.lit(False)) if member is not None else own
+    return domain.admission([(own, "accept", "verbatim", "self_link"), (person_id.isNotNull(), "accept", "name_match_only", "exact"), (F.lit(True), "reject", "", "")])
+
+
+def paper_identities(matches: DataFrame, stored: DataFrame) -> DataFrame:
+    """(person_id, handle, confidence_tier, resolution_method, entry_id) of people found as authors, one each, none that is stored.
+
+    matches: (person_id, handle, entry_id, corroborated); a corroborated paper goes before others, then the least entry.
+    """
+    best = F.min(F.struct((~F.coalesce("corroborated", F.lit(False))).alias("weak"), "entry_id")).alias("b")
+    have = stored.where("platform = 'arxiv'").select("handle")
+    own = matches.groupBy("person_id", "handle").agg(best).join(have, "handle", "left_anti")
+    pick = lambda weak, strong: F.when(F.col("b.weak"), weak).otherwise(strong)
+    return own.select("person_id", "handle", pick("name_match_only", "corroborated").alias("confidence_tier"), pick("exact", "coauthor_overlap").alias("resolution_method"), F.col("b.entry_id").alias("entry_id"))
+
+
+def repositories(m) -> DataFrame:
+    """(slug, lab) of tracked repositories whose source belongs to a named lab."""
+    labs = m.labs.where("name <> ''").select(F.col("id").alias("lab_id"), F.col("name").alias("lab"))
+    own = m.sources.where("source_type = 'github'").select("lab_id", T.repo_slug(F.col("url")).alias("slug")).where("slug is not null")
+    return own.join(labs, "lab_id").select("slug", "lab").distinct()
 
 
 def slate_per_lab(candidates: DataFrame, k: int, veto: list[int] | None = None, force: list[int] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered plans."""
 
-from . import analytics, reading, relational, suite  # noqa: F401
+from . import analytics, library, reading, relational, suite  # noqa: F401
 from .registry import QUERIES, SQL, Tables, query  # noqa: F401
