@@ -297,7 +297,7 @@ def test_licences(spark):
 def test_licences_in_the_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id for r in catalog.op7_licences(spark, sf).where("licences <> ''").collect()}
-    want = {r.doc_id for r in docs.where("text like '%CC BY-NC 4.0%' or text like '%MIT License%' or text like '%Apache License%' or text like '%GNU General Public%'").collect()}
+    want = {r.doc_id for r in docs.where("text like '%CC BY-NC 4.0%' or text like '%MIT License%' or text like '%Apache License%' or text like '%GNU General Public%' or text like '%All rights reserved.%'").collect()}
     assert got == want
 
 
