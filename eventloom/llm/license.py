@@ -5,8 +5,10 @@ are the sparse features of a multinomial logistic regression over licence famili
 The regression is fitted on the driver from variations of the templates below and from unrelated
 sentences, its temperature and its threshold on variations held out. Scoring is column expressions
 over the whole text: the weights are a constant map. A family counts only if one of its templates
-shares enough of its words with the paragraph; one of fewer than four known words must stand in it
-word for word. A statement that is wrapped over several lines is looked for in windows that begin
+shares enough of its words with the paragraph, among them every word that names a licence, and if no
+word stands there that names a licence of the same kin (a GNU licence that says "Lesser" is not the
+GPL); a template of fewer than four known words must stand in the paragraph word for word. So a
+licence that has no template is unknown, however much of a known one's wording it uses. A statement that is wrapped over several lines is looked for in windows that begin
 at a known word and have as many words as a template, across line breaks and marks; they are
 classified and confirmed like a paragraph, but only words in the template's order count.
 Windows that touch a line of the same family are left out, of overlapping ones the best counts.
@@ -28,16 +30,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Opening statements of public licences, by family.
+# Names and opening statements of public licences, by family.
 TEMPLATES = {
+    "agpl": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GNU Affero General Public License",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Apache License",
         "SPDX-License-Identifier: Apache-2.0",
     ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Boost Software License",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "bsd": (
         "Distributed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "BSD License",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "cc": (
@@ -46,22 +60,37 @@ TEMPLATES = {
         "Available under the Creative Commons CC BY-SA 4.0 licence.",
         "To the extent possible under law, the author has waived all copyright with a CC0 public domain dedication.",
     ),
+    "epl": (
+        "This program is made available under the terms of the Eclipse Public License, version 2.0.",
+        "Eclipse Public License",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
+    ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "MIT License",
         "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "proprietary": (
@@ -69,8 +98,14 @@ TEMPLATES = {
         "All rights reserved.",
         "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
-# Sentences that share words with licences but grant none.
+# Words that name a licence. A template that has some is confirmed only where all of them stand.
+NAMES = frozenset("affero agpl apache boost bsd bsl cc cc0 commons eclipse epl gnu gpl isc lesser lgpl mit mozilla mpl unencumbered unlicense".split())
+# Sentences that share words with licences but grant none of the above.
 UNRELATED = (
     "The driver lost a license after the second offence and sold the car.",
     "A public hearing on the general terms of the contract takes place in version two of the schedule.",
@@ -87,6 +122,12 @@ UNRELATED = (
     "Copyright law is a subject that few people like to discuss.",
     "The weather was fine and the people were in the street.",
     "International attribution of the painting is confidential, the corporation said.",
+    "The eclipse was visible to the public without a fee.",
+    "A boost in software sales is the purpose of the program, for lesser firms at least.",
+    "Licensed under the Artistic License, version 2.0.",
+    "Distributed under the Python Software Foundation License, version 2.",
+    "This work is licensed under the Open Software License, version 3.0.",
+    "SPDX-License-Identifier: Artistic-2.0",
 )
 STOP = frozenset("a an and any are as at be been by can for from has have in is it its may not of on or our that the this to via was with you your".split())
 UNKNOWN = "unknown"
@@ -113,9 +154,9 @@ class Model:
     weights: dict[str, list[float]]
     bias: list[float]
     threshold: float
-    templates: dict[str, list[list[str]]]
+    templates: dict[str, list[dict]]  # known words, of these the names, and the names that bar the template
     phrases: dict[str, list[str]]  # the short templates
-    spans: list[dict]  # all templates: number of words, known words in order, and all of them again for phrases
+    spans: list[dict]  # all templates: number of words, known words in order, all of them again for phrases, names and bars
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         z = np.array(self.bias) + sum((np.array(self.weights[g]) for g in _grams(tokens) if g in self.weights), np.zeros(len(self.bias)))
@@ -130,7 +171,7 @@ def _variations(rng: random.Random, n: int) -> list[tuple[str, str]]:
         for text in texts:
             words = text.split()
             for k in range(n):
-                kept = [w for w in words if rng.random() > 0.08 * (k % 3)] or words
+                kept = [w for w in words if rng.random() > 0.08 * (k % 3) or NAMES & set(re.split(r"[^a-z0-9]+", w.lower()))] or words
                 if family == UNKNOWN and k % 2:
                     kept = rng.sample(words, max(2, len(words) // 2))
                 if k % 4 == 3:
@@ -140,6 +181,13 @@ def _variations(rng: random.Random, n: int) -> list[tuple[str, str]]:
     return out
 
 
+def _names(words: list[str], family: str) -> tuple[list[str], list[str]]:
+    """(names in a template, names of other families whose templates have all of these and more)."""
+    own = NAMES & set(words)
+    others = [NAMES & set(re.split(r"[^a-z0-9]+", t.lower())) for f, ts in TEMPLATES.items() if f != family for t in ts]
+    return sorted(own), sorted(set().union(*(o - own for o in others if own and own < o)))
+
+
 @lru_cache(maxsize=4)
 def train(seed: int = 11, per_text: int = 24, l2: float = 2e-3, rounds: int = 200) -> Model:
     """The classifier, from per_text variations of every template; a quarter of them calibrate it."""
@@ -179,10 +227,16 @@ def train(seed: int = 11, per_text: int = 24, l2: float = 2e-3, rounds: int = 20
         {g: w[i].tolist() for g, i in grams.items()},
         w[-1].tolist(),
         threshold,
-        {f: [t for t in known if len(t) >= SHORT] for f, known in words.items()},
+        {f: [dict(zip(("words", "names", "bars"), (t, *_names(t, f)), strict=True)) for t in known if len(t) >= SHORT] for f, known in words.items()},
         {f: [_spaced(t) for t, k in zip(TEMPLATES[f], known, strict=True) if len(k) < SHORT] for f, known in words.items()},
         [
-            {"family": f, "n": len(_spaced(t).split()), "words": list(dict.fromkeys(_tokens(t, vocabulary))), "phrase": _tokens(t, vocabulary) if len(k) < SHORT else None}
+            {
+                "family": f,
+                "n": len(_spaced(t).split()),
+                "words": list(dict.fromkeys(_tokens(t, vocabulary))),
+                "phrase": _tokens(t, vocabulary) if len(k) < SHORT else None,
+                **dict(zip(("names", "bars"), _names(k, f), strict=True)),
+            }
             for f, known in words.items()
             for t, k in zip(TEMPLATES[f], known, strict=True)
         ],
@@ -198,7 +252,9 @@ def classify(model: Model, line: str, confirm: float = 0.6) -> tuple[str, float]
     k = int(p.argmax())
     if k and p[k] >= model.threshold:
         family = model.families[k]
-        if any(len(set(tokens) & set(t)) >= confirm * len(t) for t in model.templates[family]) or any(s in _spaced(line) for s in model.phrases[family]):
+        own = set(tokens)
+        named = (t for t in model.templates[family] if own >= set(t["names"]) and not own & set(t["bars"]))
+        if any(len(own & set(t["words"])) >= confirm * len(t["words"]) for t in named) or any(s in _spaced(line) for s in model.phrases[family]):
             return family, float(p[k])
     return UNKNOWN, float(p[0] if not k else p[k])
 
@@ -208,7 +264,7 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
     bias = F.array(*[F.lit(float(b)) for b in model.bias])
     families = F.array(*[F.lit(f) for f in model.families])
-    templates = F.from_json(F.lit(json.dumps(model.templates)), "map<string,array<array<string>>>")
+    templates = F.from_json(F.lit(json.dumps(model.templates)), "map<string,array<struct<words:array<string>,names:array<string>,bars:array<string>>>>")
     phrases = F.from_json(F.lit(json.dumps(model.phrases)), "map<string,array<string>>")
     own = docs.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n"))
     known = lambda line: F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w.isin(*model.vocabulary))
@@ -227,12 +283,13 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
         "_s", lambda x: F.struct(x["i"].alias("paragraph"), F.element_at(families, F.array_position(x["z"], F.array_max(x["z"])).cast("int")).alias("family"), (1 / total(x["z"])).alias("probability"), x["t"].alias("t"))
     )
     own = own.withColumn("_j", judged)
+    named = lambda t, own_words: (F.size(F.array_except(t["names"], own_words)) == 0) & ~F.arrays_overlap(t["bars"], own_words)
     confirmed = F.filter(
         "_j",
         lambda x: (x["family"] != UNKNOWN)
         & (x["probability"] >= model.threshold)
         & (
-            F.exists(F.coalesce(templates[x["family"]], F.array().cast("array<array<string>>")), lambda t: F.size(F.array_intersect(x["t"], t)) >= confirm * F.size(t))
+            F.coalesce(F.exists(templates[x["family"]], lambda t: (F.size(F.array_intersect(x["t"], t["words"])) >= confirm * F.size(t["words"])) & named(t, x["t"])), F.lit(False))
             | F.exists(F.coalesce(phrases[x["family"]], F.array().cast("array<string>")), lambda s: F.contains(spaced(F.get("_l", x["paragraph"])), s))
         ),
     )
@@ -247,7 +304,7 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
     before = lambda i: F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda acc, x: acc + x)
     own = own.withColumn("_q", F.when(several, F.transform("_q", lambda x: F.struct(x["i"], before(x["i"]).alias("b"), x["t"]))))
     own = own.withColumn("_k", F.flatten(F.transform("_q", lambda x: F.transform(x["t"], lambda y: F.struct(x["i"].alias("i"), (x["b"] + y["j"]).alias("at"), y["w"].alias("w"))))))
-    spans = F.from_json(F.lit(json.dumps(model.spans)), "array<struct<family:string,n:int,words:array<string>,phrase:array<string>>>")
+    spans = F.from_json(F.lit(json.dumps(model.spans)), "array<struct<family:string,n:int,words:array<string>,phrase:array<string>,names:array<string>,bars:array<string>>>")
 
     def in_order(own_words, of):
         """How many of the words follow one another as in the template."""
@@ -259,7 +316,7 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
         t_own = F.transform(inside, lambda y: y["w"])
         return F.struct(
             t["family"].alias("family"), s["i"].alias("first"), F.element_at(inside, -1)["i"].alias("last"), s["at"].alias("start"), t["n"].alias("n"), t_own.alias("t"),
-            (in_order(t_own, t["words"]) / F.size(t["words"])).alias("share"), F.coalesce(t_own == t["phrase"], F.lit(True)).alias("whole"),
+            (in_order(t_own, t["words"]) / F.size(t["words"])).alias("share"), (F.coalesce(t_own == t["phrase"], F.lit(True)) & named(t, t_own)).alias("whole"),
         )
 
     def windows(t):

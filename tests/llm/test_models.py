@@ -330,6 +330,54 @@ def test_wrapped_licences(spark):
     assert (rows[len(texts) + 2].first_paragraph, rows[len(texts) + 2].n_unknown) == (0, 0)
 
 
+UNSEEN = (
+    ("epl", "Licensed under the Eclipse Public License, version 2.0"),
+    ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE Version 3"),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("mpl", "Mozilla Public License Version 2.0"),
+    ("boost", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("mit", "This project is open source and available under the MIT License."),
+    ("apache", "You may obtain a copy of the software under the Apache License 2.0"),
+    ("gpl", "distributed under the terms of the GNU General Public License v3"),
+    ("gpl", "GNU GENERAL PUBLIC LICENSE"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that"),
+    ("cc", "This text is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc", "Content is available under CC BY-SA 4.0"),
+    ("bsd", "This code is released under the BSD 2-Clause License"),
+    ("unlicense", "This software is free and unencumbered and released into the public domain"),
+    ("proprietary", "Copyright (c) 2020 Some Company, Inc. All rights reserved."),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by"),
+)
+MISSED = (
+    "Use of this source code is governed by a BSD-style license",
+    "Apache Software License, version 2",
+    "License: MIT",
+    "This software is covered by the GNU GPL, version 2 or later",
+)  # known misses: no template shares enough words
+NO_TEMPLATE = (
+    "Licensed under the zlib License.",
+    "Microsoft Public License (Ms-PL)",
+    "European Union Public Licence, version 1.2",
+    "SIL Open Font License, Version 1.1",
+    "Common Development and Distribution License, Version 1.0",
+    "Academic Free License version 3.0",
+    "Distributed under the PostgreSQL License.",
+    "Licensed under the Universal Permissive License, Version 1.0",
+    "This work is licensed under the Free Art License",
+    "PHP License, version 3.01",
+    "GNU Free Documentation License, Version 1.3",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: OFL-1.1",
+)
+
+
+def test_licences_in_other_words_and_of_other_families(spark):
+    texts = [t for _, t in UNSEEN] + [t.replace("License", "License\n#", 1) for t in NO_TEMPLATE] + list(MISSED + NO_TEMPLATE)
+    assert not {t for ts in license.TEMPLATES.values() for t in ts} & set(texts)
+    rows = {r.doc_id: r.licences for r in license.licence_rows(H.documents(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [f for f, _ in UNSEEN] + [""] * (len(texts) - len(UNSEEN))
+
+
 # ---- pipeline
 
 
