@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, license, oracle, quality, secrets, substring, toxicity, urlfilter
+from . import bpe, decontam, jaccard, langid, license, oracle, quality, secrets, substring, toxicity, trie, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op7_licences, op8_secret_scan, op9_bpe, op10_jaccard_join)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op7_licences, op8_secret_scan, op9_bpe, op10_jaccard_join, op11_prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

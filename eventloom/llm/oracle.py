@@ -106,6 +106,44 @@ SELECT d.doc_id, CAST(coalesce(any_value(z.n), 0) AS BIGINT) AS n_shingles, min(
 FROM d LEFT JOIN z USING (doc_id) JOIN g ON g.id = d.doc_id GROUP BY d.doc_id
 """
 
+_CRC_TABLE = [0] * 256
+for _i in range(256):
+    _x = _i
+    for _ in range(8):
+        _x = _x >> 1 ^ (0xEDB88320 if _x & 1 else 0)
+    _CRC_TABLE[_i] = _x
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text expression's UTF-8 bytes, for DuckDB."""
+    octets = f"[('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT FOR i IN range(1, strlen({text}) + 1)]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, {_CRC_TABLE}[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = f"""
+WITH t AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, dig) AS p, dig, b
+  FROM (SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS dig, strlen(coalesce(text, '')) AS b
+        FROM conversations WHERE conv_id IS NOT NULL)),
+lens AS (SELECT c, count(*) AS n, c - c % 5 AS base, {crc32('CAST(c AS VARCHAR)')} % 9 AS h FROM t GROUP BY c),
+k AS (SELECT x.c, x.base, x.h, least(x.h, coalesce(y.n, 0)) AS k FROM lens x LEFT JOIN lens y ON y.c = x.base),
+r AS (
+  SELECT k.c, p AS d, dig, b FROM k JOIN t ON t.c = k.base AND p <= k.h
+  UNION ALL SELECT k.c, k.k + p - k.h, dig, b FROM k JOIN t ON t.c = k.c AND p > k.h),
+l AS (SELECT k.c, coalesce(ds, []) AS ds, coalesce(bs, []) AS bs FROM k LEFT JOIN (SELECT c, list(dig ORDER BY d) AS ds, list(b ORDER BY d) AS bs FROM r GROUP BY c) USING (c)),
+m AS (SELECT c, d, len(ds) AS n, sha256(array_to_string(ds[1:d], ',')) AS node, sha256(array_to_string(ds[1:d - 1], ',')) AS up, coalesce(bs[d], 0) AS b FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM l)),
+nodes AS (
+  SELECT node, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ids
+  FROM m GROUP BY node, d),
+kids AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node, d)),
+under AS (
+  SELECT m.node, m.d, sum((x.n_convs - 1) * x.b) AS saved, count(*) FILTER (x.n_children = 0) AS leaves
+  FROM full_nodes x JOIN m ON m.c = x.conv_id AND m.d <= x.d GROUP BY m.node, m.d)
+SELECT x.conv_id, x.d AS depth, CASE WHEN x.d > 0 THEN y.conv_id END AS parent_conv_id, x.n_convs, x.n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM full_nodes x JOIN under USING (node, d) LEFT JOIN nodes y ON y.node = x.up AND y.d = x.d - 1
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10}
+    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10, "op11_prefix_trie": OP11}
