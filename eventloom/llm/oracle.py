@@ -144,6 +144,25 @@ SELECT x.conv_id, x.d AS depth, CASE WHEN x.d > 0 THEN y.conv_id END AS parent_c
 FROM full_nodes x JOIN under USING (node, d) LEFT JOIN nodes y ON y.node = x.up AND y.d = x.d - 1
 """
 
+OP12 = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(r, '{_UP}', '{_LOW}') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)),
+c AS (SELECT doc_id, w, count(*) AS n, {crc32("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)")} AS h FROM runs GROUP BY doc_id, w),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS l FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+ins AS (SELECT DISTINCT x.word AS a, v.word AS b FROM x JOIN v ON v.word = x.l),
+near AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.l = b.l AND a.word <> b.word UNION SELECT a, b FROM ins UNION SELECT b, a FROM ins),
+best AS (
+  SELECT a, b, n, n_near FROM (
+    SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM near JOIN v ON v.word = near.b) WHERE k = 1),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN b END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN best ON best.a = v.word),
+chain(word, at) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain ON chain.word = f.word JOIN f g ON g.word = chain.at WHERE g.form IS NULL
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10, "op11_prefix_trie": OP11}
+    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10, "op11_prefix_trie": OP11, "op12_spelling_variants": OP12}
