@@ -158,9 +158,9 @@ best AS (
 f AS (
   SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN b END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
   FROM v LEFT JOIN best ON best.a = v.word),
-chain(word, at) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
-FROM f JOIN chain ON chain.word = f.word JOIN f g ON g.word = chain.at WHERE g.form IS NULL
+chain(word, last) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.last AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain ON chain.word = f.word JOIN f g ON g.word = chain.last WHERE g.form IS NULL
 """
 
 
