@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, license, oracle, quality, secrets, spelling, substring, toxicity, trie, urlfilter
+from . import bpe, chat, decontam, jaccard, langid, license, oracle, quality, secrets, spelling, substring, toxicity, trie, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op7_licences, op8_secret_scan, op9_bpe, op10_jaccard_join, op11_prefix_trie, op12_spelling_variants)
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_rows(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_language, op5_decontamination, op6_quality, op7_licences, op8_secret_scan, op9_bpe, op10_jaccard_join, op11_prefix_trie, op12_spelling_variants, op13_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

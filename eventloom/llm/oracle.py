@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import END, PROBE, START
 from .quality import _CASED, COMMON
 from .urlfilter import BLOCKED_SITES, RULES
 
@@ -163,6 +164,19 @@ SELECT f.word, f.form, chain.last AS root, f.n, f.n_near, f.form_n
 FROM f JOIN chain ON chain.word = f.word JOIN f g ON g.word = chain.last WHERE g.form IS NULL
 """
 
+_GROWN = lambda c: f"length(regexp_replace({c}, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))"
+
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(START) + 1 + len(END)} + {_GROWN("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")} + {_GROWN('text')}) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10, "op11_prefix_trie": OP11, "op12_spelling_variants": OP12}
+    return {"op1_url_filter": OP1, "op2_substring_dedup": OP2, "op5_decontamination": OP5, "op6_quality": OP6, "op10_jaccard_join": OP10, "op11_prefix_trie": OP11, "op12_spelling_variants": OP12, "op13_chat_format": OP13}
