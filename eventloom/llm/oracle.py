@@ -68,8 +68,15 @@ FROM d LEFT JOIN kept USING (r)
 
 _LIST = lambda xs: "[" + ", ".join(repr(x) for x in xs) + "]"
 _SIDE = lambda c, q: f"(CASE WHEN {c} > 0 THEN {c} * log2(2 * {c} / ({c} + {q})) ELSE 0.0 END)"
-_JS = f"""(SELECT h.r, min(sqrt(greatest(0, d))) AS dist FROM (
-    SELECT h.r, f.lang, sum(({_SIDE('h.p', 'f.p')} + {_SIDE('f.p', 'h.p')}) / 2) AS d FROM {{0}} h JOIN {{1}} f ON h.i = f.i GROUP BY h.r, f.lang) h GROUP BY h.r)"""
+_JS = f"sqrt(greatest(0, sum({_SIDE('h.p', 'q.p')} + {_SIDE('q.p', 'h.p')}) / 2))"
+_DISTANCES = lambda k: f"""
+h{k} AS (SELECT r, lang, i, v / sum(v) OVER (PARTITION BY r) AS p FROM k{k} WHERE n >= 40),
+s{k} AS (SELECT lang, i, sum(v) AS v FROM k{k} WHERE lang IS NOT NULL GROUP BY lang, i),
+f{k} AS (SELECT lang, i, v / sum(v) OVER (PARTITION BY lang) AS p FROM s{k}),
+g{k} AS (SELECT r, i, (s.v - k.v) / sum(s.v - k.v) OVER (PARTITION BY r) AS p FROM k{k} k JOIN s{k} s USING (lang, i) WHERE r IN (SELECT r FROM own)),
+own{k} AS (SELECT h.r, {_JS} AS d FROM h{k} h JOIN g{k} q ON q.r = h.r AND q.i = h.i GROUP BY h.r),
+all{k} AS (SELECT r, min(d) AS d FROM (SELECT h.r, {_JS} AS d FROM h{k} h JOIN f{k} q ON q.i = h.i AND q.lang IS DISTINCT FROM h.lang GROUP BY h.r, q.lang) GROUP BY r)"""
+_NEAR = lambda c, w: f"{c} <= 0.3 AND {w} <= 0.45 AND (NOT has_own OR {w} <= 0.1 + 1.22 / sqrt(n))"
 
 OP6 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -81,19 +88,15 @@ c AS (SELECT r, doc_id, lang, len(w) AS n, chars, len(regexp_extract_all(rest, '
   [chars - length(rest), len(regexp_extract_all(rest, '\\p{{Lu}}')), len(regexp_extract_all(rest, '[0-9]')), len(regexp_extract_all(rest, '[.,;:!?]')), sym, length(t) - chars] AS k, length(rest) AS rest_n,
   [lower(x) FOR x IN w IF list_contains({_LIST(_CASED)}, x)] AS hits FROM b),
 e AS (SELECT *, list_append(k, rest_n - k[2] - k[3] - k[4] - k[5]) AS classes, list_append([len([x FOR x IN hits IF x = y]) FOR y IN {_LIST(COMMON)}], n - len(hits)) AS common FROM c),
-langs AS (SELECT lang FROM e WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 1000 >= (SELECT count(lang) FROM e)),
 k1 AS (SELECT r, lang, n, unnest(classes)::DOUBLE AS v, unnest(range(1, 8)) AS i FROM e),
 k2 AS (SELECT r, lang, n, unnest(common)::DOUBLE AS v, unnest(range(1, {len(COMMON) + 2})) AS i FROM e),
-f1 AS (SELECT lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS p FROM k1 SEMI JOIN langs USING (lang) GROUP BY lang, i),
-f2 AS (SELECT lang, i, sum(v) / sum(sum(v)) OVER (PARTITION BY lang) AS p FROM k2 SEMI JOIN langs USING (lang) GROUP BY lang, i),
-h1 AS (SELECT r, i, v / sum(v) OVER (PARTITION BY r) AS p FROM k1 WHERE n >= 40),
-h2 AS (SELECT r, i, v / sum(v) OVER (PARTITION BY r) AS p FROM k2 WHERE n >= 40),
-j1 AS {_JS.format('h1', 'f1')}, j2 AS {_JS.format('h2', 'f2')},
-o AS (SELECT e.*, coalesce(rep.n, 0) AS again, e.n < 10 OR 100 * coalesce(rep.n, 0) > 20 * e.n AS failed, j1.dist AS d1, j2.dist AS d2
-  FROM e LEFT JOIN rep ON rep.r = e.r LEFT JOIN j1 ON j1.r = e.r LEFT JOIN j2 ON j2.r = e.r)
+own AS (SELECT r FROM k2 k JOIN (SELECT lang, sum(v) AS v FROM k2 GROUP BY lang) s USING (lang) GROUP BY r, s.v HAVING s.v - sum(k.v) >= 40),{_DISTANCES(1)},{_DISTANCES(2)},
+o AS (SELECT e.*, coalesce(rep.n, 0) AS again, e.n < 10 OR 100 * coalesce(rep.n, 0) > 20 * e.n AS failed, own.r IS NOT NULL AS has_own, own1.d AS o1, own2.d AS o2, all1.d AS a1, all2.d AS a2
+  FROM e LEFT JOIN rep ON rep.r = e.r LEFT JOIN own ON own.r = e.r LEFT JOIN own1 ON own1.r = e.r LEFT JOIN own2 ON own2.r = e.r LEFT JOIN all1 ON all1.r = e.r LEFT JOIN all2 ON all2.r = e.r),
+z AS (SELECT *, CASE WHEN {_NEAR('o1', 'o2')} THEN o1 ELSE least(o1, a1) END AS d1, CASE WHEN {_NEAR('o1', 'o2')} THEN o2 ELSE least(o2, a2) END AS d2 FROM o)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, chars AS word_chars, CAST(sym AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(again AS BIGINT) AS n_repeat_words,
-  failed AS base_failed, NOT failed AND NOT coalesce(d1 > 0.3 OR d2 > 0.45, false) AS kept, round(d1, 6) AS class_distance, round(d2, 6) AS word_distance
-FROM o
+  failed AS base_failed, NOT failed AND coalesce({_NEAR('d1', 'd2')}, true) AS kept, round(d1, 6) AS class_distance, round(d2, 6) AS word_distance
+FROM z
 """
 
 OP10 = f"""

@@ -2,13 +2,14 @@
 
 Base features come from one pass of column expressions over the text. The method's verdict
 compares two histograms of a document, character classes and common words, with language references
-(the sum over all documents of a language) by Jensen-Shannon distance: with that of its own
-language, whatever its size, and with those of the `MAIN_LANGUAGES` languages of most documents. It
-rejects a document that is far from all of them. A document is left out of its own language's
-reference, which needs `min_words` words of others. The share of common words varies less in long
-texts: where a document's own language has a reference, its word distance may be `word_guard[0]` plus
-`word_guard[1]` by the root of its words at most, so that from 51 words on a text without any common
-word is far. Documents shorter than `min_words` are not judged by the method.
+(the sum over all documents of a language) by Jensen-Shannon distance: first with that of its own
+language, and, if that is far or missing, with those of all others. It rejects a document that is far
+from all of them; its distances are those to its own language if it is near that, else the least ones. A
+document is left out of its own language's reference, which needs `min_words` words of others. The
+share of common words varies less in long texts: where a document's own language has a reference, its
+word distance may be `word_guard[0]` plus `word_guard[1]` by the root of its words at most, so that
+from 51 words on a text without any common word is far. Documents shorter than `min_words` are not
+judged by the method.
 
 Edge cases: a null text counts as empty and fails the base rule; null languages make no reference;
 without references the method keeps everything; repeated rows give repeated results; other columns
@@ -36,7 +37,7 @@ _CASED = COMMON + tuple(w.capitalize() for w in COMMON) + tuple(w.upper() for w
 
 
 CLASSES = 7  # small letters, capitals, digits, marks, symbols, white space, others
-MAIN_LANGUAGES = 16  # whose references every document is compared with, besides its own language's
+TILE = 1_000  # references in one broadcast row (some 0.3 MB)
 BROADCAST_LANGUAGES = 10_000  # references joined by a broadcast (some 3 MB), else by a shuffle
 
 
@@ -139,34 +140,46 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(p.isNotNull() & q.isNotNull(), F.greatest(F.lit(0.0), (_plogp(p) + _plogp(q)) / 2 - _plogp(half))))
 
 
+def _tiles(refs: DataFrame) -> list[DataFrame]:
+    """All references as rows of some `TILE` each: lang, shares of both histograms and the sums of x log2 x."""
+    n = max(1, math.ceil(refs.count() / TILE))
+    q = {c: shares(F.col(f"ref_{c}")) for c in ("classes", "common")}
+    one = F.struct("lang", *[x for c in q for x in (q[c].alias(f"q_{c}"), _plogp(q[c]).alias(f"e_{c}"))])
+    laid = refs.select(F.pmod(F.xxhash64("lang"), F.lit(n)).alias("_tile"), one.alias("_ref"))
+    return [laid.where(F.col("_tile") == i).agg(F.collect_list("_ref").alias(f"_refs{i}")) for i in range(n)]
+
+
 def judged(feats: DataFrame, refs: DataFrame, min_words: int = 40, max_class_distance: float = 0.3, max_word_distance: float = 0.45, word_guard: tuple[float, float] = (0.1, 1.22)) -> DataFrame:
-    """Adds class_distance, word_distance (to the nearest language; null without one), base_failed and kept."""
-    main = refs.orderBy(F.desc("docs"), "lang").limit(MAIN_LANGUAGES).collect()
+    """Adds class_distance, word_distance (null without a reference), base_failed and kept."""
     few = refs.count() <= BROADCAST_LANGUAGES
     others = refs.select(F.col("lang").alias("_lang"), "ref_classes", "ref_common")
     out = feats.join(F.broadcast(others) if few else others, F.col("lang") == F.col("_lang"), "left")
+    tiles = _tiles(refs)
+    for tile in tiles:
+        out = out.crossJoin(F.broadcast(tile))  # one row
     long_enough = F.col("n_words") >= min_words
     rest = {c: F.zip_with(f"ref_{c}", c, lambda x, y: x - y) for c in ("classes", "common")}
     out = out.withColumn("_own", F.coalesce(_sum(rest["common"]) >= min_words, F.lit(False)))
     for c in ("classes", "common"):
         out = out.withColumns({f"_p_{c}": F.when(long_enough, shares(F.col(c))), f"_q_{c}": F.when(F.col("_own") & long_enough, shares(rest[c]))})
+    out = out.withColumns({f"_d_{c}": js_distance(F.col(f"_p_{c}"), F.col(f"_q_{c}")) for c in ("classes", "common")})
+
+    def near(by_class, by_word):
+        close = (by_class <= max_class_distance) & (by_word <= max_word_distance)
+        return close & (~F.col("_own") | (by_word <= word_guard[0] + word_guard[1] / F.sqrt("n_words")))
 
     def nearest(c):
-        p, own = F.col(f"_p_{c}"), js_distance(F.col(f"_p_{c}"), F.col(f"_q_{c}"))
-        far = [(r.lang, [x / total for x in r[f"ref_{c}"]]) for r in main if (total := sum(r[f"ref_{c}"]))]
-        if not far:
-            return own
-        table = F.array(*[F.struct(F.lit(k).alias("lang"), F.array(*map(F.lit, q)).alias("q"), F.lit(sum(x * math.log2(x) for x in q if x)).alias("e")) for k, q in far])
-        mine = F.col(f"_e_{c}")
-        of = lambda r: F.sqrt(F.greatest(F.lit(0.0), (mine + r["e"]) / 2 - _plogp(F.zip_with(p, r["q"], lambda x, y: (x + y) / 2))))
-        return F.when(p.isNotNull(), F.least(own, F.array_min(F.transform(table, lambda r: F.when(~r["lang"].eqNullSafe(F.col("lang")), of(r))))))
-
-    out = out.withColumns({f"_e_{c}": _plogp(F.col(f"_p_{c}")) for c in ("classes", "common")})
+        p, mine = F.col(f"_p_{c}"), F.col(f"_e_{c}")
+        of = lambda r: F.sqrt(F.greatest(F.lit(0.0), (mine + r[f"e_{c}"]) / 2 - _plogp(F.zip_with(p, r[f"q_{c}"], lambda x, y: (x + y) / 2))))
+        rest = [F.array_min(F.transform(f"_refs{i}", lambda r: F.when(r[f"q_{c}"].isNotNull() & ~r["lang"].eqNullSafe(F.col("lang")), of(r)))) for i in range(len(tiles))]
+        return F.when(F.col("_near"), F.col(f"_d_{c}")).when(p.isNotNull(), F.least(F.col(f"_d_{c}"), *rest))
+
+    out = out.withColumn("_near", F.coalesce(near(F.col("_d_classes"), F.col("_d_common")), F.lit(False)))
+    out = out.withColumns({f"_e_{c}": F.when(~F.col("_near"), _plogp(F.col(f"_p_{c}"))) for c in ("classes", "common")})
     out = out.withColumns({"class_distance": nearest("classes"), "word_distance": nearest("common")})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
-    far = far | (F.col("_own") & F.coalesce(F.col("word_distance") > word_guard[0] + word_guard[1] / F.sqrt("n_words"), F.lit(False)))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).select(*feats.columns, "class_distance", "word_distance", "base_failed", "kept")
+    kept = ~failed & F.coalesce(near(F.col("class_distance"), F.col("word_distance")), F.lit(True))
+    return out.withColumn("base_failed", failed).withColumn("kept", kept).select(*feats.columns, "class_distance", "word_distance", "base_failed", "kept")
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:

@@ -179,22 +179,21 @@ def test_quality_distance(spark):
     assert got[0] == pytest.approx(0) and got[1] == pytest.approx(got[2]) and 0.5 < got[1] < 0.6 and got[3] is None
 
 
-@pytest.mark.parametrize(("main", "broadcast"), [(16, 10_000), (1, -1)])
-def test_quality_verdict_against_plain_python(spark, sf, main, broadcast, monkeypatch):
-    monkeypatch.setattr(quality, "MAIN_LANGUAGES", main)
+@pytest.mark.parametrize(("tile", "broadcast"), [(1_000, 10_000), (2, -1)])
+def test_quality_verdict_against_plain_python(spark, sf, tile, broadcast, monkeypatch):
+    monkeypatch.setattr(quality, "TILE", tile)
     monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", broadcast)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     rare = [(10_000, H.prose(60, 5), "ja"), (10_001, "el gato y la casa " * 3 + H.prose(60, 6), "ja"), (10_002, H.prose(70, 7), "zz"), (10_003, H.prose(70, 8), None)]
     docs = docs.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
     feats = {r.doc_id: r for r in quality.features(docs).collect()}
     got = {r.doc_id: r for r in quality.quality_rows(docs).collect()}
-    sums, n = {}, {}
+    sums = {}
     for r in feats.values():
         if r.lang is not None:
-            n[r.lang] = n.get(r.lang, 0) + 1
             for c in ("classes", "common"):
                 sums[r.lang, c] = [x + y for x, y in zip(sums.get((r.lang, c), [0] * len(r[c])), r[c], strict=True)]
-    widest = sorted(n, key=lambda k: (-n[k], k))[:main]
+    langs = {k for k, _ in sums}
 
     def distance(a, b):
         p, q = ([x / sum(v) for x in v] for v in (a, b))
@@ -206,14 +205,21 @@ def test_quality_verdict_against_plain_python(spark, sf, main, broadcast, monkey
             assert got[i].class_distance is None and got[i].kept == (not got[i].base_failed)
             continue
         own = r.lang is not None and sum(sums[r.lang, "common"]) - sum(r.common) >= 40
-        nearest = {}
+        mine, nearest = {}, {}
         for c in ("classes", "common"):
-            refs = [sums[k, c] for k in widest if k != r.lang] + ([[x - y for x, y in zip(sums[r.lang, c], r[c], strict=True)]] if own else [])
-            nearest[c] = min((distance(r[c], q) for q in refs if sum(q)), default=None)
+            left = [x - y for x, y in zip(sums[r.lang, c], r[c], strict=True)] if own else []
+            mine[c] = distance(r[c], left) if own else None
+            rest = [distance(r[c], sums[k, c]) for k in langs - {r.lang} if sum(sums[k, c])]
+            nearest[c] = min([*rest, *([mine[c]] if own else [])], default=None)
+
+        def near(d, own=own, n=r.n_words):
+            return d["classes"] <= 0.3 and d["common"] <= 0.45 and not (own and d["common"] > 0.1 + 1.22 / math.sqrt(n))
+
+        if own and near(mine):
+            nearest = mine
         assert (got[i].class_distance, got[i].word_distance) == (pytest.approx(nearest["classes"], abs=2e-6), pytest.approx(nearest["common"], abs=2e-6))
-        near = nearest["classes"] <= 0.3 and nearest["common"] <= 0.45 and not (own and nearest["common"] > 0.1 + 1.22 / math.sqrt(r.n_words))
-        assert got[i].kept == (near and not got[i].base_failed)
-    # Two documents of a rare language are judged by each other, the only one of another language by the wide ones.
+        assert got[i].kept == (near(nearest) and not got[i].base_failed)
+    # Two documents of a rare language are judged by each other, the only one of another language by all others.
     assert got[10_000].class_distance > 0 and got[10_002].class_distance > 0
 
 

@@ -436,5 +436,5 @@ def test_pipeline_stages_on_edge_rows(spark, sf):
 
 def test_every_query_is_registered(spark):
     names = set(catalog.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(catalog.oracle_sql()) <= names
