@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names and opening statements of public licences, by family.
@@ -259,6 +259,16 @@ def classify(model: Model, line: str, confirm: float = 0.6) -> tuple[str, float]
     return UNKNOWN, float(p[0] if not k else p[k])
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, although f asks for it inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _some(array: str, start: Column, n: Column) -> Column:
+    """Up to n entries of an array from a place within it, in n steps; slice() copies the whole array first."""
+    return F.transform(F.sequence(start, F.least(start + n, F.size(array)) - 1), lambda i: F.get(array, i))
+
+
 def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     """docs with n_paragraphs and found array<struct<paragraph, family, probability>>, families confirmed only."""
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
@@ -269,41 +279,44 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
     own = docs.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n"))
     known = lambda line: F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w.isin(*model.vocabulary))
     spaced = lambda line: F.concat(F.lit(" "), F.array_join(F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), ""), " "), F.lit(" "))
-    own = own.withColumn("_p", F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), known(x).alias("t"))), lambda x: F.size(x["t"]) >= 2))
-
+    # _p, _s, _j, _g have an entry for each line; those of lines with fewer than two known words are null.
+    own = own.withColumn("_p", F.transform("_l", known))
     def grams(t):
         return F.array_distinct(F.concat(t, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda k: F.concat_ws(" ", F.element_at(t, k), F.element_at(t, k + 1)))))
 
     def scores(t):
         return F.aggregate(F.filter(F.transform(grams(t), lambda g: weights[g]), lambda a: a.isNotNull()), bias, lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
 
-    own = own.withColumn("_s", F.transform("_p", lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), scores(x["t"]).alias("z"))))
+    own = own.withColumn("_s", F.transform("_p", lambda t: F.when(F.size(t) >= 2, scores(t))))
     total = lambda z: F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max(z)))
-    judged = F.transform(
-        "_s", lambda x: F.struct(x["i"].alias("paragraph"), F.element_at(families, F.array_position(x["z"], F.array_max(x["z"])).cast("int")).alias("family"), (1 / total(x["z"])).alias("probability"), x["t"].alias("t"))
-    )
-    own = own.withColumn("_j", judged)
+    first = lambda z: F.element_at(families, F.array_position(z, F.array_max(z)).cast("int"))
+    own = own.withColumn("_j", F.transform("_s", lambda z: F.when(z.isNotNull(), F.struct(first(z).alias("family"), (1 / total(z)).alias("probability")))))
     named = lambda t, own_words: (F.size(F.array_except(t["names"], own_words)) == 0) & ~F.arrays_overlap(t["bars"], own_words)
-    confirmed = F.filter(
-        "_j",
-        lambda x: (x["family"] != UNKNOWN)
-        & (x["probability"] >= model.threshold)
-        & (
-            F.coalesce(F.exists(templates[x["family"]], lambda t: (F.size(F.array_intersect(x["t"], t["words"])) >= confirm * F.size(t["words"])) & named(t, x["t"])), F.lit(False))
-            | F.exists(F.coalesce(phrases[x["family"]], F.array().cast("array<string>")), lambda s: F.contains(spaced(F.get("_l", x["paragraph"])), s))
-        ),
-    )
-    own = own.withColumn("_f", F.transform(confirmed, lambda x: F.struct(x["paragraph"], x["family"], x["probability"])))
 
-    # Wrapped statements. _k: the known words of all lines, each with its line and its place among all words.
+    def confirmed(x, i):
+        t = F.get("_p", i)
+        fits = F.exists(templates[x["family"]], lambda y: (F.size(F.array_intersect(t, y["words"])) >= confirm * F.size(y["words"])) & named(y, t))
+        stands = F.exists(F.coalesce(phrases[x["family"]], F.array().cast("array<string>")), lambda s: F.contains(spaced(F.get("_l", i)), s))
+        sure = (x["family"] != UNKNOWN) & (x["probability"] >= model.threshold)
+        return F.when(x.isNotNull() & sure & (F.coalesce(fits, F.lit(False)) | stands), x["family"])
+
+    own = own.withColumn("_g", F.transform("_j", confirmed))
+    paragraphs = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    own = own.withColumn("_f", F.transform(paragraphs("_g"), lambda i: F.struct(i.alias("paragraph"), F.get("_j", i)["family"].alias("family"), F.get("_j", i)["probability"].alias("probability"))))
+
+    # Wrapped statements. _k: the known words of all lines, each with its line, that line's family, and its
+    # place among all words. Words before a line: what stands before its line end in the text's words and line ends.
     words = lambda line: F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
     placed = lambda line: F.filter(F.transform(words(line), lambda w, j: F.struct(j.alias("j"), w.alias("w"))), lambda y: y["w"].isin(*model.vocabulary))
-    own = own.withColumn("_q", F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), placed(x).alias("t"))), lambda x: F.size(x["t"]) > 0))
-    several = F.size("_q") > 1
-    own = own.withColumn("_n", F.when(several, F.transform("_l", lambda x: F.size(words(x)))))
-    before = lambda i: F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda acc, x: acc + x)
-    own = own.withColumn("_q", F.when(several, F.transform("_q", lambda x: F.struct(x["i"], before(x["i"]).alias("b"), x["t"]))))
-    own = own.withColumn("_k", F.flatten(F.transform("_q", lambda x: F.transform(x["t"], lambda y: F.struct(x["i"].alias("i"), (x["b"] + y["j"]).alias("at"), y["w"].alias("w"))))))
+    several = F.size(F.filter("_p", lambda t: F.size(t) > 0)) > 1
+    tokens = F.array_remove(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" \n ")), "[^a-z0-9\n]+"), "")
+    ends = F.filter(F.transform(tokens, lambda w, j: F.when(w == "\n", j)), lambda j: j.isNotNull())
+    own = own.withColumn("_n", F.when(several, ends))
+    before = lambda n, i: F.when(i == 0, 0).otherwise(F.get(n, i - 1) - i + 1)
+    lines = F.filter(F.transform("_p", lambda t, i: F.when(F.size(t) > 0, i)), lambda i: i.isNotNull())
+    word = lambda n, i, y: F.struct(i.alias("i"), (before(n, i) + y["j"]).alias("at"), y["w"].alias("w"), F.get("_g", i).alias("g"))
+    known_words = _let(F.col("_n"), lambda n: F.flatten(F.transform(lines, lambda i: F.transform(placed(F.get("_l", i)), lambda y: word(n, i, y)))))
+    own = own.withColumn("_k", F.when(several, known_words))
     spans = F.from_json(F.lit(json.dumps(model.spans)), "array<struct<family:string,n:int,words:array<string>,phrase:array<string>,names:array<string>,bars:array<string>>>")
 
     def in_order(own_words, of):
@@ -312,31 +325,34 @@ def licence_paragraphs(docs: DataFrame, model: Model, confirm: float = 0.6) -> D
         return F.aggregate(F.transform(own_words, lambda w: F.array_position(of, w).cast("int")), F.struct(F.lit(0).alias("last"), F.lit(0).alias("n")), step)["n"]
 
     def window(s, k, t):
-        inside = F.filter(F.slice("_k", k + 1, t["n"]), lambda y: y["at"] < s["at"] + t["n"])
+        inside = F.filter(_some("_k", k, t["n"]), lambda y: y["at"] < s["at"] + t["n"])
         t_own = F.transform(inside, lambda y: y["w"])
         return F.struct(
-            t["family"].alias("family"), s["i"].alias("first"), F.element_at(inside, -1)["i"].alias("last"), s["at"].alias("start"), t["n"].alias("n"), t_own.alias("t"),
+            t["family"].alias("family"), s["at"].alias("start"), t["n"].alias("n"), s["i"].alias("first"), F.element_at(inside, -1)["i"].alias("last"), t_own.alias("t"),
+            F.array_distinct(F.transform(inside, lambda y: y["i"])).alias("lines"), F.exists(inside, lambda y: y["g"].eqNullSafe(t["family"])).alias("found"),
             (in_order(t_own, t["words"]) / F.size(t["words"])).alias("share"), (F.coalesce(t_own == t["phrase"], F.lit(True)) & named(t, t_own)).alias("whole"),
         )
 
     def windows(t):
-        at = F.filter(F.transform("_k", lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: F.array_contains(t["words"], x["s"]["w"]))
-        alone = lambda x: ~F.exists("_f", lambda y: (y["family"] == x["family"]) & y["paragraph"].between(x["first"], x["last"]))
-        return F.filter(F.transform(at, lambda x: window(x["s"], x["k"], t)), lambda x: (x["first"] < x["last"]) & (x["share"] >= confirm) & x["whole"] & alone(x))
+        at = F.filter(F.transform("_k", lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: F.array_contains(t["words"], x["s"]["w"]) & ~x["s"]["g"].eqNullSafe(t["family"]))
+        return F.filter(F.transform(at, lambda x: window(x["s"], x["k"], t)), lambda x: (x["first"] < x["last"]) & (x["share"] >= confirm) & x["whole"] & ~x["found"])
 
     own = own.withColumn("_v", F.when(several, F.flatten(F.transform(spans, windows))))
     own = own.withColumn("_v", F.transform("_v", lambda x: x.withField("z", scores(x["t"]))))
     own = own.withColumn("_v", F.transform("_v", lambda x: x.withField("probability", 1 / total(x["z"]))))
-    own = own.withColumn("_v", F.filter("_v", lambda x: (F.element_at(families, F.array_position(x["z"], F.array_max(x["z"])).cast("int")) == x["family"]) & (x["probability"] >= model.threshold)))
+    own = own.withColumn("_v", F.array_sort(F.filter("_v", lambda x: (first(x["z"]) == x["family"]) & (x["probability"] >= model.threshold))))
+    # By family and start, the windows that meet another lie so many places from it at most.
+    reach = max(len([x for x in model.spans if x["family"] == f]) * max(x["n"] for x in model.spans if x["family"] == f) for f in model.families[1:])
     meets = lambda x, o: (o["family"] == x["family"]) & (o["start"] < x["start"] + x["n"]) & (x["start"] < o["start"] + o["n"])
     rank = lambda x: F.struct(x["share"], x["probability"], -x["start"], x["n"])
-    best = F.filter("_v", lambda x: ~F.exists("_v", lambda o: meets(x, o) & (rank(o) > rank(x))))
+    about = lambda k: _some("_v", F.greatest(F.lit(0), k - reach), F.lit(2 * reach + 1))
+    best = F.filter("_v", lambda x, k: ~F.exists(about(k), lambda o: meets(x, o) & (rank(o) > rank(x))))
     wrapped = F.coalesce(F.array_distinct(F.transform(best, lambda x: F.struct(x["first"].alias("paragraph"), x["family"], x["probability"]))), F.array().cast("array<struct<paragraph:int,family:string,probability:double>>"))
     own = own.withColumn("found", F.array_sort(F.concat("_f", wrapped)))
-    held = lambda x: F.exists("_f", lambda y: y["paragraph"] == x["paragraph"]) | F.coalesce(F.exists("_v", lambda v: x["paragraph"].between(v["first"], v["last"])), F.lit(False))
-    unknown = F.size(F.filter("_j", lambda x: ~held(x))).cast("long")
+    covered = F.coalesce(F.flatten(F.transform("_v", lambda v: v["lines"])), F.array().cast("array<int>"))
+    unknown = F.size(F.array_except(paragraphs("_j"), F.concat(paragraphs("_g"), covered))).cast("long")
     n = F.size(F.filter("_l", lambda x: x.rlike(r"\S"))).cast("long")
-    return own.withColumns({"n_paragraphs": n, "n_unknown": unknown}).drop("_l", "_p", "_s", "_j", "_f", "_q", "_n", "_k", "_v")
+    return own.withColumns({"n_paragraphs": n, "n_unknown": unknown}).drop("_l", "_p", "_s", "_j", "_g", "_f", "_n", "_k", "_v")
 
 
 def licence_rows(docs: DataFrame) -> DataFrame:

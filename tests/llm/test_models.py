@@ -1,6 +1,8 @@
 """Learned operators: held-out accuracy, agreement with their plain versions, edge cases; and the pipeline."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -438,3 +440,54 @@ def test_every_query_is_registered(spark):
     names = set(catalog.queries())
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(catalog.oracle_sql()) <= names
+
+
+def plain_licences(model, text, confirm=0.6):
+    """{(line, family)} and the number of unknown lines: lines one by one, then every window against every other."""
+    lines, vocabulary = text.split("\n"), set(model.vocabulary)
+    each = {i: c for i, line in enumerate(lines) if (c := license.classify(model, line))}
+    known = {i: f for i, (f, _) in each.items() if f != license.UNKNOWN}
+    words = [(i, w) for i, line in enumerate(lines) for w in re.split("[^a-z0-9]+", line.lower()) if w]
+    spots = [(i, at, w) for at, (i, w) in enumerate(words) if w in vocabulary]
+    found = []
+    if len({i for i, _, _ in spots}) > 1:
+        for t in model.spans:
+            for first, at, w in spots:
+                inside = [s for s in spots if at <= s[1] < at + t["n"]]
+                own = [s[2] for s in inside]
+                last, share = 0, 0
+                for x in own:
+                    place = t["words"].index(x) + 1 if x in t["words"] else 0
+                    if place > last:
+                        last, share = place, share + 1
+                share /= len(t["words"])
+                whole = (t["phrase"] is None or own == t["phrase"]) and set(t["names"]) <= set(own) and not set(t["bars"]) & set(own)
+                if w not in t["words"] or inside[-1][0] == first or share < confirm or not whole or any(known.get(i) == t["family"] for i in range(first, inside[-1][0] + 1)):
+                    continue
+                p = model.probabilities(own)
+                if model.families[int(p.argmax())] == t["family"] and p.max() >= model.threshold:
+                    found.append((t["family"], at, t["n"], share, round(float(p.max()), 9), first, inside[-1][0]))
+    rank = lambda v: (v[3], v[4], -v[1], v[2])
+    best = [v for v in found if not any(o[0] == v[0] and o[1] < v[1] + v[2] and v[1] < o[1] + o[2] and rank(o) > rank(v) for o in found)]
+    covered = {i for v in found for i in range(v[5], v[6] + 1)}
+    return set(known.items()) | {(v[5], v[0]) for v in best}, sum(i not in covered and f == license.UNKNOWN for i, (f, _) in each.items())
+
+
+def test_licences_wrapped_against_every_window(spark):
+    model, rng = license.train(), random.Random(2)
+    statements = [t for ts in license.TEMPLATES.values() for t in ts]
+    texts = []
+    for _ in range(40):
+        words = [w for _ in range(rng.randint(1, 5)) for w in (rng.choice(statements) + " " + " ".join(rng.choice(license.UNRELATED).split()[: rng.randint(0, 6)])).split()]
+        texts.append("".join(w + rng.choice([" ", " ", " ", " ", "\n", "\n\n"]) for w in words))
+    texts += ["Released under the MIT\nLicense.\n" * 30, "MIT License\n" * 20, "\n\nMIT\n\n\nLicense"]
+    got = {r.doc_id: ({(f.paragraph, f.family) for f in r.found}, r.n_unknown) for r in license.licence_paragraphs(H.documents(spark, texts).drop("found"), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_licences(model, t), t
+
+
+def test_licences_in_a_text_of_many_lines(spark):
+    began = time.time()
+    row = license.licence_rows(H.documents(spark, ["Released under the MIT\nLicense.\n" * 4_000])).first()
+    assert (row.licences, row.n_paragraphs, row.n_unknown) == ("mit", 8_000, 0)
+    assert time.time() - began < 90  # a quadratic plan takes many minutes
