@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
 
-BROADCAST_NEEDLES = 10_000
-
 
 def nth_by_group(rows: DataFrame, sizes: DataFrame, key: str, value: str, nth: Column) -> DataFrame:
     """(key, value): the nth smallest value of each group, nth over the columns of sizes.
@@ -22,38 +20,6 @@ def nth_by_group(rows: DataFrame, sizes: DataFrame, key: str, value: str, nth: C
     return at.where((F.col("_r") >= F.col("_at")) & (F.col("_r") - F.col("_k") < F.col("_at"))).select(key, value)
 
 
-def verbatim_pairs(docs: DataFrame, quotes: DataFrame, rare_word_floor: int = 0) -> DataFrame:
-    """(doc_id, item_id) where a quote stands verbatim in a document, both normalised.
-
-    A document that contains a quote contains the quote's longest inner word as a word of its own
-    or as a quote's edge, so pairs meet on that word; quotes of fewer than three words are compared
-    with every document while they are few, else they meet on their first three characters.
-    """
-    d = docs.select("doc_id", T.norm_ascii(F.col("text")).alias("h"))
-    q = quotes.select("item_id", T.norm_ascii(F.col("text")).alias("n")).withColumn("w", F.split("n", " "))
-    inner = F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    long, short = q.where(F.size("w") >= 3).withColumn("k", key), q.where(F.size("w") < 3)
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("h", " "))).alias("k"))
-    keys = long.select("k").distinct()
-    met = words.join(F.broadcast(keys) if keys.count() <= BROADCAST_NEEDLES else keys, "k").join(long.select("k", "item_id", "n"), "k")
-    exact = met.join(d, "doc_id").where(F.contains("h", F.col("n"))).select("doc_id", "item_id")
-    short = short.select("item_id", "n")
-    n = short.count()
-    if not n:
-        return exact
-    if n > BROADCAST_NEEDLES:  # many: they meet documents on their first three characters
-        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("h") - 2)), lambda i: F.substring(F.col("h"), i, F.lit(3))))
-        heads = short.where(F.length("n") >= 3).withColumn("k", F.substring("n", 1, 3))
-        met = d.select("doc_id", F.explode(starts).alias("k")).join(heads, "k").join(d, "doc_id")
-        exact = exact.unionByName(met.where(F.contains("h", F.col("n"))).select("doc_id", "item_id"))
-        # What is left are distinct texts of two characters at most, whatever the number of quotes.
-        tiny = short.where(F.length("n") < 3)
-        held = d.crossJoin(F.broadcast(tiny.select("n").distinct())).where(F.contains("h", F.col("n"))).select("doc_id", "n")
-        return exact.unionByName(held.join(tiny, "n").select("doc_id", "item_id"))
-    return exact.unionByName(d.join(F.broadcast(short), F.contains("h", F.col("n"))).select("doc_id", "item_id"))
-
-
 def in_window(rows: DataFrame, at: str, days: int) -> DataFrame:
     """rows with current: within the days before the newest row's date, as ISO text compares."""
     newest = rows.agg(F.date_format(F.date_sub(F.to_date(F.max(at)), days), "yyyy-MM-dd").alias("_cut"))

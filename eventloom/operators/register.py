@@ -12,6 +12,7 @@ from eventloom.functions import text as T
 from eventloom.sources.feeds import authors_line
 
 from . import domain
+from .verbatim import first_pages
 
 
 def attributed(rows: DataFrame) -> DataFrame:
@@ -37,17 +38,9 @@ def author_links(m) -> DataFrame:
 
 
 def names_on_pages(names: DataFrame, pages: DataFrame) -> DataFrame:
-    """(name, page_id): the first page on which each name stands verbatim.
-
-    Names are few words long; they meet pages on their longest word, then the whole is compared.
-    """
-    n = names.select("name", T.norm(F.col("name")).alias("n")).where("n <> ''")
-    n = n.withColumn("w", F.array_max(F.transform(F.split("n", " "), lambda x: F.struct(F.length(x).alias("l"), x.alias("w"))))["w"])
-    p = pages.select("page_id", T.norm(F.col("text")).alias("h"))
-    words = p.select("page_id", F.explode(F.array_distinct(F.split("h", r"(?U)[^\w]+"))).alias("w"))
-    bare = n.withColumn("w", F.regexp_replace("w", r"(?U)^[^\w]+|[^\w]+$", "")).withColumn("w", F.split("w", r"(?U)[^\w]+")[0])
-    met = words.join(bare, "w").join(p, "page_id").where(F.contains("h", F.col("n")))
-    return met.groupBy("name").agg(F.min("page_id").alias("page_id"))
+    """(name, page_id): the first page on which each name stands verbatim; blank names stand on none."""
+    own = names.where(F.trim("name") != "").select(F.col("name").alias("item_id"), F.col("name").alias("text"))
+    return first_pages(own, pages).withColumnRenamed("item_id", "name")
 
 
 def candidate_labs(candidates: DataFrame, labs: DataFrame | None = None) -> DataFrame:

@@ -286,17 +286,6 @@ def test_places_are_exact_on_large_tables(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-def test_many_short_quotes_meet_by_their_start(spark, monkeypatch):
-    from eventloom.operators import domain
-
-    docs = spark.createDataFrame([(1, "A party of cats"), (2, "xy"), (3, ""), (4, "the art-house")], "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, "art"), (2, "y o"), (3, "xy"), (4, "t"), (5, "of CATS"), (6, "party of cats"), (7, "")], "item_id long, text string")
-    want = sorted(tuple(r) for r in domain.verbatim_pairs(docs, quotes).collect())
-    monkeypatch.setattr(domain, "BROADCAST_NEEDLES", 0)
-    assert sorted(tuple(r) for r in domain.verbatim_pairs(docs, quotes).collect()) == want
-    assert {(1, 1), (4, 1), (1, 2), (2, 3), (1, 5), (1, 6)} <= set(want)
-
-
 def test_hidden_elements_and_references(spark):
     page = "<!DOCTYPE html><p title='a > b'>One<b>two</b> &amp;&nbsp;3 &lt; 4</p><template>x<template>y</template>z</template><noscript>n</noscript><!-- c --><script>if (a < b) {}</script><STYLE>p{}</STYLE> end<script>never closed"
     assert one(spark, page, T.html_to_text) == "One two & 3 < 4 end"
