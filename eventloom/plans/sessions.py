@@ -10,6 +10,7 @@ from eventloom.operators import repair, review, seeding
 from eventloom.operators.versions import Versions
 from eventloom.schemas import Model
 from eventloom.session import shared_dir
+from eventloom.sources import accounts
 
 from .analytics import _FOLDED, _wide
 from .registry import query
@@ -151,3 +152,30 @@ def review_commit(t):
     ):
         out = out.unionByName(more)
     return out
+
+
+# ---------------------------------------------------------------- tracked accounts
+
+_PER_ACCOUNT, _PER_RUN = 7, 300
+_POSTS = f"""since AS (SELECT user_id, max(event_id) FILTER (event_type = 'click') AS last FROM events GROUP BY 1),
+  fresh AS (SELECT e.user_id, e.event_id, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY event_id DESC) AS k FROM events e JOIN since s ON s.user_id = e.user_id AND e.event_id > coalesce(s.last, 0)),
+  turned AS (SELECT *, row_number() OVER (ORDER BY user_id, k) AS n FROM fresh WHERE k <= {_PER_ACCOUNT}),
+  counted AS (SELECT s.user_id, count(t.event_id) AS found, coalesce(sum(count(t.event_id)) OVER (ORDER BY s.user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM since s LEFT JOIN turned t USING (user_id) GROUP BY 1)"""
+
+
+def _accounts(t):
+    """Every user's events as posts, from the user's last click on."""
+    since = t.events.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("since"))
+    listed = [(str(r.user_id), None if r.since is None else str(r.since)) for r in since.orderBy("user_id").collect()]  # the tracked accounts, a configured list
+    names = {"path": f"{t.sf_dir}/events.parquet", "handle": "user_id", "id": "event_id", "created_at": "ts", "text": "props"}
+    return accounts.read_accounts(t.spark, listed, "eventloom.sources.accounts:ParquetPosts", names, _PER_ACCOUNT, _PER_RUN)
+
+
+@query(f"WITH {_POSTS} SELECT CAST(user_id AS VARCHAR) AS handle, CAST(event_id AS VARCHAR) AS id, 'https://posts.example/' || user_id || '/status/' || event_id AS url FROM turned WHERE n <= {_PER_RUN}")
+def source_social(t):
+    return _accounts(t).where("status = 'ok'").select("handle", "id", "url")
+
+
+@query(f"""WITH {_POSTS} SELECT CAST(user_id AS VARCHAR) AS handle, CASE WHEN found > 0 THEN 'ok' ELSE 'empty' END AS status, CAST(least(found, {_PER_RUN} - before) AS BIGINT) AS items_found FROM counted WHERE before < {_PER_RUN}""")
+def source_social_log(t):
+    return accounts.fetch_log(_accounts(t)).select("handle", "status", "items_found")
