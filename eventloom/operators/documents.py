@@ -43,7 +43,8 @@ def changed_pages(m, fetched: DataFrame) -> DataFrame:
 
 def fragment_reason(body: Column) -> Column:
     """Why a post, after its two header lines, does not stand alone; null if it does."""
-    text = F.trim(F.array_join(F.slice(F.split(body, "\n"), 3, 1_000_000), "\n"))
+    lines = F.split(body, "\n")
+    text = F.trim(F.array_join(F.slice(lines, 3, F.greatest(F.lit(0), F.size(lines) - 2)), "\n"))
     text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     return F.when(text == "", "social_empty").when(text.startswith("@"), "social_reply_fragment").when(text.rlike(CONTINUES) | text.rlike(ANAPHOR), "social_thread_continuation")
 

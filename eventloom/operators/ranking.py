@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
 import numpy as np
@@ -11,11 +10,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.session import materialise
 
 from . import domain, stats
+from .order import numbered
 
 FEATURES = ["f0", "f1", "f2"]
 TEST_SHARE, SEED = 0.3, 42
@@ -148,22 +149,57 @@ def learning_curve(pairs: DataFrame, features: DataFrame, sizes: tuple[int, ...]
     return features.sparkSession.createDataFrame(rows, "size int, mean double, sd double")
 
 
-def sample_pairs(events: DataFrame, n: int, seed: int) -> DataFrame:
-    """n seeded pairs of (id, lab, kind): half of different labs, three tenths of different kinds, the rest any.
-
-    A bounded pool drawn by hash is enough to pair from: 50 n events.
+def _drawn(seed: int, tag: str) -> Column:
+    """A number below 2**32 for each row's draw `i`, the same wherever it is computed."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{tag}/"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def _two_groups(events: DataFrame, group: str, draws: DataFrame, seed: int) -> DataFrame:
+    """(i, a, b): for each draw two groups, then an event of each, both evenly; nothing if there is one group."""
+    own = events.select("id", F.col(group).alias("g"))
+    laid = numbered(own, "at", "g", "id")
+    sizes = numbered(laid.groupBy("g").agg(F.min("at").alias("start"), F.count("*").alias("n")), "k", "g")
+    sizes = materialise(sizes, "groups")
+    many = sizes.count()
+    if many < 2:
+        return draws.where("false").select("i", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    first, second = _drawn(seed, f"{group} one") % many + 1, _drawn(seed, f"{group} two") % (many - 1) + 1
+    picks = draws.select("i", first.alias("ka"), (second + (second >= first).cast("long")).alias("kb"))
+    for side in ("a", "b"):
+        where = sizes.select(F.col("k").alias(f"k{side}"), F.col("start").alias(f"s{side}"), F.col("n").alias(f"n{side}"))
+        picks = picks.join(where, f"k{side}").withColumn(f"at_{side}", F.col(f"s{side}") + _drawn(seed, f"{group} {side}") % F.col(f"n{side}"))
+        picks = picks.join(laid.select(F.col("at").alias(f"at_{side}"), F.col("id").alias(side)), f"at_{side}")
+    return picks.select("i", "a", "b")
+
+
+def sample_pairs(events: DataFrame, n: int, seed: int, draws_each: int = 20) -> DataFrame:
+    """n seeded pairs (event_a, event_b, stratum) of (id, lab, kind), each once, the smaller id first.
+
+    Half are of two labs, three tenths of two kinds, the rest any; a group is drawn before an event of it, so small
+    groups are seen as often as large ones. A draw addresses events by their place in the group, all of
+    which are laid down once; so no pool is drawn, and every event can be chosen. A stratum makes draws_each draws for each
+    pair that it is to give; where there are too few different pairs it gives fewer.
     """
-    pool = [tuple(r) for r in events.select("id", "lab", "kind").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(50 * n).collect()]
-    rng, out = random.Random(seed), {}
-    quotas = [(n // 2, lambda a, b: a[1] != b[1]), (n * 3 // 10, lambda a, b: a[2] != b[2]), (n - n // 2 - n * 3 // 10, lambda a, b: True)]
-    for quota, fits in quotas:
-        want, tries = len(out) + quota, 0
-        while len(out) < want and len(pool) > 1 and tries < 200 * n:
-            tries += 1
-            a, b = sorted(rng.sample(pool, 2))
-            if fits(a, b):
-                out.setdefault((a[0], b[0]))
-    return events.sparkSession.createDataFrame(list(out), "event_a long, event_b long")
+    spark, events = events.sparkSession, events.select("id", "lab", "kind")
+    quotas = {"lab": n // 2, "kind": n * 3 // 10, "any": n - n // 2 - n * 3 // 10}
+    parts = []
+    for order, (name, quota) in enumerate(quotas.items()):
+        draws = spark.range(quota * draws_each).select(F.col("id").alias("i"))
+        if name == "any":
+            laid = numbered(events.select("id"), "at", "id")
+            size = laid.count()
+            one, two = _drawn(seed, "any one") % max(1, size) + 1, _drawn(seed, "any two") % max(1, size - 1) + 1
+            picks = draws.select("i", one.alias("at_a"), (two + (two >= one).cast("long")).alias("at_b"))
+            for side in ("a", "b"):
+                picks = picks.join(laid.select(F.col("at").alias(f"at_{side}"), F.col("id").alias(side)), f"at_{side}")
+        else:
+            picks = _two_groups(events, name, draws, seed)
+        parts.append(picks.select(F.lit(order).alias("s"), F.lit(name).alias("stratum"), "i", F.least("a", "b").alias("event_a"), F.greatest("a", "b").alias("event_b")))
+    drawn = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("event_a <> event_b")
+    once = drawn.groupBy("event_a", "event_b").agg(F.min(F.struct("s", "i", "stratum")).alias("d")).select("event_a", "event_b", "d.*")
+    place = F.row_number().over(W.partitionBy("s").orderBy("i"))  # draws_each * n rows
+    least = F.element_at(F.create_map(*[F.lit(x) for x in sum(quotas.items(), ())]), F.col("stratum"))
+    return once.withColumn("_n", place).where(F.col("_n") <= least).select("event_a", "event_b", "stratum")
 
 
 def planted_recovery(spark: SparkSession, n_events: int = 300, n_pairs: int = 400, noise: float = 0.1, seed: int = 7) -> DataFrame:

@@ -134,7 +134,7 @@ def coauthors(papers: DataFrame, tracked: DataFrame, as_of: Column, days: int =
 
 def move_events(moves: DataFrame) -> DataFrame:
     """moves (person, src, dst, left, joined) as events with their two lab entities."""
-    locator = F.to_json(F.struct(F.lit("move").alias("kind"), F.col("joined").cast("string").alias("to_first_observed")))
+    locator = F.to_json(F.named_struct(F.lit("kind"), F.lit("move"), F.lit("to_first_observed"), F.col("joined").cast("string")))
     event = F.xxhash64("person", "src", "dst", "joined")
     sides = F.array(F.struct(F.col("src").alias("lab"), F.lit("mover_from").alias("role")), F.struct(F.col("dst").alias("lab"), F.lit("mover_to").alias("role")))
     return moves.select(event.alias("event_id"), "person", locator.alias("locator"), F.explode(sides).alias("s")).select("event_id", "person", "locator", "s.*")

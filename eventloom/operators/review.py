@@ -68,7 +68,7 @@ def affiliations(promoted: DataFrame, pages: DataFrame, seeds: DataFrame, as_of:
     people = promoted.select("person_id", "name", "evidence_id", "seed_person_ids")
     seen = people.drop("evidence_id").join(first, "name").withColumn("evidence_id", F.xxhash64("name", "document_id"))
     evidence = seen.select(
-        F.col("evidence_id").alias("id"), "document_id", F.to_json(F.struct(F.lit("page_text").alias("kind"), F.col("name").alias("match"))).alias("locator"),
+        F.col("evidence_id").alias("id"), "document_id", F.to_json(F.named_struct(F.lit("kind"), F.lit("page_text"), F.lit("match"), F.col("name"))).alias("locator"),
         F.col("name").alias("verbatim_content"), F.lit("exact").alias("verification"), F.lit(1.0).alias("verification_score"),
     ).distinct()
     rest = people.join(seen.select("person_id"), "person_id", "left_anti")

@@ -66,7 +66,7 @@ def seed_writes(decisions: DataFrame, labs: DataFrame, as_of: str) -> dict[str,
     at = F.lit(as_of)
     added = decisions.where("status = 'added'").join(labs.select(F.col("id").alias("lab_id"), F.col("name").alias("lab")), "lab", "left")
     added = added.withColumns({"person_id": F.xxhash64("name"), "evidence_id": F.xxhash64("name", "document_id")})
-    locator = F.to_json(F.struct(F.lit("page_text").alias("kind"), F.col("name").alias("match")))
+    locator = F.to_json(F.named_struct(F.lit("kind"), F.lit("page_text"), F.lit("match"), F.col("name")))
     missed = decisions.where("status in ('seed_page_unfetchable', 'seed_name_not_on_page')")
     return {
         "evidence": added.select(F.col("evidence_id").alias("id"), "document_id", locator.alias("locator"), F.col("name").alias("verbatim_content"), F.lit("exact").alias("verification"), F.lit(1.0).alias("verification_score")),

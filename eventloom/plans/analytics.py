@@ -541,7 +541,17 @@ def slate_greedy(t):
     return t.spark.createDataFrame([(i + 1, r["id"], r["lab"]) for i, r in enumerate(chosen)], "pos int, event_id long, lab string")
 
 
-@query()
+_DRAW = lambda tag: f"('0x' || substr(md5('42/{tag}/' || i), 1, 8))::BIGINT"
+_TWO = lambda g, n: f"""{g}_l AS (SELECT id, {g} AS g, row_number() OVER (ORDER BY {g}, id) AS spot FROM e), {g}_s AS (SELECT g, min(spot) AS start, count(*) AS n, row_number() OVER (ORDER BY g) AS k FROM {g}_l GROUP BY g),
+  {g}_d AS (SELECT i, ka, kb + CASE WHEN kb >= ka THEN 1 ELSE 0 END AS kb FROM (SELECT i, {_DRAW(g + ' one')} % (SELECT count(*) FROM {g}_s) + 1 AS ka, {_DRAW(g + ' two')} % ((SELECT count(*) FROM {g}_s) - 1) + 1 AS kb FROM range({n}) r(i))),
+  {g}_p AS (SELECT i, x.id AS a, y.id AS b FROM {g}_d d JOIN {g}_s sa ON sa.k = ka JOIN {g}_s sb ON sb.k = kb JOIN {g}_l x ON x.spot = sa.start + {_DRAW(g + ' a')} % sa.n JOIN {g}_l y ON y.spot = sb.start + {_DRAW(g + ' b')} % sb.n)"""
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, user_id AS lab, event_type AS kind FROM events), {_TWO('lab', 600)}, {_TWO('kind', 360)}, any_l AS (SELECT id, row_number() OVER (ORDER BY id) AS spot FROM e),
+  any_d AS (SELECT i, p, q + CASE WHEN q >= p THEN 1 ELSE 0 END AS q FROM (SELECT i, {_DRAW('any one')} % (SELECT count(*) FROM e) + 1 AS p, {_DRAW('any two')} % ((SELECT count(*) FROM e) - 1) + 1 AS q FROM range(240) r(i))),
+  drawn AS (SELECT 0 AS s, 'lab' AS stratum, i, a, b FROM lab_p UNION ALL SELECT 1, 'kind', i, a, b FROM kind_p UNION ALL SELECT 2, 'any', i, x.id, y.id FROM any_d JOIN any_l x ON x.spot = p JOIN any_l y ON y.spot = q),
+  once AS (SELECT s, stratum, i, least(a, b) AS event_a, greatest(a, b) AS event_b FROM drawn WHERE a <> b QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY s, i) = 1)
+  SELECT event_a, event_b, stratum FROM once QUALIFY row_number() OVER (PARTITION BY s ORDER BY i) <= CASE s WHEN 0 THEN 30 WHEN 1 THEN 18 ELSE 12 END""")
 def sample_pairs(t):
     return ranking.sample_pairs(t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("lab"), F.col("event_type").alias("kind")), 60, 42)
 

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import repair, review, seeding
+from eventloom.operators import probe, quotes, repair, review, seeding
 from eventloom.operators.versions import Versions
 from eventloom.schemas import Model
 from eventloom.session import shared_dir
 from eventloom.sources import accounts
+from eventloom.streaming import register
 
 from .analytics import _FOLDED, _wide
 from .registry import query
@@ -179,3 +180,45 @@ def source_social(t):
 @query(f"""WITH {_POSTS} SELECT CAST(user_id AS VARCHAR) AS handle, CASE WHEN found > 0 THEN 'ok' ELSE 'empty' END AS status, CAST(least(found, {_PER_RUN} - before) AS BIGINT) AS items_found FROM counted WHERE before < {_PER_RUN}""")
 def source_social_log(t):
     return accounts.fetch_log(_accounts(t)).select("handle", "status", "items_found")
+
+
+# ---------------------------------------------------------------- streams
+
+
+_PLACE = "concat('L', CAST((user_id + {0}) % 7 AS VARCHAR(9)))"
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, {_PLACE.format("date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 6")} AS lab FROM events), s AS (SELECT user_id, lab, min(ts) AS a, max(ts) AS b FROM e GROUP BY 1, 2),
+  o AS (SELECT *, lead(lab) OVER w AS nxt, lead(a) OVER w AS na FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, lab))
+  SELECT user_id, lab AS src, nxt AS dst, strftime(b, '%Y-%m-%d %H:%M:%S') AS "left", strftime(na, '%Y-%m-%d %H:%M:%S') AS joined FROM o WHERE na > b AND epoch_us(na) - epoch_us(b) <= 90 * 86400000000""")
+def mobility_stream(t):
+    """Moves that stand after all events came as a stream, a file at a time, in no order of time; a user is at another lab every six days."""
+    root = f"{shared_dir(t.spark)}/moves-{uuid.uuid4().hex}"
+    lab = F.expr(_PLACE.format("CAST(floor(datediff(ts, DATE '2024-01-01') / 6) AS BIGINT)"))
+    seen = t.events.select(F.col("user_id").alias("person"), lab.alias("lab"), F.col("ts").cast("timestamp").alias("observed"))
+    seen.repartition(4, F.xxhash64("person", "observed")).write.parquet(f"{root}/in")
+    with register.with_state_store(t.spark):
+        stream = t.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}")  # noqa: E731  a batch that runs again replaces itself
+        register.moves_by_person(stream, 90).writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    changes = t.spark.read.schema(register.MOVE).parquet(f"{root}/out/batch=*")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return register.standing(changes).select(F.col("person").alias("user_id"), "src", "dst", text("left"), text("joined"))
+
+
+# ---------------------------------------------------------------- figures over rejections and scores
+
+@query("""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'near_miss' WHEN 1 THEN CASE WHEN regexp_matches(substr(text, 1, 200), '[A-Za-zÀ-ÿ]{4}') THEN 'paraphrase' ELSE 'fabrication' END ELSE 'fabrication' END AS reason_class FROM documents WHERE length(text) >= 300""")
+def rejected_quotes(t):
+    """Quotes made from whole texts: their start with a wrong end, their words with others between, words of no text."""
+    start = F.substring("text", 1, 200)
+    words = F.filter(F.split(F.regexp_replace(start, "[^A-Za-zÀ-ÿ]+", " "), " "), lambda w: w != "")
+    turned = F.array_join(words, " qq ")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(start, F.lit(" qqqq wwww"))).when(F.col("doc_id") % 3 == 1, turned).otherwise("qqqqzz wwwwkk jjjjvv")
+    rows = t.documents.where("length(text) >= 300").select(F.col("doc_id").alias("id"), quote.alias("quote"), F.col("text").alias("raw"))
+    return quotes.quote_classes(rows).select("id", "reason_class")
+
+
+@query("SELECT c_custkey AS probe, c_acctbal / 50 AS score, 1 + (SELECT count(*) FROM events WHERE value > c_acctbal / 50) AS rank, (SELECT count(value) FROM events) AS \"of\" FROM customer")
+def rank_probe(t):
+    return probe.ScoreIndex(t.events.select("value"), "value").ranks(t.customer.select(F.col("c_custkey").alias("probe"), (F.col("c_acctbal") / 50).alias("score")))

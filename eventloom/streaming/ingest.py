@@ -61,25 +61,3 @@ def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
         fresh.write.mode("append").parquet(path)
 
     return write
-
-
-def moves_by_person(seen: DataFrame, window_days: int = 90) -> DataFrame:
-    """(person, src, dst, at) as a keyed state machine: a person's lab changes within the window.
-
-    State per person is the current lab and when it was last seen. Rows of a batch are taken in
-    order of time.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames, state: GroupState):
-        lab, last = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("observed").itertuples():
-            if lab is not None and row.lab != lab and last < row.observed <= last + pd.Timedelta(days=window_days):
-                out.append((key[0], lab, row.lab, row.observed))
-            lab, last = row.lab, row.observed
-        state.update((lab, last))
-        yield pd.DataFrame(out, columns=["person", "src", "dst", "at"])
-
-    return seen.groupBy("person").applyInPandasWithState(step, "person long, src string, dst string, at timestamp", "lab string, last timestamp", "append", GroupStateTimeout.NoTimeout)

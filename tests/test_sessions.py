@@ -196,3 +196,57 @@ def test_promotion_on_the_best_basis(spark):
     assert sorted(r.document_id for r in out["evidence"].collect()) == [29, 31]
     assert sorted(r.handle for r in out["identities"].collect()) == ["No Seeds", "On Pages", "One Lab", "Two Labs"]
     assert {r.status for r in out["person_candidates"].collect()} == {"approved"}
+
+
+def test_longest_common_block(spark):
+    import difflib
+
+    from eventloom.operators import quotes
+
+    rng = random.Random(12)
+    for _ in range(300):
+        quote, text = ("".join(rng.choice("ab é") for _ in range(rng.randint(0, n))) for n in (14, 40))
+        assert quotes.longest_common(quote, text) == difflib.SequenceMatcher(None, quote, text, autojunk=False).find_longest_match(0, len(quote), 0, len(text)).size
+    assert quotes.longest_common("x" * 3000 + "y", "x" * 200_000) == 3000
+    rows = [(1, "The model runs twice", "<p>The MODEL runs</p> twicf"), (2, "model twice runs the", "the model runs twice"), (3, "entirely made", "the model"), (4, " ", "x"), (5, None, "x"), (6, "x", None), (7, "a b", "a c")]
+    got = {r.id: r.reason_class for r in quotes.quote_classes(spark.createDataFrame(rows, "id long, quote string, raw string")).collect()}
+    assert got == {1: "near_miss", 2: "paraphrase", 3: "fabrication", 7: "fabrication"}
+
+
+def test_ranks_of_unseen_scores(spark):
+    from eventloom.operators.probe import ScoreIndex
+
+    rng = random.Random(2)
+    scores = [rng.choice([None, 1.0, 2.5, rng.random() * 10]) for _ in range(500)]
+    probes = [(i, x) for i, x in enumerate([-1.0, 0.5, 1.0, 2.5, 2.6, 9.9, 100.0, None])]
+    known = sorted(x for x in scores if x is not None)
+    frame = spark.createDataFrame([(x,) for x in scores], "score double")
+    asked = spark.createDataFrame(probes, "probe long, score double")
+    got = {r.probe: (r.rank, r.of) for r in ScoreIndex(frame).ranks(asked).collect()}
+    assert got == {i: (1 + sum(x > at for x in known), len(known)) for i, at in probes if at is not None}
+    assert {(r.rank, r.of) for r in ScoreIndex(frame.limit(0)).ranks(asked).collect()} == {(1, 0)}
+
+
+def test_sampled_pairs(spark):
+    from eventloom.operators import ranking
+
+    rows = [(i, "big" if i < 900 else f"lab{i % 4}", ["x", "y", "z"][i % 3]) for i in range(1000)]
+    events = spark.createDataFrame(rows, "id long, lab string, kind string")
+    lab, kind = {i: a for i, a, _ in rows}, {i: k for i, _, k in rows}
+    got = [tuple(r) for r in ranking.sample_pairs(events, 200, 7).collect()]
+    assert got and sorted(got) == sorted(tuple(r) for r in ranking.sample_pairs(events.repartition(9), 200, 7).collect())
+    assert len({g[:2] for g in got}) == len(got) == 200 and all(a < b for a, b, _ in got)
+    by = {s: [(a, b) for a, b, x in got if x == s] for s in ("lab", "kind", "any")}
+    assert [len(by[s]) for s in by] == [100, 60, 40]
+    assert all(lab[a] != lab[b] for a, b in by["lab"]) and all(kind[a] != kind[b] for a, b in by["kind"])
+    small = sum(lab[x] != "big" for pair in by["lab"] for x in pair)
+    assert small > 130  # labs are drawn evenly, so four in five are small ones
+    assert ranking.sample_pairs(events.limit(1), 10, 7).count() == 0
+    assert {tuple(r) for r in ranking.sample_pairs(events.where("id < 3"), 100, 7).select("event_a", "event_b").collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_a_post_of_very_many_lines(spark):
+    from eventloom.operators import documents
+
+    body = "@h\nurl\n" + "\n" * 1_200_000 + "It runs."
+    assert [r[0] for r in spark.createDataFrame([(body,), ("@h\nurl",), ("@h",), ("",)], "b string").select(documents.fragment_reason(F.col("b"))).collect()] == ["social_thread_continuation", "social_empty", "social_empty", "social_empty"]
