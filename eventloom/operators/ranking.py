@@ -119,34 +119,117 @@ def bakeoff(pairs: DataFrame, features: DataFrame, baselines: dict[str, Column])
     return report.crossJoin(best).withColumn("winner", F.col("model") == F.col("b.m")).drop("b")
 
 
-def ablation(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """(feature, delta): held-out accuracy lost without each feature; one small fit a feature."""
+def fit_many(design: DataFrame, names: list[str], most: int = 25, tol: float = 1e-9) -> dict[str, np.ndarray]:
+    """Weights, by model, of the L2 logistic regressions that `fit_logistic` fits one at a time.
+
+    design: (models array<struct<model, off>>, label, features): the models that a row trains, and the features that
+    each does without. All models take a Newton step together: one aggregate gives the gradients and
+    curvatures of all, and only these, some features squared a model, come to the driver.
+    """
+    k = len(names)
+    rows = design.select(F.explode("models").alias("m"), "label", F.array(*[F.col(n).cast("double") for n in names]).alias("_x"))
+    rows = rows.select(F.col("m.model").alias("model"), "label", F.transform("_x", lambda x, i: F.when(F.array_contains("m.off", i), 0.0).otherwise(x)).alias("x"))
+    rows = materialise(rows, "stacked")
+    known = [r.model for r in rows.select("model").distinct().collect()]
+    w = {m: np.zeros(k) for m in known}
+    open_ = set(known)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    x = [F.get("x", F.lit(i)) for i in range(k)]
+    while open_ and most:
+        most -= 1
+        now = F.broadcast(rows.sparkSession.createDataFrame([(m, w[m].tolist()) for m in sorted(open_)], "model string, w array<double>"))
+        z = reduce(lambda a, b: a + b, [x[i] * F.get("w", F.lit(i)) for i in range(k)])
+        p = 1 / (1 + F.exp(-F.col("z")))
+        at = rows.join(now, "model").withColumn("z", z).withColumns({"d": p - F.col("label"), "c": p * (1 - p)})
+        got = at.groupBy("model").agg(F.array(*[F.sum(F.col("d") * x[i]) for i in range(k)]).alias("g"), F.array(*[F.sum(F.col("c") * x[i] * x[j]) for i, j in cells]).alias("h")).collect()
+        for r in got:
+            h = np.eye(k)
+            for (i, j), v in zip(cells, r.h, strict=True):
+                h[i, j] += v
+                if i != j:
+                    h[j, i] += v
+            step = np.linalg.solve(h, np.array(r.g) + w[r.model])
+            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))  # far steps of separable rows are taken in parts
+            w[r.model] = w[r.model] - step
+            if np.abs(step).max() < tol:
+                open_.discard(r.model)
+    return w
+
+
+def accuracies(pairs: DataFrame, features: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """(model, n, accuracy) of many linear models on decided pairs, in one pass; equal scores count as a vote for b."""
     names = [c for c in features.columns if c != "event"]
-    train, test = split_pairs(pairs)
+    side = lambda s: features.select(F.col("event").alias(f"event_{s}"), F.array(*names).alias(s))
+    both = pairs.where("winner <> 'tie'").join(side("a"), "event_a").join(side("b"), "event_b")
+    table = F.broadcast(features.sparkSession.createDataFrame([(m, [float(x) for x in w]) for m, w in sorted(weights.items())], "model string, w array<double>"))
+    score = lambda s: reduce(lambda a, b: a + b, [F.get(s, F.lit(i)) * F.get("w", F.lit(i)) for i in range(len(names))])
+    rows = both.crossJoin(table).withColumn("_d", score("a") - score("b"))  # one row a model, some dozens
+    right = F.when(F.col("_d") > 0, "a").otherwise("b") == F.col("winner")
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+
 
-    def accuracy(used: list[str]) -> float:
-        own = features.select("event", *used)
-        weights = fit_logistic(pair_design(train, own), used)
-        return stats.pairwise_accuracy(test, linear_scores(own, used, weights)).first().accuracy or 0.0
+def _models(*made: Column) -> Column:
+    return F.array(*made)
 
-    full = accuracy(names)
-    rows = [(n, full - accuracy([m for m in names if m != n])) for n in names] if len(names) > 1 else []
+
+def _model(name: str | Column, off: list[int] = []) -> Column:  # noqa: B006
+    return F.struct((F.lit(name) if isinstance(name, str) else name).alias("model"), F.array(*[F.lit(i) for i in off]).cast("array<int>").alias("off"))
+
+
+def ablation(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(feature, delta): held-out accuracy lost without each feature; all fits are made together."""
+    names = [c for c in features.columns if c != "event"]
+    train, test = split_pairs(pairs)
+    design = pair_design(train, features).withColumn("models", _models(_model("all"), *[_model(n, [i]) for i, n in enumerate(names)]))
+    got = {r.model: r.accuracy for r in accuracies(test, features, fit_many(design, names)).collect()}
+    rows = [(n, got["all"] - got[n]) for n in names] if len(names) > 1 and "all" in got else []
     return features.sparkSession.createDataFrame(rows, "feature string, delta double")
 
 
 def learning_curve(pairs: DataFrame, features: DataFrame, sizes: tuple[int, ...] = (10, 20, 40, 80, 160, 320), repeats: int = 5) -> DataFrame:
-    """(size, mean, sd) of held-out accuracy over seeded subsamples of the training pairs."""
+    """(size, mean, sd) of held-out accuracy over seeded subsamples of the training pairs; all fits are made together."""
+    names = [c for c in features.columns if c != "event"]
+    train, test = split_pairs(pairs)
+    parts = []
+    for r in range(repeats):
+        drawn = train.orderBy(F.xxhash64("event_a", "event_b", F.lit(r))).limit(max(sizes)).withColumn("_r", F.lit(r))
+        parts.append(drawn.withColumn("_place", F.row_number().over(W.partitionBy("_r").orderBy(F.xxhash64("event_a", "event_b", F.lit(r))))))  # at most the largest size
+    drawn = reduce(DataFrame.unionByName, parts)
+    own = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("_place"))
+    drawn = drawn.withColumn("models", F.transform(own, lambda s: _model(F.concat_ws("/", s.cast("string"), F.col("_r").cast("string")))))
+    design = drawn.join(features.select(F.col("event").alias("event_a"), *[F.col(n).alias(f"{n}_a") for n in names]), "event_a").join(features.select(F.col("event").alias("event_b"), *[F.col(n).alias(f"{n}_b") for n in names]), "event_b").where("winner <> 'tie'")
+    design = design.select("models", (F.col("winner") == "a").cast("double").alias("label"), *[(F.col(f"{n}_a") - F.col(f"{n}_b")).alias(n) for n in names])
+    both = design.unionByName(design.select("models", (1 - F.col("label")).alias("label"), *[(-F.col(n)).alias(n) for n in names]))
+    weights = fit_many(both, names)
+    empty = {f"{s}/{r}": np.zeros(len(names)) for s in sizes for r in range(repeats)}
+    got = accuracies(test, features, empty | weights)
+    return got.groupBy(F.split_part("model", F.lit("/"), F.lit(1)).cast("int").alias("size")).agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"))
+
+
+def overfitting(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(model, train, held_out, gap) of the linear and the tree model."""
     names = [c for c in features.columns if c != "event"]
     train, test = split_pairs(pairs)
+    design = materialise(pair_design(train, features), "design")
+    scores = {"logistic": linear_scores(features, names, fit_logistic(design, names)), "gbm": gbm_scores(fit_gbm(design, names), features, names)}
+    side = lambda part, s, c: stats.pairwise_accuracy(part, s).select(F.col("accuracy").alias(c))
+    rows = [side(train, s, "train").crossJoin(side(test, s, "held_out")).select(F.lit(k).alias("model"), "train", "held_out") for k, s in sorted(scores.items())]  # one row each
+    return reduce(DataFrame.unionByName, rows).withColumn("gap", F.col("train") - F.col("held_out"))
+
+
+def nested_folds(pairs: DataFrame, features: DataFrame, folds: int = 5) -> DataFrame:
+    """(fold, train, held_out, gap) of the linear model: every fold is held out once, all fits are made together."""
+    names = [c for c in features.columns if c != "event"]
+    fold = F.pmod(F.xxhash64("event_a", "event_b", F.lit(SEED)), F.lit(folds))
+    laid = materialise(pairs.withColumn("_fold", fold), "folds")
+    parts = [pair_design(laid.where(F.col("_fold") == i), features).withColumn("models", _models(*[_model(str(j)) for j in range(folds) if j != i])) for i in range(folds)]
+    weights = fit_many(reduce(DataFrame.unionByName, parts), names)
     rows = []
-    for size in sizes:
-        got = []
-        for r in range(repeats):
-            part = train.orderBy(F.xxhash64("event_a", "event_b", F.lit(r))).limit(size)
-            w = fit_logistic(pair_design(part, features), names)
-            got.append(stats.pairwise_accuracy(test, linear_scores(features, names, w)).first().accuracy or 0.0)
-        rows.append((size, float(np.mean(got)), float(np.std(got))))
-    return features.sparkSession.createDataFrame(rows, "size int, mean double, sd double")
+    for i in range(folds):
+        own = {str(i): weights[str(i)]} if str(i) in weights else {str(i): np.zeros(len(names))}
+        train, held = (accuracies(laid.where(c), features, own).select("model", F.col("accuracy").alias(n)) for c, n in ((F.col("_fold") != i, "train"), (F.col("_fold") == i, "held_out")))
+        rows.append(train.join(held, "model"))
+    return reduce(DataFrame.unionByName, rows).select(F.col("model").cast("int").alias("fold"), "train", "held_out", (F.col("train") - F.col("held_out")).alias("gap"))
 
 
 def _drawn(seed: int, tag: str) -> Column:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import probe, quotes, repair, review, seeding
+from eventloom.operators import probe, profiles, quotes, repair, review, seeding
 from eventloom.operators.versions import Versions
 from eventloom.schemas import Model
 from eventloom.session import shared_dir
@@ -222,3 +222,51 @@ def rejected_quotes(t):
 @query("SELECT c_custkey AS probe, c_acctbal / 50 AS score, 1 + (SELECT count(*) FROM events WHERE value > c_acctbal / 50) AS rank, (SELECT count(value) FROM events) AS \"of\" FROM customer")
 def rank_probe(t):
     return probe.ScoreIndex(t.events.select("value"), "value").ranks(t.customer.select(F.col("c_custkey").alias("probe"), (F.col("c_acctbal") / 50).alias("score")))
+
+
+# ---------------------------------------------------------------- profiles
+
+_LOGIN = "concat(CASE WHEN {0} % 17 = 0 THEN 'auto-bot' ELSE 'dev' END, CAST({0} AS VARCHAR(9)))"
+_NICK = f"CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN '' ELSE {_LETTERS.format('c_custkey - c_custkey % 2')} END"
+_COMPANY = "CASE c_custkey % 5 WHEN 0 THEN concat('@', c_mktsegment) WHEN 1 THEN 'at the building site' END"
+_LABS = "SELECT 1 AS id, 'Big Machines' AS name UNION ALL SELECT 2, 'House Lab' UNION ALL SELECT 3, 'Auto Works'"
+_CLAIMED = "CASE WHEN regexp_matches(upper(coalesce(company, '')), '(^|[^A-Z0-9_])(MACHINERY)([^A-Z0-9_]|$)') THEN 'Big Machines' WHEN regexp_matches(upper(coalesce(company, '')), '(^|[^A-Z0-9_])(BUILDING|HOUSEHOLD)([^A-Z0-9_]|$)') THEN 'House Lab' END"
+_PROFILES = f"""repos AS (SELECT n_name AS slug, CASE n_nationkey % 4 WHEN 0 THEN 'Big Machines' WHEN 1 THEN 'House Lab' WHEN 2 THEN 'Auto Works' ELSE 'Untracked' END AS lab FROM nation),
+  contrib AS (SELECT n_name AS slug, {_LOGIN.format('o_custkey')} AS login, CASE WHEN o_custkey % 19 = 0 THEN 'Bot' ELSE 'User' END AS type, count(*) AS k FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 GROUP BY ALL),
+  members AS (SELECT {_LOGIN.format('c_custkey')} AS login, 'org' || (c_nationkey % 3) AS org, CASE c_nationkey % 3 WHEN 0 THEN 'Big Machines' WHEN 1 THEN 'House Lab' ELSE 'Auto Works' END AS lab FROM customer WHERE c_custkey % 9 = 0),
+  known AS (SELECT 'DEV' || c_custkey AS handle FROM customer WHERE c_custkey % 13 = 0),
+  finds AS (SELECT login, 0 AS kind, org AS place, lab, org AS member_of FROM members UNION ALL SELECT login, 1, slug, lab, NULL FROM contrib JOIN repos USING (slug)
+    WHERE type = 'User' AND k >= 2 AND NOT contains(login, '-bot') AND lower(login) NOT IN (SELECT lower(handle) FROM known)),
+  found AS (SELECT * FROM finds QUALIFY row_number() OVER (PARTITION BY login ORDER BY kind, place, lab) = 1),
+  prof AS (SELECT {_LOGIN.format('c_custkey')} AS login, c_custkey AS did, {_NICK} AS name, {_COMPANY} AS company, c_custkey % 6 > 1 AS fine FROM customer),
+  people AS (SELECT c_custkey AS id, {_LETTERS.format('c_custkey')} AS name FROM customer WHERE c_custkey % 8 = 0),
+  j AS (SELECT f.*, p.did, p.name, company, {_CLAIMED} AS claimed, x.id AS person, CASE WHEN contains(login, '-bot') THEN 'gh_login_is_bot' WHEN NOT fine THEN 'gh_name_not_a_person' WHEN member_of IS NULL AND {_CLAIMED} IS NULL AND x.id IS NULL THEN 'gh_login_unverified' END AS reason
+    FROM found f JOIN prof p USING (login) LEFT JOIN people x ON x.name = p.name WHERE lab <> 'Untracked'),
+  fresh AS (SELECT *, coalesce(claimed, lab) AS attributed FROM j WHERE reason IS NULL AND person IS NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY login) = 1)"""
+
+
+@query(f"""WITH {_PROFILES}
+  SELECT 'identity' AS part, login AS who, CASE WHEN member_of IS NOT NULL OR claimed IS NOT NULL THEN 'verbatim/self_link' ELSE 'name_match_only/exact' END AS what FROM j WHERE reason IS NULL
+  UNION ALL SELECT 'evidence', login, CASE WHEN member_of IS NOT NULL AND company IS NULL THEN 'public_member_of: ' || member_of ELSE coalesce(company, name) END FROM j WHERE reason IS NULL
+  UNION ALL SELECT 'person', name, attributed FROM fresh
+  UNION ALL SELECT 'rejection', login, reason FROM j WHERE reason IS NOT NULL""")
+def seed_profiles(t):
+    """Customers as accounts, orders as contributions to 25 repositories, every ninth customer a public member."""
+    repos = t.nation.select(F.col("n_name").alias("slug"), F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'Big Machines' WHEN 1 THEN 'House Lab' WHEN 2 THEN 'Auto Works' ELSE 'Untracked' END").alias("lab"))
+    orders = t.orders.withColumn("n_nationkey", F.col("o_orderkey") % 25).join(t.nation.select("n_nationkey", "n_name"), "n_nationkey")
+    contributors = orders.groupBy(F.col("n_name").alias("slug"), F.expr(_LOGIN.format("o_custkey")).alias("login"), F.expr("CASE WHEN o_custkey % 19 = 0 THEN 'Bot' ELSE 'User' END").alias("type")).agg(F.count("*").alias("contributions"))
+    members = t.customer.where("c_custkey % 9 = 0").selectExpr(f"{_LOGIN.format('c_custkey')} AS login", "concat('org', c_nationkey % 3) AS org", "CASE c_nationkey % 3 WHEN 0 THEN 'Big Machines' WHEN 1 THEN 'House Lab' ELSE 'Auto Works' END AS lab")
+    known = t.customer.where("c_custkey % 13 = 0").selectExpr("concat('DEV', c_custkey) AS handle")
+    found = profiles.discovered(contributors, repos, members, known, 2)
+    cards = t.customer.selectExpr(f"{_LOGIN.format('c_custkey')} AS login", "c_custkey AS document_id", f"{_NICK} AS name", f"{_COMPANY} AS company", "'' AS bio")
+    people = t.customer.where("c_custkey % 8 = 0").selectExpr("c_custkey AS id", f"{_LETTERS.format('c_custkey')} AS canonical_name")
+    labs = t.spark.sql(_LABS)
+    rows = profiles.judged(cards, found, people, labs, {"Big Machines": ["machinery"], "House Lab": ["building", "household"]})
+    out = profiles.outputs(rows, labs, "2024-01-01")
+    logins = out["identities"].select("evidence_id", "handle")
+    part = lambda name, df, who, what: df.select(F.lit(name).alias("part"), who.alias("who"), what.alias("what"))
+    linked = out["people"].join(out["affiliations"].select(F.col("person_id").alias("id"), "lab_id"), "id").join(labs.select(F.col("id").alias("lab_id"), F.col("name").alias("lab")), "lab_id")
+    got = part("identity", out["identities"], F.col("handle"), F.concat_ws("/", "confidence_tier", "resolution_method"))
+    got = got.unionByName(part("evidence", out["evidence"].join(logins, F.col("id") == F.col("evidence_id")), F.col("handle"), F.col("verbatim_content")))
+    got = got.unionByName(part("person", linked, F.col("canonical_name"), F.col("lab")))
+    return got.unionByName(part("rejection", out["rejections"], F.split_part("detail", F.lit(":"), F.lit(1)), F.col("reason")))
