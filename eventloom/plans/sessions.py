@@ -10,7 +10,7 @@ from eventloom.operators import probe, profiles, quotes, repair, review, seeding
 from eventloom.operators.versions import Versions
 from eventloom.schemas import Model
 from eventloom.session import shared_dir
-from eventloom.sources import accounts
+from eventloom.sources import accounts, everything
 from eventloom.streaming import register
 
 from .analytics import _FOLDED, _wide
@@ -270,3 +270,29 @@ def seed_profiles(t):
     got = got.unionByName(part("evidence", out["evidence"].join(logins, F.col("id") == F.col("evidence_id")), F.col("handle"), F.col("verbatim_content")))
     got = got.unionByName(part("person", linked, F.col("canonical_name"), F.col("lab")))
     return got.unionByName(part("rejection", out["rejections"], F.split_part("detail", F.lit(":"), F.lit(1)), F.col("reason")))
+
+
+# ---------------------------------------------------------------- all sources
+
+
+@query("""WITH s AS (SELECT 0 AS p, 'english' AS source, 'd' || doc_id AS url, text FROM documents WHERE lang = 'en' UNION ALL SELECT 1, 'others', 'd' || doc_id, text FROM documents WHERE lang IS DISTINCT FROM 'en'
+    UNION ALL SELECT 3, 'chats', 'c' || conv_id || '/' || turn, text FROM conversations UNION ALL SELECT 4, 'pages', url, html FROM pages),
+  k AS (SELECT * FROM s WHERE text IS NOT NULL), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY text ORDER BY p, url) = 1),
+  n AS (SELECT source, count(*) AS new FROM f WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND text IS NOT NULL) GROUP BY 1)
+  SELECT source, CASE WHEN count(*) > 0 THEN 'ok' END AS status, count(*) AS seen, CAST(coalesce(any_value(new), 0) AS BIGINT) AS new FROM k LEFT JOIN n USING (source) GROUP BY source
+  UNION ALL SELECT 'gone', 'error', 0, 0 UNION ALL SELECT 'quiet', 'empty', 0, 0""")
+def source_all(t):
+    """Documents by language, chats and pages as sources, one whose table is missing, and one without items."""
+    item = lambda rows, url, text: rows.select(url.alias("url"), F.col(text).alias("raw_content"), F.lit(None).cast("string").alias("published_at"))
+    doc = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    turn = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    sources = {
+        "english": lambda: item(t.documents.where("lang = 'en'"), doc, "text"),
+        "others": lambda: item(t.documents.where("lang is null or lang <> 'en'"), doc, "text"),
+        "gone": lambda: item(t.no_such_table, F.col("url"), "text"),
+        "chats": lambda: item(t.conversations, turn, "text"),
+        "pages": lambda: item(t.pages, F.col("url"), "html"),
+        "quiet": lambda: item(t.pages.where("page_id < 0"), F.col("url"), "html"),
+    }
+    stored = t.documents.join(t.labels.where("quality = 0"), "doc_id").select(F.sha2("text", 256).alias("content_hash"))
+    return everything.ingest_all(t.spark, sources, stored)[1].select("source", "status", "seen", "new")

@@ -56,3 +56,28 @@ def test_budget_and_offsets(spark, tmp_path, per_account, per_run):
 
 def test_no_accounts(spark):
     assert accounts.read_accounts(spark, [], "tests.test_accounts:Shop", {}, 5, 10).count() == 0
+
+
+def test_all_sources_in_one_plan(spark):
+    from pyspark.sql import functions as F
+
+    from eventloom.sources.everything import ITEM, ingest_all
+
+    rows = lambda *xs: lambda: spark.createDataFrame(list(xs), ITEM)
+
+    def broken():
+        raise ValueError("no such feed")
+
+    sources = {
+        "a": rows(("u2", "one", None), ("u1", "one", "2024"), ("u3", "two", None), ("u4", None, None)),
+        "lost": lambda: spark.read.parquet("/nowhere/at/all"),
+        "b": rows(("v1", "one", None), ("v2", "three", None), ("v3", "old", None)),
+        "broken": broken,
+        "narrow": lambda: spark.createDataFrame([("x",)], "url string"),
+        "none": lambda: spark.createDataFrame([], ITEM),
+    }
+    stored = spark.createDataFrame([("old",), ("old",)], "t string").select(F.sha2("t", 256).alias("content_hash"))
+    new, log = ingest_all(spark, sources, stored)
+    assert sorted((r.source, r.url, r.raw_content) for r in new.collect()) == [("a", "u1", "one"), ("a", "u3", "two"), ("b", "v2", "three")]
+    assert [(r.source, r.status, r.seen, r.new) for r in log.collect()] == [("a", "ok", 3, 2), ("lost", "error", 0, 0), ("b", "ok", 3, 1), ("broken", "error", 0, 0), ("narrow", "error", 0, 0), ("none", "empty", 0, 0)]
+    assert ingest_all(spark, {}, stored)[0].count() == 0
