@@ -559,8 +559,3 @@ def sample_pairs(t):
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) ORDER BY r, conv_id LIMIT 40")
 def sample_round_robin(t):
     return domain.round_robin(t.conversations, "conv_id", ["turn"], 40).select("conv_id", "turn")
-
-
-@query()
-def planted_recovery(t):
-    return ranking.planted_recovery(t.spark, n_events=300, n_pairs=400, noise=0.1, seed=42)

@@ -43,6 +43,7 @@ def _texts(t) -> Model:
     return Model(t.spark, {"raw_documents": cast(t.documents, "raw_documents", _TEXTS), "sources": cast(t.supplier, "sources", _SOURCES), "rejections": cast(t.labels.where("quality = 0"), "rejections", gone)})
 
 
+# The words that open a continuation, as in operators/documents.py; DuckDB needs them in its own pattern.
 _ASIDE = "while|because|although|though|since|whereas|also|plus|and|but|so|however|meanwhile|in previous|by combining|to ensure|as part of"
 _POINTS = "it|this|these|those|they|he|she"
 _STANDS = f"""CASE WHEN b = '' THEN 'social_empty' WHEN starts_with(b, '@') THEN 'social_reply_fragment' WHEN regexp_matches(b, '(?i)^({_ASIDE})\\b') OR regexp_matches(b, '(?i)^you can also\\b')

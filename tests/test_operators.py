@@ -209,12 +209,6 @@ def test_dawid_skene(spark):
     assert sum((r.posterior > 0.5) == bool(r.item % 2) for r in post.collect()) > 180
 
 
-def test_planted_recovery(spark):
-    rows = ranking.planted_recovery(spark).collect()
-    assert all(r.auc > 0.9 and r.f1 > 0.7 for r in rows)
-    assert rows == ranking.planted_recovery(spark).collect()
-
-
 # ---- domain
 
 
