@@ -117,13 +117,13 @@ def near_ties(t):
 
 @query("""WITH f AS (SELECT row_number() OVER () AS r, l_orderkey * 10 + l_linenumber AS event, l_quantity / 10 AS qty, l_discount * 40 AS disc, l_tax * 20 AS tax FROM lineitem),
   p AS (SELECT r, event, unnest([{'o': -abs(qty * 0.5), 'feature': 'qty', 'c': round(qty * 0.5, 4)}, {'o': -abs(disc * -1.0), 'feature': 'disc', 'c': round(disc * -1.0, 4)}, {'o': -abs(tax * 2.0), 'feature': 'tax', 'c': round(tax * 2.0, 4)}], recursive := true) FROM f)
-  SELECT event, feature, c AS contribution, row_number() OVER (PARTITION BY r ORDER BY o, feature) - 1 AS place FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY o, feature) <= 2""")
+  SELECT event, feature, c + 0.0 AS contribution, row_number() OVER (PARTITION BY r ORDER BY o, feature) - 1 AS place FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY o, feature) <= 2""")
 def score_components(t):
     """The two strongest contributions of every line, read back from their JSON."""
     lines = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event"), (F.col("l_quantity") / 10).alias("qty"), (F.col("l_discount") * 40).alias("disc"), (F.col("l_tax") * 20).alias("tax"))
     rows = ranking.score_components(lines, ["qty", "disc", "tax"], [0.5, -1.0, 2.0], 2)
     parts = F.from_json("components", "array<struct<feature:string,contribution:double>>")
-    return rows.select("event", F.posexplode(parts).alias("place", "p")).select("event", "p.feature", "p.contribution", F.col("place").cast("long").alias("place"))
+    return rows.select("event", F.posexplode(parts).alias("place", "p")).select("event", "p.feature", (F.col("p.contribution") + 0.0).alias("contribution"), F.col("place").cast("long").alias("place"))
 
 
 @query("""WITH g AS (SELECT event_id AS event, user_id % 12 AS lab, value AS score, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS good FROM events WHERE event_type <> 'view'),
