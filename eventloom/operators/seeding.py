@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.functions import text as T
+from eventloom.session import materialise
+
 from .verbatim import verbatim_pairs
 
 SEED = "ord long, lab string, name string, role string, tier string"
@@ -32,17 +35,23 @@ def seed_decisions(seeds: DataFrame, lab_pages: DataFrame, person_pages: DataFra
     lab, own = (p.select("owner", "ord", "document_id", "url", "text") for p in (lab_pages, person_pages))
     pages = lab.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)))
     page = F.struct("kind", "owner", F.col("ord").alias("place"), "document_id", "url")
-    words = seeds.select(F.col("name").alias("text")).unionByName(seeds.select(F.col("role").alias("text"))).where("text is not null").distinct()
-    stands = verbatim_pairs(pages.select(page.alias("doc_id"), "text"), words.select(F.col("text").alias("item_id"), "text"))
-    stands = stands.select("doc_id.*", F.col("item_id").alias("word"))
+    place = F.concat(F.col("kind").cast("string"), F.lit("/"), "owner").alias("scope")  # a name is looked for on its lab's pages and its own
+    both = F.explode(F.array(F.concat(F.lit("0/"), "lab"), F.concat(F.lit("1/"), "name"))).alias("scope")
+    names = seeds.where("name is not null").select(F.col("name").alias("item_id"), F.col("name").alias("text"), both).distinct()
+    stands = verbatim_pairs(pages.select(page.alias("doc_id"), "text", place), names, "scope").select("doc_id.*", F.col("item_id").alias("word"))
     here = (F.col("word") == F.col("name")) & (F.col("owner") == F.when(F.col("kind") == 0, F.col("lab")).otherwise(F.col("name")))
-    first = seeds.join(stands, here).groupBy("ord").agg(F.min(F.struct("kind", "place", "document_id", "url")).alias("page"))
-    roles = stands.select(F.col("document_id").alias("_d"), F.col("word").alias("_role")).distinct()
+    first = materialise(seeds.join(stands, here).groupBy("ord").agg(F.min(F.struct("kind", "place", "document_id", "url")).alias("page")), "first")
+    # Roles are often common words: each is looked for on its seed's page alone, whose text is read once.
+    asked = first.join(seeds.where("role is not null").select("ord", "role"), "ord").select("page.kind", "page.document_id", "role", T.norm(F.col("role")).alias("n")).distinct()
+    asked = asked.groupBy("kind", "document_id").agg(F.collect_set(F.struct("role", "n")).alias("_asked"))  # as many as seeds stand on the page
+    texts = pages.where("text is not null").select("kind", "document_id", T.norm(F.col("text")).alias("_h"))
+    said = F.filter("_asked", lambda r: F.contains(F.col("_h"), r["n"]))
+    roles = texts.join(asked, ["kind", "document_id"]).select(F.col("kind").alias("_k"), F.col("document_id").alias("_d"), F.explode(said).alias("r")).select("_k", "_d", F.col("r.role").alias("_role")).distinct()
     listed = _candidates(lab).select(F.col("owner").alias("lab"), F.col("first").alias("first_lab"), F.col("urls").alias("lab_urls"))
     extra = _candidates(own).select(F.col("owner").alias("name"), F.col("first").alias("first_own"), F.col("urls").alias("own_urls"))
     rows = seeds.join(first, "ord", "left").join(listed, "lab", "left").join(extra, "name", "left")
     rows = rows.join(people.select(F.col("canonical_name").alias("name"), F.lit(True).alias("known")).distinct(), "name", "left")
-    rows = rows.join(roles, (F.col("page.document_id") == F.col("_d")) & (F.col("role") == F.col("_role")), "left")
+    rows = rows.join(roles, (F.col("page.kind") == F.col("_k")) & (F.col("page.document_id") == F.col("_d")) & (F.col("role") == F.col("_role")), "left")
     hit = F.col("page").isNotNull()
     before = F.min(F.when(hit, F.col("ord"))).over(W.partitionBy("name"))
     urls = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("lab_urls", "own_urls")])

@@ -28,34 +28,38 @@ def _automaton(name: str, shared: Broadcast) -> ahocorasick.Automaton:
     if name not in _built:
         _built.clear()
         made = ahocorasick.Automaton()
-        for number, needle in shared.value:
-            made.add_word(needle, number)
+        for needle, meant in shared.value:
+            made.add_word(needle, meant)
         made.make_automaton()
         _built[name] = made
     return _built[name]
 
 
-def _shards(needles: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """(number, needle) of (needle, n) in lists of some `NEEDLE_CHARS` characters; longer needles stand with few others."""
-    total = needles.agg(F.sum(F.length("n"))).first()[0] or 0
+def _shards(needles: DataFrame) -> Iterator[list[tuple[str, list[tuple[int, str | None]]]]]:
+    """(n, its numbers and scopes) of (needle, n, scope) in lists of some `NEEDLE_CHARS` characters; longer needles stand with few others."""
+    total = needles.agg(F.sum(F.length("n") + F.length(F.coalesce("scope", F.lit(""))))).first()[0] or 0
     shards = max(1, -(-total // NEEDLE_CHARS))
     laid = needles.withColumn("_s", F.pmod(F.xxhash64("n"), F.lit(shards)))
     for i in range(shards):
-        rows = laid.where(F.col("_s") == i).select("needle", "n").collect()
-        if rows:
-            yield [(r.needle, r.n) for r in rows]
+        meant: dict[str, list] = {}
+        for r in laid.where(F.col("_s") == i).select("needle", "n", "scope").collect():
+            meant.setdefault(r.n, []).append((r.needle, r.scope))
+        if meant:
+            yield list(meant.items())
 
 
-def verbatim_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+def verbatim_pairs(docs: DataFrame, quotes: DataFrame, scope: str | None = None) -> DataFrame:
     """(doc_id, item_id), each pair once, of documents (doc_id, text) in which a quote (item_id, text) stands verbatim.
 
     Both sides are normalised in full (compatibility forms, case folding, marks, white space). A null
-    text holds nothing, a null quote stands nowhere, an empty one in every text.
+    text holds nothing, a null quote stands nowhere, an empty one in every text. With a scope, a string column
+    of both, only documents and quotes of one scope meet, and others are not even written down; nulls meet nulls.
     """
     spark = docs.sparkSession
-    own = materialise(quotes.where("text is not null").select("item_id", T.norm(F.col("text")).alias("n")), "quotes")
-    needles = materialise(own.where("n <> ''").select("n").distinct().withColumn("needle", F.monotonically_increasing_id()), "needles")
-    texts = docs.where("text is not null").select("doc_id", "text")
+    within = F.col(scope) if scope else F.lit(None).cast("string")
+    own = materialise(quotes.where("text is not null").select("item_id", T.norm(F.col("text")).alias("n"), within.alias("scope")), "quotes")
+    needles = materialise(own.where("n <> ''").select("n", "scope").distinct().withColumn("needle", F.monotonically_increasing_id()), "needles")
+    texts = docs.where("text is not null").select("doc_id", "text", within.alias("scope"))
     key = texts.schema["doc_id"].dataType.simpleString()
 
     def search(shared: Broadcast):
@@ -65,8 +69,8 @@ def verbatim_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
             automaton = _automaton(name, shared)
             for batch in batches:
                 at, found = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    hits = {number for _, number in automaton.iter(T.norm_text(text))}
+                for i, (text, here) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    hits = {number for _, meant in automaton.iter(T.norm_text(text)) for number, there in meant if there == here}
                     at += [i] * len(hits)
                     found += hits
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], ["doc_id", "needle"])
@@ -76,13 +80,15 @@ def verbatim_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     out = docs.where("false").select("doc_id", F.lit(None).cast("long").alias("needle"))
     for rows in _shards(needles):
         out = out.unionByName(texts.mapInArrow(search(spark.sparkContext.broadcast(rows)), f"doc_id {key}, needle long"))
-    items = own.join(needles, "n").select("needle", "item_id").distinct()
+    same = (F.col("own.n") == F.col("needles.n")) & F.col("own.scope").eqNullSafe(F.col("needles.scope"))
+    items = own.alias("own").join(needles.alias("needles"), same).select("needle", "item_id").distinct()
     found = out.join(items, "needle").select("doc_id", "item_id")
-    empty = own.where("n = ''").select("item_id").distinct()
+    empty = own.where("n = ''").select("item_id", "scope").distinct()
     if empty.isEmpty():
         return found.distinct()
-    one = empty.agg(F.collect_set("item_id").alias("_items"))  # few ids are expected to have an empty quote; each pairs with every text
-    return found.unionByName(texts.select("doc_id").crossJoin(F.broadcast(one)).select("doc_id", F.explode("_items").alias("item_id"))).distinct()
+    some = empty.groupBy("scope").agg(F.collect_set("item_id").alias("_items"))  # few ids are expected to have an empty quote; each pairs with every text of its scope
+    held = texts.alias("t").join(some.alias("e"), F.col("t.scope").eqNullSafe(F.col("e.scope"))).select("doc_id", F.explode("_items").alias("item_id"))
+    return found.unionByName(held).distinct()
 
 
 def first_pages(names: DataFrame, pages: DataFrame, *order: str) -> DataFrame:

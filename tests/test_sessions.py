@@ -25,6 +25,12 @@ def test_verbatim_pairs(spark, chars, monkeypatch):
     assert verbatim.verbatim_pairs(docs.limit(0), quotes).count() == verbatim.verbatim_pairs(docs, quotes.limit(0)).count() == 0
 
 
+def test_verbatim_pairs_within_a_scope(spark):
+    docs = spark.createDataFrame([(1, "ab c", "x"), (2, "ab c", "y"), (3, "ab", None)], "doc_id long, text string, s string")
+    quotes = spark.createDataFrame([(1, "AB", "x"), (2, "ab", "y"), (2, "ab", "x"), (3, "ab", None), (4, "", "y"), (5, "c", "z")], "item_id long, text string, s string")
+    assert sorted(tuple(r) for r in verbatim.verbatim_pairs(docs, quotes, "s").collect()) == [(1, 1), (1, 2), (2, 2), (2, 4), (3, 3)]
+
+
 def test_names_on_pages_in_compatibility_forms(spark):
     names = spark.createDataFrame([("Ada Lovelace",), ("Fi Straße",), (" ",), (None,)], "name string")
     pages = spark.createDataFrame([(3, "ＡＤＡ  LOVELACE"), (2, "so says ada\nlovelace."), (5, "ﬁ STRASSE")], "page_id long, text string")
