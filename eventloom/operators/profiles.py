@@ -17,6 +17,7 @@ from .review import valid_name
 
 # Parts of a login or a name that mark an automation account.
 BOT_MARKS = ("-bot", "bot-", "[bot]", "-ci", "-automation")
+# Fixed value: the line of a stored profile that a membership quotes.
 MEMBER_LINE = "public_member_of: "
 
 

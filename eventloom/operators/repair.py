@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Verdicts, and what stands for a check that has none.
 VERDICTS = ("entailed", "partial", "not_entailed")
 UNCHECKED = "re-verify unparsed; kept partial"
 
