@@ -13,15 +13,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Typographic marks and what they are compared as.
 _FOLDED = {"’": "'", "‘": "'", "“": '"', "”": '"', "—": "-", "–": "-"}
 
 
 def norm_text(text: str) -> str:
-    folded = unicodedata.normalize("NFKC", text).translate(str.maketrans(_FOLDED)).casefold()
-    return " ".join(folded.split())
+    if not text.isascii():  # else there is nothing to fold but case
+        text = unicodedata.normalize("NFKC", text)
+        for mark, plain in _FOLDED.items():  # a mark that does not occur costs a scan, not a look at each character
+            text = text.replace(mark, plain)
+    return " ".join(text.casefold().split())
 
 
 @F.pandas_udf(StringType())
@@ -56,13 +59,18 @@ _HIDDEN_TREE = re.compile(r"(?is)<(noscript|template)\b[^>]*>(?:(?!<(?:noscript|
 _TAG = re.compile(r"(?s)</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>")
 
 
+def shown_text(page: str) -> str:
+    """What a page shows, words between single spaces: all else is cut out, then references are resolved."""
+    left = _HIDDEN.sub(" ", page)
+    while _HIDDEN_TREE.search(left):
+        left = _HIDDEN_TREE.sub(" ", left)
+    return " ".join(html.unescape(_TAG.sub(" ", left)).split())
+
+
 @F.pandas_udf(StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
-    """What a page shows, words between single spaces: all else is cut out, then references are resolved."""
-    left = pages.str.replace(_HIDDEN, " ", regex=True)
-    while (nested := left.map(_HIDDEN_TREE.search, na_action="ignore").notna()).any():
-        left = left.where(~nested, left.str.replace(_HIDDEN_TREE, " ", regex=True))
-    return left.str.replace(_TAG, " ", regex=True).map(html.unescape, na_action="ignore").str.split().str.join(" ")
+    """`shown_text` of each page."""
+    return pages.map(shown_text, na_action="ignore")
 
 
 def readable_text(c: Column) -> Column:
@@ -70,6 +78,23 @@ def readable_text(c: Column) -> Column:
     return F.when(F.ltrim(c).startswith("<"), html_to_text(c)).otherwise(c)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def standing(pages: pd.Series, quotes: pd.Series) -> pd.Series:
+    """A document's quotes, normalised, in their order; null where one is blank or not in the document's readable text.
+
+    One pass over document and quotes in one worker: the normalised text never comes back, only quotes do.
+    """
+
+    def held(page: str | None, asked) -> list[str | None] | None:
+        if asked is None:
+            return None
+        shown = "" if page is None else norm_text(shown_text(page) if page.lstrip(" ").startswith("<") else page)
+        normed = ["" if q is None else norm_text(q) for q in asked]
+        return [q if q and q in shown else None for q in normed]
+
+    return pd.Series([held(page, asked) for page, asked in zip(pages, quotes, strict=True)], dtype=object)
+
+
 def words(c: Column) -> Column:
     """Non-empty words between Unicode white space."""
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")

@@ -150,16 +150,18 @@ def stage2(docs: DataFrame, replies: DataFrame) -> DataFrame:
 
     status: parse_failed, empty, quote_not_found, duplicate_quote, over_cap or ok; a document may
     yield max(1, min(5, chars / 1000)) events. docs: (document_id, raw); replies: (document_id, reply_json).
+    Quotes are held to the text document by document; what is ordered then are events, which have no text.
     """
     schema = "events array<struct<claim:string,quote:string,event_type:string>>"
     read = replies.join(docs, "document_id").withColumn("r", parsed_reply(F.col("reply_json"), schema))
-    text = T.norm(T.readable_text(F.col("raw")))
-    rows = read.select("document_id", text.alias("_h"), F.length("raw").alias("_n"), F.col("r.events").isNull().alias("_bad"), F.posexplode_outer("r.events").alias("ord", "e"))
-    rows = rows.select("*", "e.*").withColumn("_q", T.norm(F.coalesce("quote", F.lit(""))))
+    held = T.standing(F.col("raw"), F.col("r.events.quote"))
+    rows = read.select("document_id", F.length("raw").alias("_n"), F.col("r.events").isNull().alias("_bad"), held.alias("_held"), F.posexplode_outer("r.events").alias("ord", "e"))
+    rows = rows.select("document_id", "_n", "_bad", "ord", "e.*", F.get("_held", F.col("ord")).alias("_q"))
+    found = F.col("_q").isNotNull()
     first = F.row_number().over(W.partitionBy("document_id", "_q").orderBy("ord"))
-    rows = rows.withColumn("_found", (F.col("_q") != "") & F.contains("_h", F.col("_q"))).withColumn("_rep", first)
-    good = F.col("_found") & (F.col("_rep") == 1)
-    rows = rows.withColumn("_good", good).withColumn("_k", F.sum(F.col("_good").cast("int")).over(W.partitionBy("document_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_rep", first)
+    good = (found & (F.col("_rep") == 1)).cast("int")
+    rows = rows.withColumn("_k", F.sum(good).over(W.partitionBy("document_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
     cap = F.greatest(F.lit(1), F.least(F.lit(5), F.floor(F.col("_n") / 1000)))
-    status = F.when(F.col("_bad"), "parse_failed").when(F.col("ord").isNull(), "empty").when(~F.col("_found"), "quote_not_found").when(F.col("_rep") > 1, "duplicate_quote").when(F.col("_k") > cap, "over_cap").otherwise("ok")
+    status = F.when(F.col("_bad"), "parse_failed").when(F.col("ord").isNull(), "empty").when(~found, "quote_not_found").when(F.col("_rep") > 1, "duplicate_quote").when(F.col("_k") > cap, "over_cap").otherwise("ok")
     return rows.select("document_id", "ord", "claim", "quote", "event_type", status.alias("status"))

@@ -196,8 +196,7 @@ def test_ks(spark, a, b, want):
 
 
 def test_dawid_skene(spark):
-    import random
-
+    
     rng, rows = random.Random(0), []
     for i in range(200):
         truth = "a" if i % 2 else "b"
@@ -293,3 +292,11 @@ def test_slate_ledger_counts_barred_rows_down_to_the_last_accepted(spark):
     assert [r["id"] for r in chosen] == [0, 2, 3, 5] and dropped == {"undated": 2}
     chosen, dropped = slate.topk_slate(df, slate.SlatePolicy(k=40, max_per_lab=0))
     assert len(chosen) == 7 and dropped == {"undated": 3}
+
+
+def test_stage2_reads_texts_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "<p>Says  <b>ADA</b></p>"), (2, None)], "document_id long, raw string")
+    replies = spark.createDataFrame([(1, '{"events": [{"quote": "says ada"}, {"quote": null}, {"quote": "b"}]}'), (2, '{"events": [{"quote": "x"}]}')], "document_id long, reply_json string")
+    out = domain.stage2(docs, replies)
+    assert [(r.document_id, r.ord, r.status) for r in out.orderBy("document_id", "ord").collect()] == [(1, 0, "ok"), (1, 1, "quote_not_found"), (1, 2, "quote_not_found"), (2, 0, "quote_not_found")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # as many Python workers a task
