@@ -62,3 +62,25 @@ def cluster_claims(claims: DataFrame, threshold: float = 0.4, block: str = "even
     roots = min_label(pairs, own.select("id"))
     order = numbered(roots.select("root").distinct(), "cluster_id", "root").select("root", F.col("cluster_id").cast("long"))
     return roots.join(order, "root").select("id", "cluster_id")
+
+
+def jaccard_cells(rows: DataFrame, keys: list[str], key: str, tokens: str) -> DataFrame:
+    """(cell, n): pairs of rows of equal keys and different key, by the overlap of their token sets to one decimal.
+
+    Rows of one token set are one class, and classes are paired, not rows: copies cost nothing, and what is left is the square
+    of the different sets under equal keys. A null array of tokens has no overlap, a null cell. Nulls in keys or key pair with nothing.
+    """
+    own = rows.dropna(subset=[*keys, key]).select(*keys, key, F.coalesce(F.array_sort(F.array_distinct(tokens)), F.array().cast("array<string>")).alias("t"), F.col(tokens).isNull().alias("none"))
+
+    def cells(part: DataFrame, by: list[str], sign: int) -> DataFrame:
+        sets = part.groupBy(*by, "none", "t").agg(F.count("*").alias("n"))
+        a, b = (sets.withColumnsRenamed({"t": f"t{x}", "n": f"n{x}", "none": f"none{x}"}) for x in "ab")
+        ahead = F.struct("nonea", "ta") <= F.struct("noneb", "tb")
+        same = (F.col("nonea") == F.col("noneb")) & (F.col("ta") == F.col("tb"))
+        pairs = F.when(same, F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+        cell = F.when(~F.col("nonea") & ~F.col("noneb"), F.bround(jaccard(F.col("ta"), F.col("tb")), 1))
+        return a.join(b, by).where(ahead).groupBy(cell.alias("cell")).agg(F.sum(pairs * sign).alias("n"))
+
+    twice = own.groupBy(*keys, key).count().where("count > 1").select(*keys, key)  # rows of one key, which are no pairs
+    both = cells(own, keys, 1).unionByName(cells(own.join(twice, [*keys, key], "left_semi"), [*keys, key], -1))
+    return both.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0")

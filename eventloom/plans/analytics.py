@@ -409,10 +409,8 @@ _NAMED = "(SELECT p_partkey AS id, p_type, p_size, string_split(p_name, ' ') AS
 
 @query(f"SELECT cell, count(*) AS n FROM (SELECT round_even(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 1) AS cell FROM {_NAMED} a JOIN {_NAMED} b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.id < b.id) GROUP BY cell")
 def agg_histogram_jaccard(t):
-    """Over the pairs of parts of one type and size, a few in each."""
-    own = t.part.select("p_type", "p_size", "p_partkey", F.split("p_name", " ").alias("t"))
-    a, b = own.withColumnsRenamed({"p_partkey": "a", "t": "ta"}), own.withColumnsRenamed({"p_partkey": "b", "t": "tb"})
-    return a.join(b, ["p_type", "p_size"]).where("a < b").groupBy(F.bround(T.jaccard(F.col("ta"), F.col("tb")), 1).alias("cell")).agg(F.count("*").alias("n"))
+    """Over the pairs of parts of one type and size."""
+    return clusters.jaccard_cells(t.part.select("p_type", "p_size", "p_partkey", F.split("p_name", " ").alias("t")), ["p_type", "p_size"], "p_partkey", "t")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 7 * 7 AS b FROM orders), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),

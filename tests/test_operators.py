@@ -1,6 +1,8 @@
 """Operators against hand-computed cases: text, filters, slate, clusters, agreement, drift, mobility, alerts."""
 
 import math
+import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -196,7 +198,8 @@ def test_ks(spark, a, b, want):
 
 
 def test_dawid_skene(spark):
-    
+    import random
+
     rng, rows = random.Random(0), []
     for i in range(200):
         truth = "a" if i % 2 else "b"
@@ -300,3 +303,16 @@ def test_stage2_reads_texts_in_one_pass(spark):
     out = domain.stage2(docs, replies)
     assert [(r.document_id, r.ord, r.status) for r in out.orderBy("document_id", "ord").collect()] == [(1, 0, "ok"), (1, 1, "quote_not_found"), (1, 2, "quote_not_found"), (2, 0, "quote_not_found")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # as many Python workers a task
+
+
+def test_jaccard_cells_pair_classes_not_rows(spark):
+    from itertools import combinations
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([*range(30), None]), rng.choice([None, [], ["a"], ["a", "b"], ["b", "a", "a"], ["c", "b"], ["a", "b", "c"], [""]])) for _ in range(160)]
+    jaccard = lambda a, b: None if a is None or b is None else round(len({*a} & {*b}) / len({*a} | {*b}), 1) if a and b else 0.0
+    want = Counter(jaccard(p[2], q[2]) for p, q in combinations(rows, 2) if p[0] is not None and p[0] == q[0] and None not in (p[1], q[1]) and p[1] != q[1])
+    frame = spark.createDataFrame(rows, "k string, id long, t array<string>")
+    assert {r.cell: r.n for r in clusters.jaccard_cells(frame, ["k"], "id", "t").collect()} == want
+    many = spark.range(300_000).selectExpr("'x' AS k", "id", "array(concat('w', id % 4)) AS t")  # 45 billion pairs, ten of classes
+    assert {r.cell: r.n for r in clusters.jaccard_cells(many, ["k"], "id", "t").collect()} == {1.0: 4 * (75_000 * 74_999 // 2), 0.0: 6 * 75_000**2}
