@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # Typographic marks and what they are compared as.
 _FOLDED = {"’": "'", "‘": "'", "“": '"', "”": '"', "—": "-", "–": "-"}
@@ -53,6 +53,17 @@ def name_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(fold_accents(norm(c)), " "), lambda w: w != "")), " ")
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def holds(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Whether each of a row's needles stands verbatim in its text, both normalised; an empty one does, a null text holds none."""
+
+    def held(text: str | None, asked) -> list[bool] | None:
+        normed = None if text is None else norm_text(text)
+        return None if asked is None else [normed is not None and n is not None and norm_text(n) in normed for n in asked]
+
+    return pd.Series([held(text, asked) for text, asked in zip(texts, needles, strict=True)], dtype=object)
+
+
 # Elements whose content is not shown, and all else that is no text; of nested hidden elements the innermost first.
 _HIDDEN = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
 _HIDDEN_TREE = re.compile(r"(?is)<(noscript|template)\b[^>]*>(?:(?!<(?:noscript|template)\b).)*?(?:</\1\s*>|\Z)")

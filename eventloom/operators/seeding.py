@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
 from eventloom.session import materialise
 
-from .verbatim import verbatim_pairs
+from .verbatim import first_in_scope
 
 SEED = "ord long, lab string, name string, role string, tier string"
 PAGE = "owner string, ord long, document_id long, url string, text string"
 
 
-def _candidates(pages: DataFrame) -> DataFrame:
-    """(owner, first, urls) of each owner's pages in their order."""
+def _urls(pages: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the urls of each owner's pages in their order, as one text."""
     rows = F.array_sort(F.collect_list(F.struct("ord", "document_id", "url")))
-    return pages.groupBy("owner").agg(rows.alias("_p")).select("owner", F.get("_p", F.lit(0))["document_id"].alias("first"), F.transform("_p", lambda p: p["url"]).alias("urls"))
+    return pages.where("owner is not null").groupBy(F.col("owner").alias(key)).agg(F.array_join(rows["url"], ", ").alias(name))
 
 
 def seed_decisions(seeds: DataFrame, lab_pages: DataFrame, person_pages: DataFrame, people: DataFrame) -> DataFrame:
@@ -29,45 +28,42 @@ def seed_decisions(seeds: DataFrame, lab_pages: DataFrame, person_pages: DataFra
     else the first of its own. status: `added`, `registered` (the name is in the register or an earlier
     seed adds it), `seed_name_not_on_page` or `seed_page_unfetchable`, where there is none. A
     role is kept only if it stands on the page too. An owner's pages are few (a configured list); their texts
-    never meet in one row.
+    never meet in one row. The detail of a name that stands on no page lists all pages that it could stand
+    on, so what is written grows with such names times their owners' pages; the lists join these rows alone, last.
     """
-    seeds = seeds.select("ord", "lab", "name", "role", "tier")
+    seeds = materialise(seeds.select("ord", "lab", "name", "role", "tier"), "seeds")
     lab, own = (p.select("owner", "ord", "document_id", "url", "text") for p in (lab_pages, person_pages))
-    pages = lab.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)))
-    page = F.struct("kind", "owner", F.col("ord").alias("place"), "document_id", "url")
-    place = F.concat(F.col("kind").cast("string"), F.lit("/"), "owner").alias("scope")  # a name is looked for on its lab's pages and its own
-    both = F.explode(F.array(F.concat(F.lit("0/"), "lab"), F.concat(F.lit("1/"), "name"))).alias("scope")
-    names = seeds.where("name is not null").select(F.col("name").alias("item_id"), F.col("name").alias("text"), both).distinct()
-    stands = verbatim_pairs(pages.select(page.alias("doc_id"), "text", place), names, "scope").select("doc_id.*", F.col("item_id").alias("word"))
-    here = (F.col("word") == F.col("name")) & (F.col("owner") == F.when(F.col("kind") == 0, F.col("lab")).otherwise(F.col("name")))
-    first = materialise(seeds.join(stands, here).groupBy("ord").agg(F.min(F.struct("kind", "place", "document_id", "url")).alias("page")), "first")
-    # Roles are often common words: each is looked for on its seed's page alone, whose text is read once.
-    asked = first.join(seeds.where("role is not null").select("ord", "role"), "ord").select("page.kind", "page.document_id", "role", T.norm(F.col("role")).alias("n")).distinct()
-    asked = asked.groupBy("kind", "document_id").agg(F.collect_set(F.struct("role", "n")).alias("_asked"))  # as many as seeds stand on the page
-    texts = pages.where("text is not null").select("kind", "document_id", T.norm(F.col("text")).alias("_h"))
-    said = F.filter("_asked", lambda r: F.contains(F.col("_h"), r["n"]))
-    roles = texts.join(asked, ["kind", "document_id"]).select(F.col("kind").alias("_k"), F.col("document_id").alias("_d"), F.explode(said).alias("r")).select("_k", "_d", F.col("r.role").alias("_role")).distinct()
-    listed = _candidates(lab).select(F.col("owner").alias("lab"), F.col("first").alias("first_lab"), F.col("urls").alias("lab_urls"))
-    extra = _candidates(own).select(F.col("owner").alias("name"), F.col("first").alias("first_own"), F.col("urls").alias("own_urls"))
-    rows = seeds.join(first, "ord", "left").join(listed, "lab", "left").join(extra, "name", "left")
+    page = lambda kind: F.struct(F.lit(kind).alias("kind"), "document_id", "url")
+    # Names of a lab are looked for on its pages by automaton; a person's own page has one name to hold, its owner's.
+    there = first_in_scope(lab.select(F.col("owner").alias("scope"), "ord", page(0).alias("doc_id"), "text"), seeds.select(F.col("lab").alias("scope"), F.col("name").alias("text")))
+    there = there.select(F.col("scope").alias("lab"), F.col("text").alias("name"), F.col("doc_id").alias("_lab_page"))
+    asked_own = own.where("text is not null and owner is not null").join(seeds.select(F.col("name").alias("owner")).distinct(), "owner", "left_semi")
+    alone = asked_own.where(T.holds(F.col("text"), F.array("owner"))[0]).groupBy(F.col("owner").alias("name")).agg(F.min(F.struct("ord", page(1).alias("page"))).alias("_o"))
+    alone = alone.select("name", F.col("_o.page").alias("_own_page"))
+    first = lambda pages, key, name: pages.where("owner is not null").groupBy(F.col("owner").alias(key)).agg(F.min(F.struct("ord", "document_id")).alias("_f")).select(key, F.col("_f.document_id").alias(name))
+    rows = seeds.join(there, ["lab", "name"], "left").join(alone, "name", "left").join(first(lab, "lab", "first_lab"), "lab", "left").join(first(own, "name", "first_own"), "name", "left")
     rows = rows.join(people.select(F.col("canonical_name").alias("name"), F.lit(True).alias("known")).distinct(), "name", "left")
-    rows = rows.join(roles, (F.col("page.kind") == F.col("_k")) & (F.col("page.document_id") == F.col("_d")) & (F.col("role") == F.col("_role")), "left")
+    rows = materialise(rows.withColumn("page", F.coalesce("_lab_page", "_own_page")).withColumn("lost", F.coalesce("first_lab", "first_own")).select("ord", "lab", "name", "role", "tier", "page", "lost", "known"), "seeded")
     hit = F.col("page").isNotNull()
-    before = F.min(F.when(hit, F.col("ord"))).over(W.partitionBy("name"))
-    urls = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("lab_urls", "own_urls")])
-    lost = F.coalesce("first_lab", "first_own")
+    earliest = rows.where(hit).groupBy("name").agg(F.min("ord").alias("earliest"))
     status = (
-        F.when(lost.isNull(), "seed_page_unfetchable")
+        F.when(F.col("lost").isNull(), "seed_page_unfetchable")
         .when(~hit, "seed_name_not_on_page")
-        .when(F.coalesce("known", F.lit(False)) | (before < F.col("ord")), "registered")
+        .when(F.coalesce("known", F.lit(False)) | (F.col("earliest") < F.col("ord")), "registered")
         .otherwise("added")
     )
-    detail = F.when(lost.isNull(), F.concat("lab", F.lit(": no fetchable page for '"), "name", F.lit("'"))).when(~hit, F.concat(F.lit("'"), F.col("name"), F.lit("' not verbatim on any of: "), F.array_join(urls, ", ")))
-    rows = rows.withColumn("status", status)
-    added = F.col("status") == "added"
-    return rows.select(
-        "ord", "lab", "name", "tier", "status", F.when(hit, F.col("page.document_id")).otherwise(lost).alias("document_id"), F.col("page.url").alias("url"), F.when(added, F.col("_role")).alias("role"), detail.alias("detail")
-    )
+    rows = rows.join(earliest, "name", "left").withColumn("status", status)
+    added = rows.where("status = 'added' and role is not null").select("ord", "role", "page.kind", "page.document_id")
+    # Roles are often common words: each is looked for on its seed's page alone, whose text is read once.
+    asked = added.groupBy("kind", "document_id").agg(F.collect_set("role").alias("_asked"))  # as many as new names stand first on the page
+    texts = lab.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1))).where("text is not null")
+    met = texts.select("kind", "document_id", "text").join(asked, ["kind", "document_id"]).select("kind", "document_id", F.explode(F.arrays_zip("_asked", T.holds(F.col("text"), F.col("_asked")).alias("_stands"))).alias("r"))
+    roles = added.join(met.where("r._stands").select("kind", "document_id", F.col("r._asked").alias("role")).distinct(), ["kind", "document_id", "role"]).select("ord", F.col("role").alias("_role")).distinct()
+    out = lambda part, role, detail: part.select("ord", "lab", "name", "tier", "status", F.coalesce("page.document_id", "lost").alias("document_id"), F.col("page.url").alias("url"), role.cast("string").alias("role"), detail.cast("string").alias("detail"))
+    missed = rows.where("status = 'seed_name_not_on_page'").join(_urls(lab, "lab", "lab_urls"), "lab", "left").join(_urls(own, "name", "own_urls"), "name", "left")
+    nowhere = F.when(F.col("status") == "seed_page_unfetchable", F.concat("lab", F.lit(": no fetchable page for '"), "name", F.lit("'")))
+    rest = rows.where("status <> 'seed_name_not_on_page'").join(roles, "ord", "left")
+    return out(rest, F.col("_role"), nowhere).unionByName(out(missed, F.lit(None), F.concat(F.lit("'"), "name", F.lit("' not verbatim on any of: "), F.concat_ws(", ", "lab_urls", "own_urls"))))
 
 
 def seed_writes(decisions: DataFrame, labs: DataFrame, as_of: str) -> dict[str, DataFrame]:

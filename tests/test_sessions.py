@@ -256,3 +256,26 @@ def test_a_post_of_very_many_lines(spark):
 
     body = "@h\nurl\n" + "\n" * 1_200_000 + "It runs."
     assert [r[0] for r in spark.createDataFrame([(body,), ("@h\nurl",), ("@h",), ("",)], "b string").select(documents.fragment_reason(F.col("b"))).collect()] == ["social_thread_continuation", "social_empty", "social_empty", "social_empty"]
+
+
+def test_seeding_pairs_no_seeds_with_pages(spark):
+    """Each of 3,000 seeds of one name stands on each of 3,000 pages of its lab; the least page is found for the name, once."""
+    n = 3000
+    seeds = spark.range(n).selectExpr("id AS ord", "'L' AS lab", "'Ada Lovelace' AS name", "'of' AS role", "CAST(NULL AS STRING) AS tier")
+    lab = spark.range(n).selectExpr("'L' AS owner", "9000 - id AS ord", "id AS document_id", "concat('u', id) AS url", "'ada lovelace of here' AS text")
+    hits = verbatim._hits(lab.selectExpr("document_id AS doc_id", "text", "owner AS scope", "ord").coalesce(1).orderBy("ord"), spark.createDataFrame([(7, "ada", "L"), (8, "ada", "M")], "needle long, n string, scope string"))
+    assert [tuple(r) for r in hits.coalesce(1).collect()][:1] == [(n - 1, 9000 - n + 1, 7)] and hits.count() < n
+    rows = seeding.seed_decisions(seeds, lab, lab.where("false"), spark.createDataFrame([], "canonical_name string"))
+    got = rows.groupBy("status", "document_id", "role").count().collect()
+    assert sorted((r.status, r.document_id, r.role, r["count"]) for r in got) == [("added", n - 1, "of", 1), ("registered", n - 1, None, n - 1)]
+
+
+def test_shards_are_read_for_their_scope(spark, monkeypatch):
+    monkeypatch.setattr(verbatim, "NEEDLE_CHARS", 12)
+    docs = spark.createDataFrame([(s, i, i, f"w{i % 5} x{s}") for s in "abcd" for i in range(9)] + [(None, 1, 1, "w1"), ("a", 0, 50, None), ("b", 0, 51, "?")], "scope string, ord long, doc_id long, text string")
+    names = spark.createDataFrame([(s, f"W{i}") for s in "abcde" for i in range(7)] + [("a", " "), ("c", " "), (None, "w1"), ("a", None)], "scope string, text string")
+    got = {(r.scope, r.text): r.doc_id for r in verbatim.first_in_scope(docs, names).collect()}
+    assert got == {(s, f"W{i}"): i for s in "abcd" for i in range(5)} | {("a", " "): 0, ("c", " "): 0}
+    needles = spark.createDataFrame([(i, f"n{i}", s) for i, s in enumerate("abcdefgh")], "needle long, n string, scope string")
+    shards = list(verbatim._shards(needles))
+    assert len(shards) > 1 and sum(docs.where(here).count() for here, _ in shards) < len(shards) * docs.count()  # no text is read for every shard
