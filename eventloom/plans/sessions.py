@@ -210,12 +210,19 @@ def mobility_stream(t):
 
 @query("""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'near_miss' WHEN 1 THEN CASE WHEN regexp_matches(substr(text, 1, 200), '[A-Za-zÀ-ÿ]{4}') THEN 'paraphrase' ELSE 'fabrication' END ELSE 'fabrication' END AS reason_class FROM documents WHERE length(text) >= 300""")
 def rejected_quotes(t):
-    """Quotes made from whole texts: their start with a wrong end, their words with others between, words of no text."""
-    start = F.substring("text", 1, 200)
-    words = F.filter(F.split(F.regexp_replace(start, "[^A-Za-zÀ-ÿ]+", " "), " "), lambda w: w != "")
-    turned = F.array_join(words, " qq ")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(start, F.lit(" qqqq wwww"))).when(F.col("doc_id") % 3 == 1, turned).otherwise("qqqqzz wwwwkk jjjjvv")
-    rows = t.documents.where("length(text) >= 300").select(F.col("doc_id").alias("id"), quote.alias("quote"), F.col("text").alias("raw"))
+    """Quotes made from whole texts: their start with a wrong end, their words with others after them, words of no text.
+
+    The document is the page that shows the text. Words are runs of four letters and more of the text as it is written: what
+    has fewer only after normalisation is none, and a text without any gets words of no text. The words put in are
+    as many as a short quote, whose letters may be folded to two each, needs to stand nowhere in one block.
+    """
+    start = F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, 200)
+    words = F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[A-Za-zÀ-ÿ]{4,}"), F.lit(0))
+    turned = F.concat(F.array_join(words, " qq "), F.lit(" qq" * 40))
+    nowhere = F.lit("qqqqzz wwwwkk jjjjvv")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(start, F.lit(" qqqq wwww"))).when((F.col("doc_id") % 3 == 1) & (F.size(words) > 0), turned).otherwise(nowhere)
+    page = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = t.documents.where("length(text) >= 300").select(F.col("doc_id").alias("id"), quote.alias("quote"), page.alias("raw"))
     return quotes.quote_classes(rows).select("id", "reason_class")
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom import plans
 from eventloom.functions import text as T
 from eventloom.operators import register, repair, review, seeding, verbatim
 from eventloom.operators.versions import Conflict, Versions
@@ -279,3 +281,14 @@ def test_shards_are_read_for_their_scope(spark, monkeypatch):
     needles = spark.createDataFrame([(i, f"n{i}", s) for i, s in enumerate("abcdefgh")], "needle long, n string, scope string")
     shards = list(verbatim._shards(needles))
     assert len(shards) > 1 and sum(docs.where(here).count() for here, _ in shards) < len(shards) * docs.count()  # no text is read for every shard
+
+
+def test_rejected_quotes_of_odd_texts(spark, tmp_path):
+    odd = ["Chß " * 100, "abc " * 100, "x" * 400, "ab Chß longer " + "- " * 200, "<b>bold</b> &amp;lt; text &nbsp; here " * 20, "a <script>all of this is hidden</script> " * 20, "word" + " " * 400 + "other words " * 30, "éàïü× ÷ÿ " * 60, "ß" * 300, "1234 " * 100]
+    texts = [(3 * i + k, t) for i, t in enumerate(odd) for k in range(3)] + [(900, "short"), (901, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in plans.QUERIES["rejected_quotes"](spark, str(tmp_path)).collect()}
+    assert got == set(c.sql(plans.SQL["rejected_quotes"]).fetchall())
+    assert {(1, "fabrication"), (7, "paraphrase"), (10, "paraphrase"), (12, "near_miss")} <= got
