@@ -151,9 +151,10 @@ def stage2(docs: DataFrame, replies: DataFrame) -> DataFrame:
     status: parse_failed, empty, quote_not_found, duplicate_quote, over_cap or ok; a document may
     yield max(1, min(5, chars / 1000)) events. docs: (document_id, raw); replies: (document_id, reply_json).
     Quotes are held to the text document by document; what is ordered then are events, which have no text.
+    Texts are merged with their replies, never broadcast: where a text is computed, Spark expects 20 bytes of it.
     """
     schema = "events array<struct<claim:string,quote:string,event_type:string>>"
-    read = replies.join(docs, "document_id").withColumn("r", parsed_reply(F.col("reply_json"), schema))
+    read = replies.join(docs.hint("merge"), "document_id").withColumn("r", parsed_reply(F.col("reply_json"), schema))
     held = T.standing(F.col("raw"), F.col("r.events.quote"))
     rows = read.select("document_id", F.length("raw").alias("_n"), F.col("r.events").isNull().alias("_bad"), held.alias("_held"), F.posexplode_outer("r.events").alias("ord", "e"))
     rows = rows.select("document_id", "_n", "_bad", "ord", "e.*", F.get("_held", F.col("ord")).alias("_q"))

@@ -316,3 +316,14 @@ def test_jaccard_cells_pair_classes_not_rows(spark):
     assert {r.cell: r.n for r in clusters.jaccard_cells(frame, ["k"], "id", "t").collect()} == want
     many = spark.range(300_000).selectExpr("'x' AS k", "id", "array(concat('w', id % 4)) AS t")  # 45 billion pairs, ten of classes
     assert {r.cell: r.n for r in clusters.jaccard_cells(many, ["k"], "id", "t").collect()} == {1.0: 4 * (75_000 * 74_999 // 2), 0.0: 6 * 75_000**2}
+
+
+def test_stage2_broadcasts_no_texts(spark):
+    docs = spark.range(3000).select(F.col("id").alias("document_id"), F.repeat(F.lit("and more. "), 140).alias("raw"))  # Spark expects 20 bytes of each text
+    replies = docs.select("document_id", F.when(F.col("document_id") % 2 == 0, '{"events": [{"quote": "And more."}]}').alias("reply_json"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")  # the texts have 4.2 MB
+    try:
+        got = domain.stage2(docs, replies).groupBy("status").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert {r["status"]: r["count"] for r in got} == {"ok": 1500, "parse_failed": 1500}
